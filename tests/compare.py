@@ -1,0 +1,66 @@
+"""Compare a registered query with its SQL on DuckDB; also a script: python tests/compare.py [sf_dir] [name..]"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    return value
+
+
+def normalise(names: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
+
+
+def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None when both sides have the same columns and the same bag of rows."""
+    mine = normalise(df.columns, [tuple(r) for r in df.collect()])
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    theirs = normalise(names, cursor.fetchall())
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} against {sorted(names)}"
+    if mine != theirs:
+        left = [r for r in mine if r not in set(theirs)][:3]
+        right = [r for r in theirs if r not in set(mine)][:3]
+        return f"{len(mine)} rows against {len(theirs)}; only here {left}; only there {right}"
+    return None
+
+
+if __name__ == "__main__":
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as entry
+    from tests.conftest import new_session
+
+    directory = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    spark, con, sqls = new_session(), oracle(directory), entry.oracle_sql()
+    for name, fn in entry.queries().items():
+        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+            continue
+        begun = time.time()
+        try:
+            df = fn(spark, directory)
+            said = difference(df, con, sqls[name]) if name in sqls else f"no SQL, {df.count()} rows"
+        except Exception as exc:
+            said = f"{type(exc).__name__}: {str(exc)[:600]}"
+        print(f"{'ok  ' if said is None else 'FAIL'} {name} {time.time() - begun:.1f}s {said or ''}", flush=True)
