@@ -23,6 +23,11 @@ MAX_RANGES = 20_000
 #: A range this many times over its share can only come from equal keys.
 HOT_FACTOR = 4
 _RANGE = "_tabpact_range"
+#: Bounds are carried as JSON; a timestamp must come back to the microsecond or the bounds lose their order.
+_EXACT = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def _sort_columns(keys: Sequence[str], ascending: Sequence[bool]) -> list[Column]:
@@ -42,17 +47,14 @@ def _not_before(bound: Column, keys: Sequence[str], ascending: Sequence[bool]) -
     return bound.isNotNull() & expr
 
 
-def _with_range(
-    df: DataFrame, bounds: list[T.Row], keys: Sequence[str], ascending: Sequence[bool]
-) -> DataFrame:
+def _with_range(df: DataFrame, bounds: list[str], keys: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
     """Add the number of bounds at or before each row, by a binary search of log2(bounds) columns."""
     if not bounds:
         return df.withColumn(_RANGE, F.lit(0))
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("_pos", T.IntegerType())] + [df.schema[k] for k in keys])
-    table = spark.createDataFrame([(i, *row) for i, row in enumerate(bounds)], schema)
-    ordered = F.sort_array(F.collect_list(F.struct("_pos", F.struct(*keys).alias("_key"))))
-    lookup = table.agg(F.transform(ordered, lambda b: b["_key"]).alias("_bounds")).scalar()
+    key_type = T.StructType([df.schema[k] for k in keys])
+    parsed = F.from_json(F.lit("[" + ",".join(bounds) + "]"), T.ArrayType(key_type), _EXACT)
+    # As a subquery the bounds are parsed once and stand in the plan once, not in every comparison.
+    lookup = df.sparkSession.range(1).select(parsed.alias("_bounds")).scalar()
     df = df.withColumn("_bounds", lookup).withColumn(_RANGE, F.lit(0))
     step = 1 << (len(bounds).bit_length() - 1)
     while step:
@@ -65,19 +67,18 @@ def _with_range(
 
 def _pick_bounds(
     slim: DataFrame, total: int, ranges: int, keys: Sequence[str], ascending: Sequence[bool]
-) -> list[T.Row]:
-    """Evenly spaced keys of a sample whose size depends on the number of ranges, not of rows."""
+) -> list[str]:
+    """Evenly spaced keys, as JSON, of a sample whose size depends on the number of ranges, not of rows."""
     wanted = ranges * SAMPLES_PER_RANGE
     sample = slim if wanted >= total else slim.sample(min(1.0, wanted / total), seed=17)
-    rows = sample.orderBy(*_sort_columns(keys, ascending)).collect()
-    picked: list[T.Row] = []
-    for i in range(1, ranges):
-        if rows and (not picked or rows[i * len(rows) // ranges] != picked[-1]):
-            picked.append(rows[i * len(rows) // ranges])
-    return picked
+    ordered = sample.orderBy(*_sort_columns(keys, ascending)).select(F.to_json(F.struct(*keys), _EXACT))
+    rows = [row[0] for row in ordered.collect()]
+    if not rows:
+        return []
+    return list(dict.fromkeys(rows[i * len(rows) // ranges] for i in range(1, ranges)))
 
 
-def _range_counts(slim: DataFrame, bounds: list[T.Row], keys: Sequence[str], ascending: Sequence[bool]) -> list[int]:
+def _range_counts(slim: DataFrame, bounds: list[str], keys: Sequence[str], ascending: Sequence[bool]) -> list[int]:
     """Rows per range; at most MAX_RANGES numbers come to the driver."""
     counted = _with_range(slim, bounds, keys, ascending).groupBy(_RANGE).count().collect()
     found = {row[_RANGE]: row["count"] for row in counted}

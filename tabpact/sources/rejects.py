@@ -52,9 +52,9 @@ def read_with_rejects(
         **(options or {}),
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        # A pruned column would not be parsed, and its failure not seen.
-        "columnPruning": "false",
     }
     table = spark.read.format(fmt).schema(tolerant).options(**settings).load(path)
-    good = table.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return select_columns(good, contract), table.where(F.col(CORRUPT).isNotNull())
+    # Always true, but it needs every column: a reader that skips one does not notice it is broken.
+    parsed = reduce(lambda a, b: a + b, (F.col(f.name).isNull().cast("int") for f in schema.fields)) >= 0
+    good = table.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
+    return select_columns(good, contract), table.where(F.col(CORRUPT).isNotNull() & parsed)

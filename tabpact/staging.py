@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,6 +36,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as parquet and read it back, which also ends its lineage."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage_at(df, new_folder(df.sparkSession, label))[0]
+
+
+def stage_at(df: DataFrame, path: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Stage to a path and count, in the same job, the rows or the rows for which ``counted`` is true.
+
+    A stage that Spark runs again may be counted again, so only zero is exact.
+    """
+    seen = Observation()
+    rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    df.observe(seen, rows.alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
