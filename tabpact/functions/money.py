@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 MONEY_TYPE = "decimal(12,2)"
@@ -28,7 +30,7 @@ def money_from_cents(cents: Column | str) -> Column:
     """The amount for a whole number of cents, NULL if it is negative or too large."""
     c = _col(cents)
     in_range = c.between(0, _MAX_CENTS)
-    return F.when(in_range, (c.cast("decimal(14,0)") / F.lit(100).cast("decimal(3,0)")).cast(MONEY_TYPE))
+    return F.when(in_range, (c.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast(MONEY_TYPE))
 
 
 def cents_of_double(x: Column | str) -> Column:

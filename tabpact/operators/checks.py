@@ -21,12 +21,16 @@ POLICIES = ("fail", "drop", "quarantine", "report")
 
 @dataclass(frozen=True)
 class BoundCheck:
-    """A check as Columns. ``failed`` and ``skipped`` may be NULL, which means no."""
+    """A check as Columns. In ``passed``, ``failed`` and ``skipped`` NULL means no.
+
+    ``passed`` may leave to the required-value check what that one already decides.
+    """
 
     scope: str
     column: str | None
     check_id: str
     explain: str | None
+    passed: Column
     failed: Column
     skipped: Column
     value: Column
@@ -48,27 +52,28 @@ def _text(spec: ColumnSpec) -> Column:
     return F.to_json(F.col(spec.name)) if nested else F.col(spec.name).cast("string")
 
 
+def _verdicts(outcome: Column, when_present: bool) -> tuple[Column, Column, Column]:
+    """Passed, failed and skipped for an outcome."""
+    if when_present:
+        return outcome | outcome.isNull(), ~outcome, outcome.isNull()
+    return outcome, ~outcome | outcome.isNull(), F.lit(False)
+
+
 def _column_check(spec: ColumnSpec, number: int, check: Check) -> BoundCheck:
     col = F.col(spec.name)
     outcome = F.expr(check.expr) if isinstance(check.expr, str) else check.expr(col)
-    if check.when_present:
-        failed, skipped = ~outcome, outcome.isNull()
-    else:
-        failed, skipped = ~outcome | outcome.isNull(), F.lit(False)
+    passed, failed, skipped = _verdicts(outcome, check.when_present)
     if not spec.nullable:
         failed, skipped = col.isNotNull() & failed, col.isNull() | skipped
     name = check.name or f"{spec.name}.check_{number}"
-    return BoundCheck("column", spec.name, name, check.explain, failed, skipped, _text(spec))
+    return BoundCheck("column", spec.name, name, check.explain, passed, failed, skipped, _text(spec))
 
 
 def _row_check(number: int, check: Check) -> BoundCheck:
     outcome = F.expr(check.expr) if isinstance(check.expr, str) else check.expr()
-    if check.when_present:
-        failed, skipped = ~outcome, outcome.isNull()
-    else:
-        failed, skipped = ~outcome | outcome.isNull(), F.lit(False)
     name = check.name or f"row.check_{number}"
-    return BoundCheck("row", None, name, check.explain, failed, skipped, F.lit(None).cast("string"))
+    nothing = F.lit(None).cast("string")
+    return BoundCheck("row", None, name, check.explain, *_verdicts(outcome, check.when_present), nothing)
 
 
 def bind_checks(contract: SourceContract) -> list[BoundCheck]:
@@ -76,13 +81,10 @@ def bind_checks(contract: SourceContract) -> list[BoundCheck]:
     bound: list[BoundCheck] = []
     for spec in contract.columns:
         if not spec.nullable:
-            missing = F.col(spec.name).isNull()
-            nothing = F.lit(None).cast("string")
-            bound.append(
-                BoundCheck(
-                    "required", spec.name, f"{spec.name}.required", "a value is required", missing, F.lit(False), nothing
-                )
-            )
+            col, nothing = F.col(spec.name), F.lit(None).cast("string")
+            outcome = (col.isNotNull(), col.isNull(), F.lit(False))
+            name = f"{spec.name}.required"
+            bound.append(BoundCheck("required", spec.name, name, "a value is required", *outcome, nothing))
         bound += [_column_check(spec, i, check) for i, check in enumerate(spec.checks, 1)]
     bound += [_row_check(i, check) for i, check in enumerate(contract.column_checks, 1)]
     return bound
@@ -95,8 +97,10 @@ def _any_failed(checks: Sequence[BoundCheck]) -> Column:
 
 
 def row_passes(contract: SourceContract) -> Column:
-    """True where a row breaks no rule, false otherwise, never NULL."""
-    return ~F.coalesce(_any_failed(bind_checks(contract)), F.lit(False))
+    """True where a row breaks no rule. NULL means false, which is all that ``where`` needs, and keeps
+    every rule a conjunct that can reach the scan."""
+    passed = [c.passed for c in bind_checks(contract)]
+    return reduce(lambda a, b: a & b, passed) if passed else F.lit(True)
 
 
 def violation_array(contract: SourceContract) -> Column:
@@ -176,8 +180,8 @@ def enforce(
     ``report``     all rows                    the violation report, keyed by ``key``
     =============  ==========================  =================================================
 
-    The good and the quarantined rows together are exactly the input: the split is on one condition
-    that is never NULL.
+    The good and the quarantined rows together are exactly the input: a row is good where the
+    condition is true and bad where it is false or NULL.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
@@ -191,4 +195,4 @@ def enforce(
     good = df.where(passes)
     if policy == "drop":
         return good, None
-    return good, df.where(~passes).withColumn("violations", violation_array(contract))
+    return good, df.where(~F.coalesce(passes, F.lit(False))).withColumn("violations", violation_array(contract))

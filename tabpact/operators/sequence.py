@@ -1,10 +1,10 @@
 """Exact row numbers without funnelling the rows through one task.
 
 The order key is cut into ranges. Each row goes straight to the partition of its range, is ranked
-there, and gets the number of rows in all earlier ranges added. Finding the ranges and counting them
-reads only the order key and shuffles nothing but one count per range and task; the full rows are
-shuffled once. The range of a row follows from the row alone, so a task that is run again after a
-failure gives the same numbers.
+there, and gets the number of rows in all earlier ranges added. The order key alone is written to the
+shared folder; the ranges are found and counted there, which shuffles nothing but a bounded sample and
+one count per range and task. The full rows are shuffled once. The range of a row follows from the row
+alone, so a task that is run again after a failure gives the same numbers.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from ..staging import stage
 SAMPLES_PER_RANGE = 40
 #: Bounds travel with every task, so their number is limited; larger tables get larger ranges.
 MAX_RANGES = 20_000
-#: A range this many times over its share can only come from equal keys.
-HOT_FACTOR = 4
 _RANGE = "_tabpact_range"
 #: Bounds are carried as JSON; a timestamp must come back to the microsecond or the bounds lose their order.
 _EXACT = {
@@ -68,10 +66,14 @@ def _with_range(df: DataFrame, bounds: list[str], keys: Sequence[str], ascending
 def _pick_bounds(
     slim: DataFrame, total: int, ranges: int, keys: Sequence[str], ascending: Sequence[bool]
 ) -> list[str]:
-    """Evenly spaced keys, as JSON, of a sample whose size depends on the number of ranges, not of rows."""
+    """Evenly spaced keys, as JSON, of a sample whose size depends on the number of ranges, not of rows.
+
+    A key that fills more than a range comes up more than once and leaves fewer bounds than asked for.
+    """
     wanted = ranges * SAMPLES_PER_RANGE
     sample = slim if wanted >= total else slim.sample(min(1.0, wanted / total), seed=17)
-    ordered = sample.orderBy(*_sort_columns(keys, ascending)).select(F.to_json(F.struct(*keys), _EXACT))
+    ordered = sample.repartition(1).sortWithinPartitions(*_sort_columns(keys, ascending))
+    ordered = ordered.select(F.to_json(F.struct(*keys), _EXACT))
     rows = [row[0] for row in ordered.collect()]
     if not rows:
         return []
@@ -102,7 +104,7 @@ def number_rows(
     output = list(df.columns) + [name]
     if staged:
         df = stage(df, "sequence")
-    slim = df.select(*keys)
+    slim = df.select(*keys) if staged else stage(df.select(*keys), "keys")
     total = slim.count()
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
 
@@ -112,10 +114,9 @@ def number_rows(
         return numbered.select(*output), total
 
     bounds = _pick_bounds(slim, total, ranges, keys, directions)
-    counts = _range_counts(slim, bounds, keys, directions)
-    if max(counts) > HOT_FACTOR * max(rows_per_range, total // ranges):
-        # Only rows with equal keys can crowd one range. Their place in a written table tells them
-        # apart, identical copies included, and splits them over several ranges.
+    if len(bounds) < ranges - 1:
+        # Equal keys crowd a range. Their place in a written table tells such rows apart, identical
+        # copies included, and splits them over several ranges.
         origin = df if staged else stage(df, "sequence")
         df = origin.withColumns(
             {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
@@ -123,7 +124,7 @@ def number_rows(
         keys, directions = keys + ["_file", "_row"], directions + [True, True]
         slim = df.select(*keys)
         bounds = _pick_bounds(slim, total, ranges, keys, directions)
-        counts = _range_counts(slim, bounds, keys, directions)
+    counts = _range_counts(slim, bounds, keys, directions)
 
     before = [0, *accumulate(counts)]
     offsets = F.split(F.lit(",".join(str(start + n) for n in before[:-1])), ",").cast("array<bigint>")
@@ -149,7 +150,7 @@ def with_sequence(
     gap, but which of them comes first may differ between runs. The result is partitioned and sorted
     in number order, so a writer produces its part files in sequence.
 
-    The input is evaluated four times, three of them for the order key alone. Set ``staged`` to write
-    it once to the shared folder first when it is costly to compute or not repeatable.
+    The input is evaluated twice, the first time for the order key alone. Set ``staged`` to write it
+    once to the shared folder when it is costly to compute or does not give the same rows again.
     """
     return number_rows(df, order_by, start, name, ascending, rows_per_range, staged)[0]

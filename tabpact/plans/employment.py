@@ -19,7 +19,8 @@ EMPLOYEE_ID_PATTERN = r"^SID\d{6}$"
 HEADER = ("#", "Employee ID", "Hire Date", "Termination Date", "Salary", "Department", "Job Title")
 
 EMPLOYEE_ID_SQL = (
-    "CASE WHEN o_orderkey % 97 = 0 THEN concat('SID', o_orderkey) ELSE format_string('SID%06d', o_orderkey) END"
+    "concat('SID', CASE WHEN o_orderkey % 97 = 0 OR o_orderkey >= 1000000 THEN string(o_orderkey) "
+    "ELSE lpad(string(o_orderkey), 6, '0') END)"
 )
 TERMINATION_SQL = (
     "CASE WHEN o_orderstatus = 'F' THEN date_add(CAST(o_orderdate AS date), CAST(o_orderkey % 120 AS int)) END"

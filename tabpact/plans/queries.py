@@ -47,7 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 #: Small enough that the test tables are cut into several ranges.
-ROWS_PER_RANGE = 2_000
+ROWS_PER_RANGE = 5_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -20,17 +20,23 @@ _POSITION_BITS = (1 << 33) - 1
 
 @dataclass(frozen=True)
 class RowSequence:
-    """Row numbers for an output: where they start, in which order, under which column name."""
+    """Row numbers for an output: where they start, in which order, under which column name.
+
+    ``staged`` writes the rows to the shared folder first; see :func:`tabpact.with_sequence`.
+    """
 
     order_by: Sequence[str]
     start: int = 1
     name: str = "#"
     rows_per_range: int = 100_000
+    staged: bool = False
 
     def add(self, df: DataFrame, start: int | None = None) -> tuple[DataFrame, int]:
         """The frame with the number as its first column, and how many rows it has."""
         first = self.start if start is None else start
-        numbered, total = number_rows(df, self.order_by, first, self.name, rows_per_range=self.rows_per_range)
+        numbered, total = number_rows(
+            df, self.order_by, first, self.name, rows_per_range=self.rows_per_range, staged=self.staged
+        )
         return numbered.select(self.name, *df.columns), total
 
 

@@ -29,9 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/tabpact/{spark.conf.get('spark.app.id', 'application')}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path for one operator run."""
-    return f"{shared_folder(spark)}/tabpact/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them become invalid."""
+    remove(spark, application_folder(spark))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -20,6 +20,8 @@ def _sequence(sink: Sink):
 
 def _last_number(spark: SparkSession, table: str, batch_id: int) -> int | None:
     """The last number given before a batch; batches after it, from an earlier attempt, do not count."""
+    if batch_id == 0:
+        return None
     try:  # usually the batch just before, found without listing the others
         row = spark.read.parquet(f"{table}/batch_id={batch_id - 1}").agg(F.max("last_number")).first()
     except AnalysisException:
