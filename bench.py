@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tabpact import with_sequence  # noqa: E402
 from tabpact.plans.queries import queries  # noqa: E402
 from tabpact.staging import remove_staged  # noqa: E402
 
@@ -30,6 +31,9 @@ HEADLINE = (
     "record_mapping",
     "money_parts",
     "row_sequence",
+    "row_sequence_1_partitions",
+    "row_sequence_8_partitions",
+    "row_sequence_64_partitions",
     "row_sequence_ties",
     "format_by_type",
     "render_lines",
@@ -44,6 +48,16 @@ HEADLINE = (
 )
 
 
+def _sequence_over(partitions: int):
+    """The row sequence with its input cut into a number of partitions."""
+
+    def run(spark, sf_dir):
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+        return with_sequence(orders.repartition(partitions), ["o_orderdate", "o_orderkey"], rows_per_range=5_000)
+
+    return run
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -62,6 +76,7 @@ def main() -> None:
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabpact-bench-"))
     registered = queries()
+    registered.update({f"row_sequence_{n}_partitions": _sequence_over(n) for n in (1, 8, 64)})
     names = sys.argv[1:] or HEADLINE
     seconds = {}
     for name in names:

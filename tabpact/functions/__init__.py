@@ -1,6 +1,6 @@
 """Column functions."""
 
-from .formats import date_formatter, fmt_date, fmt_none, quote_cell, strftime_pattern
+from .formats import date_formatter, fmt_date, fmt_none, python_formatter, quote_cell, strftime_pattern
 from .maps import json_get, json_map, map_get
 from .money import (
     MONEY_TYPE,

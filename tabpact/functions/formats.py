@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Strftime codes and the datetime pattern letters with the same meaning.
@@ -75,6 +76,19 @@ def fmt_none(col: Column | str, text: str = "") -> Column:
     return F.coalesce(_col(col).cast("string"), F.lit(text))
 
 
+def python_formatter(fn: Callable[[object], str | None]) -> Callable[[Column], Column]:
+    """A Column function from a plain Python function of one value; NULL is not passed to it.
+
+    Values travel to Python in Arrow batches, which is still the slow path: prefer Column functions.
+    """
+
+    @F.pandas_udf("string")
+    def apply(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else fn(v) for v in values], dtype=object)
+
+    return apply
+
+
 def quote_cell(col: Column | str, delimiter: str = ",", eol: str = "\n") -> Column:
     """RFC 4180: a cell that holds the delimiter, a quote or a line end is quoted, quotes doubled."""
     c = _col(col)

@@ -134,19 +134,22 @@ def custom_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(custom_source("catalog", rows).load(spark, min_size=10), CATALOG)
 
 
-@query("SELECT item_id, text, strlen(text) AS bytes FROM benchmark")
+@query("SELECT doc_id, text, strlen(text) AS bytes FROM documents")
 def custom_source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User code that reads the files itself, one Spark partition per file."""
 
-    def read(path: str) -> Iterator:
+    def read(uri: str) -> Iterator:
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        for batch in pq.ParquetFile(path).iter_batches(columns=["item_id", "text"]):
-            yield batch.append_column("bytes", pc.cast(pc.binary_length(batch["text"]), "int64"))
+        files, path = fs.FileSystem.from_uri(uri)
+        with files.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(columns=["doc_id", "text"]):
+                yield batch.append_column("bytes", pc.cast(pc.binary_length(batch["text"]), "int64"))
 
-    files = [f.removeprefix("file:") for f in table(spark, sf_dir, "benchmark").inputFiles()]
-    return record_source("tabpact_records", "item_id bigint, text string, bytes bigint", files, read).load(spark)
+    files = table(spark, sf_dir, "documents").inputFiles()
+    return record_source("tabpact_records", "doc_id bigint, text string, bytes bigint", files, read).load(spark)
 
 
 def _priced_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -666,20 +669,57 @@ def adapter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_rows(numbered)
 
 
-class _CountingWriter:
-    """Counts and sums what it is given."""
+class _ParquetRecords:
+    """Takes records one by one and writes them in batches to a file of its own attempt."""
 
-    def __init__(self, folder: str, partition: int):
-        self.target = f"{folder}/part-{partition}.csv"
-        self.rows = 0
-        self.cents = 0
+    def __init__(self, folder: str, partition: int, attempt: int):
+        from pyarrow import fs
+
+        self.files, root = fs.FileSystem.from_uri(folder)
+        self.files.create_dir(f"{root}/pending")
+        self.pending, self.final = f"{root}/pending/{partition}-{attempt}.parquet", f"{root}/out/{partition}.parquet"
+        self.rows: list[dict] = []
+        self.writer = None
 
     def put(self, row) -> None:
-        self.rows += 1
-        self.cents += row["cents"]
+        self.rows.append(row.asDict())
+        if len(self.rows) == 10_000:
+            self._flush()
+
+    def _flush(self) -> None:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        schema = pa.schema([("c_custkey", pa.int64()), ("c_name", pa.string()), ("c_acctbal", pa.float64())])
+        if self.writer is None:
+            self.writer = pq.ParquetWriter(self.pending, schema, filesystem=self.files)
+        self.writer.write_table(pa.Table.from_pylist(self.rows, schema))
+        self.rows = []
 
-    def done(self):
-        return self.rows, self.cents
+    def done(self) -> tuple[str, str]:
+        self._flush()
+        self.writer.close()
+        return self.pending, self.final
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
+def custom_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good customers through a user-defined sink that publishes its files on commit; read back."""
+    folder = new_folder(spark, "custom-sink")
+    uri = folder if ":" in folder else f"file://{folder}"
+
+    def commit(results: list[tuple[str, str]]) -> None:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(uri)
+        files.create_dir(f"{root}/out")
+        for pending, final in results:
+            files.move(pending, final)
+
+    sink = custom_sink("tabpact_parquet_records", lambda part, attempt: _ParquetRecords(uri, part, attempt), commit)
+    plan = Pipeline("CustomSink").source("customers", CUSTOMERS, f"{sf_dir}/customer.parquet", policy="drop")
+    plan.sink("records", sink).pipe("customers -> records").run(spark)
+    return spark.read.parquet(f"{folder}/out")
 
 
 _WINDOWS = (("jan", "1996-01-01", "1996-02-01"), ("q1", "1996-01-01", "1996-04-01"))

@@ -18,6 +18,7 @@ from tabpact.functions import (
     money_dollar,
     money_double,
     money_from_double,
+    python_formatter,
     strftime_pattern,
 )
 
@@ -139,3 +140,9 @@ def test_cells_and_lines(spark):
     assert [r.line for r in render_rows(spark.createDataFrame([("",), ("x",)], "p string")).collect()] == ['""', "x"]
     with pytest.raises(ValueError):
         render_rows(df, quoting="some")
+
+
+def test_plain_python_formatter(spark):
+    df = spark.sql("SELECT date'2024-01-02' AS d UNION ALL SELECT NULL")
+    out = format_cells(df, {"date": python_formatter(lambda v: f"day {v.day}")}, none_text="?")
+    assert {r.d for r in out.collect()} == {"day 2", "?"}

@@ -105,3 +105,11 @@ def test_bad_arguments(spark):
         with_sequence(spark.range(3), [])
     with pytest.raises(ValueError):
         with_sequence(spark.range(3), ["id"], ascending=[True, False])
+
+
+def test_mostly_missing_key(spark):
+    df = spark.createDataFrame([(None if i % 3 else i, i) for i in range(3000)], "k int, u int").repartition(4)
+    got = {r.u: r.rec_num for r in with_sequence(df, "k", rows_per_range=200).collect()}
+    assert sorted(got.values()) == list(range(1, 3001))
+    assert [u for u in sorted(got, key=got.get) if u % 3 == 0] == list(range(0, 3000, 3))
+    assert min(got[u] for u in range(0, 3000, 3)) == 2001  # missing keys come first
