@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -60,6 +61,8 @@ def strftime_pattern(pattern: str) -> str:
 
 def fmt_date(col: Column | str, pattern: str = "%Y-%m-%d") -> Column:
     """A date or timestamp as text; NULL stays NULL."""
+    if pattern in ("%Y-%m-%d", "%F"):
+        return _col(col).cast("date").cast("string")  # the same text, without a formatter per row
     return F.date_format(_col(col), strftime_pattern(pattern))
 
 
@@ -92,5 +95,6 @@ def python_formatter(fn: Callable[[object], str | None]) -> Callable[[Column], C
 def quote_cell(col: Column | str, delimiter: str = ",", eol: str = "\n") -> Column:
     """RFC 4180: a cell that holds the delimiter, a quote or a line end is quoted, quotes doubled."""
     c = _col(col)
-    special = c.contains('"') | c.contains(delimiter) | c.contains(eol) | c.contains("\n") | c.contains("\r")
+    marks = dict.fromkeys(('"', delimiter, "\n", "\r", eol))
+    special = reduce(lambda a, b: a | b, (c.contains(mark) for mark in marks))
     return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -31,7 +31,8 @@ def date_range(col: Column | str, lo: Any = None, hi: Any = None) -> Column:
 def exclude_when(condition: Column, flag: Column | bool | None) -> Column:
     """Drop rows for which ``condition`` is true if ``flag`` is true, otherwise keep all rows.
 
-    A row whose condition is NULL is kept.
+    A row whose condition is NULL is kept. A condition that is never NULL (``isNotNull``,
+    ``eqNullSafe``) can be pushed into the scan.
     """
     if flag is None:
         return F.lit(True)

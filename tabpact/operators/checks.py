@@ -122,9 +122,11 @@ def violations(df: DataFrame, contract: SourceContract, key: Sequence[str]) -> D
     if not checks:
         schema = T.StructType([df.schema[k] for k in key] + T.StructType.fromDDL(VIOLATION_DDL).fields)
         return df.sparkSession.createDataFrame([], schema)
-    failing = df.where(_any_failed(checks))
-    exploded = failing.select(*[F.col(k) for k in key], F.explode(violation_array(contract)).alias("_violation"))
-    return exploded.select(*key, "_violation.*")
+    # One slot per check, empty slots dropped afterwards, stays in generated code; compacting the array
+    # first would not.
+    slots = F.explode(F.array(*[F.when(c.failed, c.violation()) for c in checks])).alias("_violation")
+    exploded = df.where(_any_failed(checks)).select(*[F.col(k) for k in key], slots)
+    return exploded.where(F.col("_violation").isNotNull()).select(*key, "_violation.*")
 
 
 def first_violation(df: DataFrame, contract: SourceContract, key: Sequence[str]) -> DataFrame:

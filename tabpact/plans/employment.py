@@ -40,7 +40,7 @@ def _hired_before(value: Column) -> Column:
 
 
 def _not_terminated(value: Column) -> Column:
-    return exclude_when(F.col("o_orderstatus") == "F", value)
+    return exclude_when(F.col("o_orderstatus").eqNullSafe("F"), value)
 
 
 EMPLOYMENT = SourceContract(

@@ -17,6 +17,7 @@ def new_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
