@@ -65,3 +65,14 @@ def test_no_edges(spark):
     empty = edges_of(spark, [])
     assert cycles(empty).count() == 0 and trace(empty, [1]).count() == 0
     assert cycles(edges_of(spark, [(1, 2), (2, 3)])).count() == 0
+
+
+def test_a_chain_of_components_takes_few_passes(spark, monkeypatch):
+    from tabpact.operators import lineage
+
+    passes = []
+    split = lineage._split_components
+    monkeypatch.setattr(lineage, "_split_components", lambda links: passes.append(1) or split(links))
+    pairs = [e for i in range(0, 20, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))]
+    assert {tuple(r) for r in cycles(edges_of(spark, pairs)).collect()} == cyclic(set(pairs))
+    assert len(passes) <= 6
