@@ -9,7 +9,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -73,8 +72,6 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabpact-bench-"))
     registered = queries()
     registered.update({f"row_sequence_{n}_partitions": _sequence_over(n) for n in (1, 8, 64)})
     names = sys.argv[1:] or HEADLINE

@@ -23,7 +23,6 @@ from ..functions import (
     money_from_double,
 )
 from ..operators import (
-    Field,
     check_summary,
     cycles,
     enforce,
@@ -41,7 +40,6 @@ from ..staging import new_folder
 from ..streaming import check_counts, stream_sink, stream_source
 from .employment import EMPLOYMENT, FIELDS, HEADER, MONTH, feed
 from .pipeline import Pipeline
-from .tracking import track_column, track_field
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}

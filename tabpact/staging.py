@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -16,17 +17,20 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    Only a local session may go without the setting; it then gets a temporary folder, which is kept
-    for the rest of the session. On a cluster that would be local to one machine, so it is refused.
+    Only a local session may go without the setting; it then gets a temporary folder, the same one
+    for the rest of the process. On a cluster that would be local to one machine, so it is refused.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tabpact-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tabpact-")
 
 
 def application_folder(spark: SparkSession) -> str:
