@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash
+from . import language, line_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": language.op2_language,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash": simhash.op8_simhash,
     }
