@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, line_dedup, simhash
+from . import decontamination, language, line_dedup, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": language.op2_language,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash": simhash.op8_simhash,
+        "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
