@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, line_dedup, pieces, simhash
+from . import decontamination, language, lengths, line_dedup, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": language.op2_language,
+        "op4_lengths": lengths.op4_lengths,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_pieces": pieces.op9_pieces,
