@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lengths, line_dedup, pieces, simhash
+from . import decontamination, language, lengths, licences, line_dedup, line_quality, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_quality": line_quality.op1_line_quality,
         "op2_language": language.op2_language,
         "op4_lengths": lengths.op4_lengths,
+        "op6_licences": licences.op6_licences,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_pieces": pieces.op9_pieces,
@@ -22,5 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_quality": line_quality.OP1_SQL,
+        "op6_licences": licences.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
