@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Stands for a missing document id: it comes after every other id.
@@ -38,6 +39,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def slices(rows: pa.RecordBatch, column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with about ``size`` bytes of a text column each, so that what Python makes of them stays small."""
+    lengths = pc.fill_null(pc.binary_length(rows[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+        yield rows.slice(start, end - start)
+
+
 def batch(**columns: np.ndarray | pa.Array | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 

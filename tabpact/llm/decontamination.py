@@ -58,6 +58,9 @@ BITMAP = np.uint64(44)
 MAX_ITEM_BYTES = 8_000_000
 #: Documents are embedded so many bytes at a time.
 BLOCK = 500_000
+#: Candidates verified in one go.
+SIDE_BY_SIDE = 2_048
+AT_ONCE = 16 * SIDE_BY_SIDE
 SEED = 42
 
 
@@ -70,6 +73,17 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
+def code_points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+
+
+def _codes(points: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The place of each character in the alphabet, its length for others."""
+    at = np.searchsorted(alphabet, points)
+    known = alphabet[np.minimum(at, len(alphabet) - 1)] == points
+    return np.where(known, at, len(alphabet)).astype(np.int32)
+
+
 def word_starts(words: list[bytes], ascii: bool) -> np.ndarray:
     """Where each word begins, in code points, with one blank between words."""
     lengths = map(len, words) if ascii else (len(w.decode("utf-8", "replace")) for w in words)
@@ -107,29 +121,44 @@ def keys_of(codes: np.ndarray, places: np.ndarray, take: list[int]) -> np.ndarra
     return keys
 
 
-def edit_distance_within(item: str, stretch: str) -> tuple[int, int]:
-    """The smallest edit distance of the item to any part of the stretch, and where the first such part ends.
+def edit_distances(items: list[np.ndarray], stretches: list[np.ndarray], n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair, the smallest edit distance of the item to any part of the stretch, and where the first such part ends.
 
-    Bit-parallel dynamic programming, one column of the table in one whole number.
+    Texts are arrays of character codes; ``n_codes`` in a stretch matches nothing. Bit-parallel dynamic programming in words of
+    64 rows, all pairs side by side; the items of one call take the same number of words.
     """
-    m = len(item)
-    ones, high = (1 << m) - 1, 1 << (m - 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(item):
-        where[c] = where.get(c, 0) | 1 << i
-    up, down, score, best, end = ones, 0, m, m, 0
-    for j, c in enumerate(stretch):
-        eq = where.get(c, 0)
-        cross = (((eq & up) + up) ^ up) | eq | down
-        gain, loss = down | ~(cross | up), up & cross
-        if gain & high:
-            score += 1
-        elif loss & high:
-            score -= 1
-        gain, loss = gain << 1, loss << 1
-        up, down = (loss | ~((eq | down) | gain)) & ones, gain & (eq | down) & ones
-        if score < best:
-            best, end = score, j + 1
+    blocks = (len(items[0]) + 63) // 64
+    one, zero = np.uint64(1), np.uint64(0)
+    equal = np.zeros((len(items), n_codes + 1, blocks), np.uint64)
+    for i, item in enumerate(items):
+        rows = np.arange(len(item))
+        np.bitwise_or.at(equal[i], (item, rows // 64), one << (rows % 64).astype(np.uint64))
+    width = max(map(len, stretches))
+    codes = np.full((width, len(items)), n_codes, np.int32)
+    for i, stretch in enumerate(stretches):
+        codes[: len(stretch), i] = stretch
+    lengths = np.array([len(x) for x in items])
+    high = [np.full(len(items), 1 << 63, np.uint64) for _ in range(blocks - 1)] + [one << ((lengths - 1) % 64).astype(np.uint64)]
+    up = [np.full(len(items), 2**64 - 1, np.uint64) for _ in range(blocks)]
+    down = [np.zeros(len(items), np.uint64) for _ in range(blocks)]
+    score, best, end, each = lengths.copy(), lengths.copy(), np.zeros(len(items), np.int64), np.arange(len(items))
+    for j in range(width):
+        column = equal[each, codes[j]]
+        gained = lost = np.zeros(len(items), np.uint64)
+        for k in range(blocks):
+            eq, pv, mv = column[:, k], up[k], down[k]
+            vertical = eq | mv
+            eq = eq | lost
+            horizontal = (((eq & pv) + pv) ^ pv) | eq
+            gain, loss = mv | ~(horizontal | pv), pv & horizontal
+            gained_next, lost_next = (gain & high[k]) != zero, (loss & high[k]) != zero
+            gain, loss = (gain << one) | gained, (loss << one) | lost
+            up[k], down[k] = loss | ~(vertical | gain), gain & vertical
+            gained, lost = gained_next.astype(np.uint64), lost_next.astype(np.uint64)
+        score += gained_next
+        score -= lost_next
+        better = score < best
+        best[better], end[better] = score[better], j + 1
     return best, end
 
 
@@ -138,8 +167,8 @@ class Items:
     """The items of one pass: texts, and per walk and repetition the sorted keys with (item, word) of each."""
 
     ids: list[int | None]
-    texts: list[str]
-    trigrams: list[Counter]
+    texts: list[np.ndarray]
+    alphabet: np.ndarray
     tables: dict[tuple[int, int], list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
@@ -183,8 +212,9 @@ def prepare(rows: list[tuple[int | None, bytes]]) -> Items:
                 known = np.zeros(1 << 20, bool)
                 known[(keys[order] >> BITMAP).astype(np.int64)] = True
                 tables.setdefault((steps, walk), []).append((take, known, keys[order], whose[order], offsets[order]))
-    decoded = [t.decode("utf-8", "replace") for _, t in texts]
-    return Items([i for i, _ in texts], decoded, [Counter(map("".join, zip(t, t[1:], t[2:]))) for t in decoded], tables)
+    points = [code_points(t) for _, t in texts]
+    alphabet = np.unique(np.concatenate([np.empty(0, np.uint32), *points]))
+    return Items([i for i, _ in texts], [np.searchsorted(alphabet, p) for p in points], alphabet, tables)
 
 
 def _meetings(codes: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,17 +234,12 @@ def _meetings(codes: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.
                 yield np.repeat(at[hits], sizes), whose[entry], offsets[entry]
 
 
-def shares_enough(trigrams: Counter, stretch: str, allowed: int) -> bool:
-    """Whether a stretch has the trigrams that an item must keep: an edit spoils three at most."""
-    needed = sum(trigrams.values()) - 3 * allowed
-    if needed <= 0:
-        return True
-    there = Counter(map("".join, zip(stretch, stretch[1:], stretch[2:])))
-    return sum((trigrams & there).values()) >= needed
+#: A candidate: document, item, where its stretch begins, the stretch's character codes.
+Candidate = tuple[int, int, int, np.ndarray]
 
 
-def matches_in(docs: list[bytes], items: Items, max_edits: float = MAX_EDITS) -> list[tuple[int, int, int, int]]:
-    """``(document, item, distance, end)`` for texts in normal form: the best place of each item in each."""
+def candidates_in(docs: list[bytes], items: Items, max_edits: float, before: int = 0) -> list[Candidate]:
+    """The stretches of texts in normal form that may hold an item; documents are numbered from ``before``."""
     words = [d.split(b" ") if d else [] for d in docs]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     if not sizes.sum() or not items.tables:
@@ -231,29 +256,50 @@ def matches_in(docs: list[bytes], items: Items, max_edits: float = MAX_EDITS) ->
     begin += np.fromiter((starts[d][w] for d, w in zip(doc.tolist(), (word - first_word[doc]).tolist(), strict=True)), np.int64, len(doc))
     allowed = (max_edits * np.array([len(t) for t in items.texts])).astype(np.int64)
     # Windows of one place agree on where the item begins, but for the edits: each band is verified once.
-    band = begin // (allowed[item] + 1)
-    places = np.unique(np.stack([doc, item, band]), axis=1)
+    order = np.lexsort((begin, begin // (allowed[item] + 1), item, doc))
+    doc, item, begin = doc[order], item[order], begin[order]
+    band = np.stack([doc, item, begin // (allowed[item] + 1)])
+    first = np.flatnonzero(np.append(True, (band[:, 1:] != band[:, :-1]).any(axis=0)))
+    last = np.append(first[1:], len(doc)) - 1
+    lengths = np.array([len(t) for t in items.texts])
+    doc, item, lo, hi = doc[first], item[first], begin[first], begin[last]
+    lo, hi = np.maximum(0, lo - allowed[item]), hi + lengths[item] + allowed[item]
+    points = {d: _codes(code_points(docs[d]), items.alphabet) for d in np.unique(doc).tolist()}
+    found = zip(doc.tolist(), item.tolist(), lo.tolist(), hi.tolist(), strict=True)
+    return [(before + d, k, a, points[d][a:b]) for d, k, a, b in found]
+
+
+def verified(candidates: list[Candidate], items: Items, max_edits: float) -> list[tuple[int, int, int, int]]:
+    """``(document, item, distance, end)``: the best place of each item in each document that is near enough."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    last, text = -1, ""
-    for d, k, at_band in places.T.tolist():
-        if d != last:
-            last, text = d, docs[d].decode("utf-8", "replace")
-        target, edits = items.texts[k], int(allowed[k])
-        lo = max(0, at_band * (edits + 1) - edits)
-        hi = min(len(text), (at_band + 1) * (edits + 1) + len(target) + edits)
-        at = text.find(target, lo, hi)
-        if at >= 0:
-            distance, end = 0, at + len(target)
-        elif (d, k) in best and best[d, k][0] == 0 or not shares_enough(items.trigrams[k], text[lo:hi], edits):
-            continue
-        else:
-            distance, end = edit_distance_within(target, text[lo:hi])
-            end += lo
-        if distance <= edits and (d, k) not in best or (d, k) in best and distance < best[d, k][0]:
-            best[d, k] = distance, end
+    lengths = np.array([len(t) for t in items.texts])
+    item = np.array([k for _, k, _, _ in candidates], np.int64)
+    sizes = np.array([len(stretch) for *_, stretch in candidates], np.int64)
+    blocks = (lengths[item] + 63) // 64
+    by_size = np.lexsort((sizes, blocks))
+    for group in np.split(by_size, np.flatnonzero(np.diff(blocks[by_size])) + 1):
+        for start in range(0, len(group), SIDE_BY_SIDE):
+            now = group[start : start + SIDE_BY_SIDE].tolist()
+            distances, ends = edit_distances([items.texts[candidates[i][1]] for i in now], [candidates[i][3] for i in now], len(items.alphabet))
+            for i, distance, end in zip(now, distances.tolist(), ends.tolist(), strict=True):
+                d, k, lo, _ = candidates[i]
+                if distance <= int(max_edits * lengths[k]):
+                    best[d, k] = min(best.get((d, k), (distance, lo + end)), (distance, lo + end))
     return [(d, k, distance, end) for (d, k), (distance, end) in sorted(best.items())]
 
 
+def matches_in(docs: list[bytes], items: Items, max_edits: float = MAX_EDITS) -> Iterator[tuple[int, int, int, int]]:
+    """``(document, item, distance, end)`` for texts in normal form, a block of texts and some thousand candidates at a time."""
+    waiting: list[Candidate] = []
+    for start, texts in _blocks(docs):
+        waiting += candidates_in(texts, items, max_edits, start)
+        if len(waiting) >= AT_ONCE:
+            yield from verified(waiting, items, max_edits)
+            waiting = []
+    if waiting:
+        yield from verified(waiting, items, max_edits)
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``BLOCK`` bytes, with the number of texts before."""
     start = size = 0
@@ -291,17 +337,16 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             known = prepare(sent.value)
             for rows in batches:
                 ids = rows["doc"].to_pylist()
-                for start, texts in _blocks([normalised(t) for t in rows["text"].to_pylist()]):
-                    found = matches_in(texts, known, max_edits)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[start + d] for d, *_ in found], pa.int64()),
-                            pa.array([known.ids[k] for _, k, *_ in found], pa.int64()),
-                            pa.array([distance for _, _, distance, _ in found], pa.int32()),
-                            pa.array([end for *_, end in found], pa.int64()),
-                        ],
-                        names=["doc_id", "item_id", "distance", "end"],
-                    )
+                found = list(matches_in([normalised(t) for t in rows["text"].to_pylist()], known, max_edits))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[d] for d, *_ in found], pa.int64()),
+                        pa.array([known.ids[k] for _, k, *_ in found], pa.int64()),
+                        pa.array([distance for _, _, distance, _ in found], pa.int32()),
+                        pa.array([end for *_, end in found], pa.int64()),
+                    ],
+                    names=["doc_id", "item_id", "distance", "end"],
+                )
 
         return frame.mapInArrow(run, MATCH)
 
@@ -319,9 +364,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             for rows in batches:
                 keep = np.ones(rows.num_rows, bool)
                 texts = [normalised(t.encode("utf-8", "replace")) if t is not None else b"" for t in rows[text_col].to_pylist()]
-                for start, block in _blocks(texts):
-                    for d, *_ in matches_in(block, known, max_edits):
-                        keep[start + d] = False
+                for d, *_ in matches_in(texts, known, max_edits):
+                    keep[d] = False
                 yield rows.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))

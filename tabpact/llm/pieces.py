@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from ..staging import stage
-from .common import table
+from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
@@ -253,6 +254,10 @@ CHUNKS = "row long, no long, base long, left long, right long, last boolean, tex
 ARROW_MATRIX = pa.list_(pa.struct([("at", pa.int64()), ("piece", pa.int32()), ("to_at", pa.int64()), ("to_piece", pa.int32()), ("weight", pa.int64())]))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    return chain.from_iterable(slices(rows, column) for rows in batches)
+
+
 @cache
 def _loaded(model: bytes) -> Pieces:
     return Pieces(model)
@@ -274,7 +279,7 @@ def _giants(docs: DataFrame, model, longest: int, chunk: int) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for rows in batches:
+        for rows in _parts(batches):
             found = [_matrix_rows(pieces.transfer(r["text"], r["base"], r["left"], r["right"], r["last"])) for r in rows.to_pylist()]
             yield pa.RecordBatch.from_arrays([rows["row"], rows["no"], rows["last"], pa.array(found, ARROW_MATRIX)], names=["row", "no", "last", "matrix"])
 
@@ -314,9 +319,9 @@ def _giants(docs: DataFrame, model, longest: int, chunk: int) -> DataFrame:
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for rows in batches:
+        for rows in _parts(batches):
             ids = [
-                pieces.trace(r["text"], r["base"], r["left"], r["right"], r["last"], (r["at"], r["piece"]), (r["to_at"], r["to_piece"]))
+                np.array(pieces.trace(r["text"], r["base"], r["left"], r["right"], r["last"], (r["at"], r["piece"]), (r["to_at"], r["to_piece"])), np.int32)
                 for r in rows.to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([rows["row"], rows["no"], pa.array(ids, pa.list_(pa.int32()))], names=["row", "no", "ids"])
@@ -346,10 +351,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for got in batches:
+        for got in _parts(batches):
             texts = got["text"].to_pylist()
             found = iter(pieces.plain([" " + t for t in texts if t]))
-            ids = [None if t is None else next(found) if t else [] for t in texts]
+            ids = [None if t is None else np.array(next(found) if t else [], np.int32) for t in texts]
             yield pa.RecordBatch.from_arrays([got["id"], got["text"], pa.array(ids, pa.list_(pa.int32()))], names=["id", "text", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -382,7 +387,7 @@ def digest(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for rows in batches:
+        for rows in _parts(batches, text_col):
             counts, sums, exact = [], [], []
             for ids, text in zip(rows["ids"], rows[text_col].to_pylist(), strict=True):
                 own = np.empty(0, np.int32) if not ids.is_valid else ids.values.to_numpy()

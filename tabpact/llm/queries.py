@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lengths, licences, line_dedup, line_quality, pieces, simhash
+from . import decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_quality": line_quality.op1_line_quality,
         "op2_language": language.op2_language,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_lengths": lengths.op4_lengths,
         "op6_licences": licences.op6_licences,
         "op7_line_dedup": line_dedup.op7_line_dedup,
