@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, pieces, simhash
+from . import block_labeller, decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, pieces, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": language.op2_language,
         "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_lengths": lengths.op4_lengths,
+        "op5_main_text": block_labeller.op5_main_text,
         "op6_licences": licences.op6_licences,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash": simhash.op8_simhash,
