@@ -65,7 +65,8 @@ SEED = 42
 
 
 def normalised(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+    """In lower case, with one blank between words."""
+    return b" ".join((text or b"").decode("utf-8", "replace").lower().encode().split())
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
