@@ -32,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from ..staging import stage
@@ -378,7 +378,7 @@ def decode(ids: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model
             yield pa.RecordBatch.from_arrays([rows[c] for c in columns] + [pa.array(texts, pa.string())], names=[*columns, out_col])
 
     kept = ids.select(columns)
-    return kept.mapInArrow(run, kept.withColumn(out_col, F.lit("")).schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def digest(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
