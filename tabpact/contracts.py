@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from .errors import DefinitionError, raise_if
 
@@ -65,7 +65,8 @@ class Check:
 
     On data, ``expr`` is SQL text or a callable. A column check's callable gets the column, a row
     check's callable gets nothing. On a parameter, ``expr`` is a Python predicate over the value; on
-    a contract's cross-parameter checks it is a predicate over the dict of all values.
+    a contract's cross-parameter checks it is a predicate over the dict of all values. SQL text may stand
+    for either; it names the parameters, of which it sees those with a Spark type.
 
     ``when_present`` makes the rule apply only where its input is there: a NULL outcome passes.
     """
@@ -75,16 +76,28 @@ class Check:
     when_present: bool = False
     name: str | None = None
 
-    def holds(self, value: Any) -> bool:
-        """Evaluate on a driver-side parameter value."""
+    def holds(self, value: Any, columns: Mapping[str, tuple[Any, T.DataType | None]]) -> bool:
+        """Evaluate on a driver-side value; for SQL text, on a row of the parameters and their types."""
         if value is None and self.when_present:
             return True
-        return bool(self.expr(value))
+        if not isinstance(self.expr, str):
+            return bool(self.expr(value))
+        outcome = _evaluate(self.expr, columns)
+        return bool(outcome) or (outcome is None and self.when_present)
 
     def describe(self) -> str:
         return self.explain or self.name or (self.expr if isinstance(self.expr, str) else "check failed")
 
 
+def _evaluate(text: str, columns: Mapping[str, tuple[Any, T.DataType | None]]) -> Any:
+    """A SQL expression over typed parameters; Spark folds it to a constant, so no job runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError("a check in SQL needs a Spark session")
+    row = [F.lit(value).cast(kind).alias(name) for name, (value, kind) in columns.items() if kind is not None]
+    return spark.sql("SELECT 1").select(*row, F.lit(1)).select(F.expr(text)).first()[0]
+
+
 def as_checks(checks: Check | str | Callable[..., Any] | Iterable[Any] | None) -> tuple[Check, ...]:
     """One check or a list of them; bare expressions are wrapped."""
     if checks is None:
@@ -155,7 +168,8 @@ class Param:
         problems = []
         for check in self.checks:
             try:
-                passed = check.holds(value)
+                kind = None if self.type is None else data_type(self.type)
+                passed = check.holds(value, {self.name: (value, kind)})
             except Exception as exc:  # a predicate that cannot judge the value has not passed it
                 problems.append(f"{self.name!r}: {check.describe()} ({exc})")
                 continue
@@ -194,7 +208,8 @@ def resolve_params(
     if not problems:
         for check in checks:
             try:
-                if not check.expr(resolved):
+                columns = {p.name: (resolved[p.name], None if p.type is None else data_type(p.type)) for p in params}
+                if not check.holds(resolved, columns):
                     problems.append(check.describe())
             except Exception as exc:
                 problems.append(f"{check.describe()} ({exc})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Strftime codes and the datetime pattern letters with the same meaning.
@@ -85,9 +85,9 @@ def python_formatter(fn: Callable[[object], str | None]) -> Callable[[Column], C
     Values travel to Python in Arrow batches, which is still the slow path: prefer Column functions.
     """
 
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else fn(v) for v in values], dtype=object)
+    @F.arrow_udf("string")
+    def apply(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
 
     return apply
 

@@ -1,6 +1,6 @@
 """Operators on DataFrames."""
 
-from .checks import check_metrics, check_summary, enforce, first_violation, row_passes, violations
+from .checks import check_summary, enforce, first_violation, row_passes, violations
 from .filters import apply_filters
 from .lineage import cycles, trace
 from .mapping import Field, map_record

@@ -105,11 +105,11 @@ def row_passes(contract: SourceContract) -> Column:
 
 def violation_array(contract: SourceContract) -> Column:
     """All violations of a row, in declared order."""
-    checks = bind_checks(contract)
-    return F.array_compact(F.array(*[F.when(c.failed, c.violation()) for c in checks]))
+    found = [F.when(c.failed, c.violation()) for c in bind_checks(contract)]
+    return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<struct<{VIOLATION_DDL}>>")
 
 
-VIOLATION_DDL = "scope string, column string, check_id string, explain string, value string"
+VIOLATION_DDL = "scope: string, column: string, check_id: string, explain: string, value: string"
 
 
 def violations(df: DataFrame, contract: SourceContract, key: Sequence[str]) -> DataFrame:
@@ -120,7 +120,7 @@ def violations(df: DataFrame, contract: SourceContract, key: Sequence[str]) -> D
     """
     checks = bind_checks(contract)
     if not checks:
-        schema = T.StructType([df.schema[k] for k in key] + T.StructType.fromDDL(VIOLATION_DDL).fields)
+        schema = T.StructType([df.schema[k] for k in key] + T.DataType.fromDDL(f"struct<{VIOLATION_DDL}>").fields)
         return df.sparkSession.createDataFrame([], schema)
     # One slot per check, empty slots dropped afterwards, stays in generated code; compacting the array
     # first would not.
@@ -140,8 +140,11 @@ def first_violation(df: DataFrame, contract: SourceContract, key: Sequence[str])
     )
 
 
-def check_summary(df: DataFrame, contract: SourceContract) -> DataFrame:
-    """Per check the rows tested, failed and skipped because a value is missing, from one aggregate."""
+def check_summary(df: DataFrame, contract: SourceContract, with_rows: bool = False) -> DataFrame:
+    """Per check the rows tested, failed and skipped because a value is missing, from one aggregate.
+
+    ``with_rows`` adds a row of scope "rows" with the number of all rows as ``tested``.
+    """
     checks = bind_checks(contract)
     totals = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(checks):
@@ -155,18 +158,16 @@ def check_summary(df: DataFrame, contract: SourceContract) -> DataFrame:
         )
         for i, c in enumerate(checks)
     ]
+    if with_rows:
+        nothing, none = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+        labels = [F.lit("rows").alias("scope"), nothing.alias("column"), F.lit("rows").alias("check_id"), nothing.alias("explain")]
+        rows.insert(0, F.struct(*labels, F.col("_rows").alias("tested"), none.alias("failed"), none.alias("skipped")))
     if not rows:
         ddl = "scope string, column string, check_id string, explain string, tested bigint, failed bigint, skipped bigint"
         return df.sparkSession.createDataFrame([], ddl)
     return df.agg(*totals).select(F.explode(F.array(*rows)).alias("_check")).select("_check.*")
 
 
-def check_metrics(contract: SourceContract) -> list[Column]:
-    """The failure counts as aggregates for ``DataFrame.observe``: ``rows`` and one per check id."""
-    counts = [F.count(F.lit(1)).alias("rows")]
-    return counts + [F.count_if(c.failed).alias(c.check_id) for c in bind_checks(contract)]
-
-
 def enforce(
     df: DataFrame, contract: SourceContract, policy: str = "quarantine", key: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -190,6 +191,8 @@ def enforce(
     if policy == "report":
         return df, violations(df, contract, key)
     passes = row_passes(contract)
+    if policy == "fail" and not bind_checks(contract):
+        return df, None
     if policy == "fail":
         ids = F.transform(violation_array(contract), lambda v: v["check_id"])
         message = F.concat(F.lit(f"source {contract.name}: a row breaks "), F.array_join(ids, ", "))

@@ -90,7 +90,7 @@ def feed(orders_path: str, out_path: str, policy: str = "drop", start: int = 1,
         row_sequence=RowSequence(("Hire Date", "Employee ID"), start=start, rows_per_range=20_000),
     )
     return (
-        Pipeline("SampleProcessName")
+        Pipeline("EmploymentFeed")
         .source("er", EMPLOYMENT, orders_path, policy=policy, filters=filters)
         .sink("csv", sink)
         .adapter("feed", onto="csv", mapping=FIELDS)

@@ -7,17 +7,18 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..contracts import SourceContract, flatten_params, identifier_problem
 from ..errors import DefinitionError, raise_if
 from ..operators.checks import POLICIES, enforce
-from ..operators.filters import apply_filters
+from ..operators.filters import apply_filters, unanswered
 from ..operators.mapping import Field
 from ..sinks.base import AdaptedSink, Sink
 from ..sources.custom import CustomSource
 from ..sources.reader import conform, load, select_columns
+from ..sources.rejects import read_with_rejects
+from ..staging import stage, temporary_folders
 
 
 @dataclass(frozen=True)
@@ -32,15 +33,30 @@ class SourceBinding:
     custom: CustomSource | None
     policy: str
     bad_path: str | None
+    rejects_path: str | None
     key: Sequence[str]
     values: dict[str, Any]
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """Filtered rows with the declared columns, not yet checked."""
+        return self.read(spark)[0]
+
+    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
+        """The rows, and with a ``rejects_path`` the records that do not parse.
+
+        A custom source gets the values of all filters; those with a predicate are applied to its rows as well.
+        """
         if self.custom is not None:
-            return conform(self.custom.load(spark, **self.contract.bind_filters(self.values)), self.contract)
+            resolved = self.contract.bind_filters(self.values)
+            rows = self.custom.load(spark, **resolved)
+            for param in self.contract.filters:
+                condition = param.condition(resolved[param.name])
+                rows = rows if condition is None else rows.where(condition)
+            return conform(rows, self.contract), None
+        if self.rejects_path is not None:
+            return read_with_rejects(spark, self.contract, self.path, self.fmt, self.options, self.values)
         table = load(spark, self.contract, self.path, self.fmt, self.options)
-        return select_columns(apply_filters(table, self.contract, self.values), self.contract)
+        return select_columns(apply_filters(table, self.contract, self.values), self.contract), None
 
 
 @dataclass
@@ -82,12 +98,14 @@ class Pipeline:
         custom: CustomSource | None = None,
         policy: str = "fail",
         bad_path: str | None = None,
+        rejects_path: str | None = None,
         key: Sequence[str] = (),
         filters: Mapping[str, Any] | None = None,
         **more_filters: Any,
     ) -> Pipeline:
         """Bind a source. ``policy`` says what happens to rows that break a rule; ``quarantine`` and
-        ``report`` write them, or their violations, to ``bad_path``."""
+        ``report`` write them, or their violations, to ``bad_path``. Records that do not parse stop the run, or
+        go to ``rejects_path`` if there is one."""
         if not self._claim(name):
             return self
         values: dict[str, Any] = {}
@@ -104,8 +122,10 @@ class Pipeline:
             self.problems.append(f"source {name!r}: policy {policy!r} needs a bad_path")
         if (path is None) == (custom is None):
             self.problems.append(f"source {name!r} needs either a path or a custom source")
+        if custom is not None and rejects_path is not None:
+            self.problems.append(f"source {name!r}: a custom source has no rejects")
         self.sources[name] = SourceBinding(
-            name, contract, path, fmt, dict(options or {}), custom, policy, bad_path, tuple(key), values
+            name, contract, path, fmt, dict(options or {}), custom, policy, bad_path, rejects_path, tuple(key), values
         )
         return self
 
@@ -160,9 +180,12 @@ class Pipeline:
                 problems.append(f"pipe '{a} -> {b}': sink {b!r} not found")
         for binding in self.sources.values():
             try:
-                binding.contract.bind_filters(binding.values)
+                resolved = binding.contract.bind_filters(binding.values)
             except DefinitionError as exc:
                 problems += [f"source binding {binding.name!r}: {p}" for p in exc.problems]
+                continue
+            if binding.custom is None:
+                problems += [f"source binding {binding.name!r}: {p}" for p in unanswered(binding.contract, resolved)]
         raise_if(f"pipeline {self.name!r}", problems)
 
     def _targets(self) -> dict[str, list[str]]:
@@ -185,32 +208,37 @@ class Pipeline:
     def run(self, spark: SparkSession) -> dict[str, Any]:
         """Run every pipe, one write per sink binding, and return what each write returned.
 
-        A source that feeds several writes is kept in memory and on disk while they run, so that it
-        is read once and all of them see the same rows.
+        What a sink says of the rows it would get is asked of all sinks before the first write. A source that
+        feeds several writes is written to the shared folder first, so that it is read once and all of them
+        see the same rows; nothing of it is left afterwards.
         """
-        self.validate()
+        frames = self.frames(spark)
+        problems: list[str] = []
+        for name, rows in frames.items():
+            try:
+                self.sinks[name].check(rows)
+            except DefinitionError as exc:
+                problems += [f"sink {name!r}: {p}" for p in exc.problems]
+        raise_if(f"pipeline {self.name!r}", problems)
         targets = self._targets()
         uses = {a: sum(a in names for names in targets.values()) for a in self.sources}
         good: dict[str, DataFrame] = {}
-        kept: list[DataFrame] = []
         outcome: dict[str, Any] = {}
-        try:
+        with temporary_folders(spark):
             for name, binding in self.sources.items():
                 if not uses[name]:
                     continue
-                rows = binding.rows(spark)
+                rows, rejects = binding.read(spark)
+                if rejects is not None:
+                    rejects.write.mode("errorifexists").parquet(binding.rejects_path)
                 if uses[name] + (binding.bad_path is not None) > 1:
-                    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-                    kept.append(rows)
+                    rows = stage(rows, "source")
                 good[name], bad = self._enforced(name, rows)
                 if bad is not None and binding.bad_path is not None:
                     bad.write.mode("errorifexists").parquet(binding.bad_path)
             for sink_name, names in targets.items():
                 rows = reduce(DataFrame.unionByName, [good[a] for a in names])
                 outcome[sink_name] = self.sinks[sink_name].write(rows)
-        finally:
-            for rows in kept:
-                rows.unpersist()
         return outcome
 
     def run_stream(self, spark: SparkSession, checkpoint: str, **trigger: Any) -> list[Any]:

@@ -21,6 +21,7 @@ from ..functions import (
     money_dollar,
     money_double,
     money_from_double,
+    python_formatter,
 )
 from ..operators import (
     check_summary,
@@ -36,7 +37,7 @@ from ..operators import (
 )
 from ..sinks import DelimitedSink, RowSequence, custom_sink
 from ..sources import conform, custom_source, read_source, read_with_rejects, record_source, split_rejects
-from ..staging import new_folder
+from ..staging import new_folder, qualified
 from ..streaming import check_counts, stream_sink, stream_source
 from .employment import EMPLOYMENT, FIELDS, HEADER, MONTH, feed
 from .pipeline import Pipeline
@@ -132,22 +133,89 @@ def custom_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(custom_source("catalog", rows).load(spark, min_size=10), CATALOG)
 
 
-@query("SELECT doc_id, text, strlen(text) AS bytes FROM documents")
-def custom_source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User code that reads the files itself, one Spark partition per file."""
+_STATEMENTS = """SELECT o_custkey AS cust_id, 'order ' || o_orderkey AS entry, 'D' AS kind, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+  FROM orders WHERE o_custkey {where} UNION ALL
+  SELECT c_custkey, 'opening', CASE WHEN c_acctbal < 0 THEN 'D' ELSE 'C' END, abs(CAST(round(c_acctbal * 100) AS BIGINT)) FROM customer WHERE c_custkey {where}"""
+
+STATEMENTS = SourceContract(
+    "Statements",
+    columns=[ColumnSpec("cust_id", "bigint"), ColumnSpec("entry", "string"), ColumnSpec("kind", "string"), ColumnSpec("cents", "bigint")],
+    filters=[FilterParam("min_cust", "bigint", default=None, optional=True)],
+)
+
+
+def _statement_files(spark: SparkSession, sf_dir: str) -> str:
+    """Accounts as a format of their own: a line `*customer` opens an account, the lines after it are its entries."""
+    opening = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cust"),
+        F.lit(0).alias("at"),
+        F.format_string("opening;%s;%d", F.when(F.col("c_acctbal") < 0, "D").otherwise("C"), F.abs(F.round(F.col("c_acctbal") * 100)).cast("bigint")).alias("line"),
+    )
+    entries = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey"), F.lit(1), F.format_string("order %d;D;%d", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    )
+    path = new_folder(spark, "statements")
+    lines = opening.union(entries).repartition("cust").sortWithinPartitions("cust", "at")
+    lines.select(F.when(F.col("at") == 0, F.concat(F.lit("*"), F.col("cust").cast("string"), F.lit("\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(path)
+    return path
+
+
+#: Bytes of a slice of a statement file.
+SLICE = 256 * 1024
+
+
+def statement_source(spark: SparkSession, path: str):
+    """The entries of statement files, read by user code in slices of a file.
+
+    An account belongs to the slice in which its first line begins; a slice goes on beyond its end until the next
+    account. Accounts below the filter are skipped while reading.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    files = [(f.getPath().toString(), f.getLen()) for f in found if f.getPath().getName().startswith("part-")]
+    slices = [(uri, start, min(size, start + SLICE)) for uri, size in files for start in range(0, size, SLICE)]
+
+    def read(part: tuple[str, int, int], min_cust: int | None) -> Iterator:
+        import io
 
-    def read(uri: str) -> Iterator:
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
         from pyarrow import fs
 
-        files, path = fs.FileSystem.from_uri(uri)
-        with files.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(columns=["doc_id", "text"]):
-                yield batch.append_column("bytes", pc.cast(pc.binary_length(batch["text"]), "int64"))
+        uri, start, end = part
+        files, name = fs.FileSystem.from_uri(uri)
+        with io.BufferedReader(files.open_input_file(name)) as raw:
+            raw.seek(max(0, start - 1))
+            at = start if start == 0 else start - 1 + len(raw.readline())
+            account = None
+            while line := raw.readline():
+                if line.startswith(b"*"):
+                    if at >= end:
+                        return
+                    account = int(line[1:])
+                elif account is not None and (min_cust is None or account >= min_cust):
+                    entry, kind, cents = line.decode().rstrip("\n").split(";")
+                    yield account, entry, kind, int(cents)
+                at += len(line)
+
+    return record_source("tabpact_statements", "cust_id bigint, entry string, kind string, cents bigint", slices, read)
+
+
+def _statement_plan(spark: SparkSession, sf_dir: str, name: str, **filters) -> DataFrame:
+    folder = new_folder(spark, name)
+    plan = Pipeline("Statements").source("entries", STATEMENTS, custom=statement_source(spark, _statement_files(spark, sf_dir)), **filters)
+    plan.sink("out", DelimitedSink(folder)).pipe("entries -> out").run(spark)
+    return spark.read.schema(STATEMENTS.schema()).csv(folder)
+
+
+@query(_STATEMENTS.format(where="IS NOT NULL"))
+def custom_source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file format that only user code can read, sliced below the size of a file."""
+    return _statement_plan(spark, sf_dir, "statement-rows")
+
 
-    files = table(spark, sf_dir, "documents").inputFiles()
-    return record_source("tabpact_records", "doc_id bigint, text string, bytes bigint", files, read).load(spark)
+@query(_STATEMENTS.format(where=">= 700"))
+def record_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a filter that the user's code gets and applies while reading."""
+    return _statement_plan(spark, sf_dir, "statement-rows", min_cust=700)
 
 
 def _priced_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +262,37 @@ def reject_file_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select(F.coalesce("_corrupt_record", F.col("price").cast("string")).alias("record"))
 
 
+LOOSE_PRICES = SourceContract(
+    "LoosePrices",
+    columns=[ColumnSpec("o_orderkey", "bigint"), ColumnSpec("price", "double", nullable=True, checks=Check("price >= 1000", when_present=True, name="low_price"))],
+    filters=[FilterParam("from_key", "bigint", default=None, optional=True, predicate=lambda v: F.col("o_orderkey") >= v)],
+)
+
+
+def _price_pipe(spark: SparkSession, sf_dir: str) -> str:
+    """Prices, some of which are no numbers, from a CSV file through a pipe; returns its folder."""
+    folder = new_folder(spark, "price-pipe")
+    plan = Pipeline("Prices").source(
+        "prices", LOOSE_PRICES, _price_file(spark, sf_dir), "csv", policy="drop", rejects_path=f"{folder}/rejects", from_key=500
+    )
+    plan.sink("out", DelimitedSink(f"{folder}/out")).pipe("prices -> out").run(spark)
+    return folder
+
+
+@query(
+    _PRICED + """SELECT o_orderkey, TRY_CAST(price AS DOUBLE) AS price FROM priced
+                 WHERE TRY_CAST(price AS DOUBLE) >= 1000 AND o_orderkey >= 500"""
+)
+def pipe_rejects_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("o_orderkey bigint, price double").csv(f"{_price_pipe(spark, sf_dir)}/out")
+
+
+@query(_PRICED + "SELECT o_orderkey || ',' || price AS record FROM priced WHERE TRY_CAST(price AS DOUBLE) IS NULL")
+def pipe_rejects_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bad value in a nullable column is no NULL."""
+    return spark.read.parquet(f"{_price_pipe(spark, sf_dir)}/rejects").select(F.col("_corrupt_record").alias("record"))
+
+
 # ---------------------------------------------------------------- filters
 
 ORDERS = SourceContract(
@@ -473,6 +572,31 @@ def enforce_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.withColumn("broken", ids).drop("violations")
 
 
+@query(
+    """SELECT c_custkey, 'column' AS scope, 'c_acctbal' AS "column", 'balance' AS check_id, 'no customer is in debt' AS explain
+       FROM customer WHERE (c_acctbal >= 0) IS NOT TRUE"""
+)
+def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows go through a pipe, their violations to a table of their own."""
+    folder = new_folder(spark, "report")
+    plan = Pipeline("Report").source(
+        "customers", CUSTOMERS, f"{sf_dir}/customer.parquet", policy="report", bad_path=f"{folder}/report", key=["c_custkey"]
+    )
+    plan.sink("out", DelimitedSink(f"{folder}/out")).pipe("customers -> out").run(spark)
+    return spark.read.parquet(f"{folder}/report").drop("value")
+
+
+BARE = SourceContract("Bare", [ColumnSpec("c_custkey", "bigint", nullable=True), ColumnSpec("c_name", "string", nullable=True)])
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def policy_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default policy lets everything through where there is no rule to break."""
+    path = new_folder(spark, "bare")
+    Pipeline("Bare").source("all", BARE, f"{sf_dir}/customer.parquet").sink("out", DelimitedSink(path)).pipe("all -> out").run(spark)
+    return spark.read.schema(BARE.schema()).csv(path)
+
+
 # ---------------------------------------------------------------- mapping, money, formats
 
 @query(
@@ -580,6 +704,18 @@ def render_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+@query(
+    """SELECT vec_id, len(embedding) || ' numbers, ' || len(list_filter(embedding, lambda x: x > 0)) || ' above zero' AS cell,
+              CASE WHEN vec_id % 7 <> 0 THEN CAST(9007199254740993 + vec_id AS VARCHAR) END AS number FROM embeddings"""
+)
+def python_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells made by plain Python functions: of an array, and of a nullable number that no double holds."""
+    rows = table(spark, sf_dir, "embeddings")
+    number = F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") + F.lit(9007199254740993))
+    as_cell = python_formatter(lambda v: f"{len(v)} numbers, {sum(x > 0 for x in v)} above zero")
+    return rows.select("vec_id", as_cell(F.col("embedding")).alias("cell"), python_formatter(str)(number).alias("number"))
+
+
 # ---------------------------------------------------------------- row numbers
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rec_num FROM orders")
@@ -662,20 +798,23 @@ def adapter_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def adapter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample plan over all records, up to the lines of the file."""
-    rows = feed(f"{sf_dir}/orders.parquet", "unused").frames(spark)["feed"]
-    numbered, _ = RowSequence(("Hire Date", "Employee ID"), rows_per_range=ROWS_PER_RANGE).add(map_record(rows, FIELDS))
-    return render_rows(numbered)
+    path = new_folder(spark, "lines")
+    feed(f"{sf_dir}/orders.parquet", path).run(spark)
+    written = spark.read.text(path)
+    # Each file starts with the header; all other lines start with a number.
+    return written.where(F.col("value").rlike("^[0-9]")).select(F.col("value").alias("line"))
 
 
 class _ParquetRecords:
     """Takes records one by one and writes them in batches to a file of its own attempt."""
 
-    def __init__(self, folder: str, partition: int, attempt: int):
+    def __init__(self, folder: str, schema: str, partition: int, attempt: int):
         from pyarrow import fs
 
         self.files, root = fs.FileSystem.from_uri(folder)
-        self.files.create_dir(f"{root}/pending")
-        self.pending, self.final = f"{root}/pending/{partition}-{attempt}.parquet", f"{root}/out/{partition}.parquet"
+        self.files.create_dir(root)
+        self.name = f"{partition}-{attempt}.parquet"
+        self.path, self.schema = f"{root}/{self.name}", schema
         self.rows: list[dict] = []
         self.writer = None
 
@@ -688,36 +827,55 @@ class _ParquetRecords:
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        schema = pa.schema([("c_custkey", pa.int64()), ("c_name", pa.string()), ("c_acctbal", pa.float64())])
+        kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in self.schema.split(", "))])
         if self.writer is None:
-            self.writer = pq.ParquetWriter(self.pending, schema, filesystem=self.files)
+            self.writer = pq.ParquetWriter(self.path, schema, filesystem=self.files)
         self.writer.write_table(pa.Table.from_pylist(self.rows, schema))
         self.rows = []
 
-    def done(self) -> tuple[str, str]:
+    def done(self) -> str:
         self._flush()
         self.writer.close()
-        return self.pending, self.final
+        return self.name
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
-def custom_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good customers through a user-defined sink that publishes its files on commit; read back."""
-    folder = new_folder(spark, "custom-sink")
-    uri = folder if ":" in folder else f"file://{folder}"
+def _record_sink(spark: SparkSession, folder: str, schema: str, name: str):
+    """A user-defined sink that publishes the files of one attempt per partition by a manifest.
+
+    Writing the manifest again, after a failure in between, gives the same one.
+    """
+    uri = qualified(spark, folder)
 
-    def commit(results: list[tuple[str, str]]) -> None:
+    def commit(results: list[str], batch_id: int = 0) -> None:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(uri)
-        files.create_dir(f"{root}/out")
-        for pending, final in results:
-            files.move(pending, final)
+        files.create_dir(f"{root}/manifests")
+        with files.open_output_stream(f"{root}/manifests/{batch_id}") as out:
+            out.write("\n".join(sorted(results)).encode())
+
+    return custom_sink(name, lambda part, attempt: _ParquetRecords(f"{uri}/files", schema, part, attempt), commit)
 
-    sink = custom_sink("tabpact_parquet_records", lambda part, attempt: _ParquetRecords(uri, part, attempt), commit)
+
+def _published(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The records of the files that the manifests name."""
+    named = spark.read.text(f"{folder}/manifests/*").where("value <> ''").select(F.col("value").alias("_name")).distinct()
+    records = spark.read.schema(schema).parquet(f"{folder}/files").withColumn("_name", F.col("_metadata.file_name"))
+    return records.join(F.broadcast(named) if named.count() <= 100_000 else named, "_name", "left_semi").drop("_name")
+
+
+_ACCOUNTS = "c_custkey bigint, c_name string, c_acctbal double"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
+def custom_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good customers through a user-defined sink that publishes its files on commit; read back."""
+    folder = new_folder(spark, "custom-sink")
+    sink = _record_sink(spark, folder, _ACCOUNTS, "tabpact_parquet_records")
     plan = Pipeline("CustomSink").source("customers", CUSTOMERS, f"{sf_dir}/customer.parquet", policy="drop")
     plan.sink("records", sink).pipe("customers -> records").run(spark)
-    return spark.read.parquet(f"{folder}/out")
+    return _published(spark, folder, _ACCOUNTS)
 
 
 _WINDOWS = (("jan", "1996-01-01", "1996-02-01"), ("q1", "1996-01-01", "1996-04-01"))
@@ -732,12 +890,13 @@ _WINDOWS = (("jan", "1996-01-01", "1996-02-01"), ("q1", "1996-01-01", "1996-04-0
 )
 def two_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source bound twice with different values, each to its own sink."""
+    folder = new_folder(spark, "two-bindings")
     plan = Pipeline("TwoBindings")
     for name, lo, hi in _WINDOWS:
         plan.source(name, ORDERS, f"{sf_dir}/orders.parquet", min_price=0, date_from=lo, date_to=hi)
-        plan.sink(f"{name}_out", DelimitedSink("unused")).pipe(name, f"{name}_out")
-    frames = plan.frames(spark)
-    tagged = [frames[f"{name}_out"].select(F.lit(name).alias("binding"), "*") for name, _, _ in _WINDOWS]
+        plan.sink(f"{name}_out", DelimitedSink, path=f"{folder}/{name}").pipe(name, f"{name}_out")
+    plan.run(spark)
+    tagged = [spark.read.schema(ORDERS.schema()).csv(f"{folder}/{name}").select(F.lit(name).alias("binding"), "*") for name, _, _ in _WINDOWS]
     return tagged[0].unionByName(tagged[1])
 
 
@@ -750,10 +909,12 @@ def two_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources appended into one sink."""
-    plan = Pipeline("FanIn").sink("out", DelimitedSink("unused"))
+    folder = new_folder(spark, "fan-in")
+    plan = Pipeline("FanIn").sink("out", DelimitedSink, path=folder)
     for name, lo, hi in _WINDOWS:
         plan.source(name, ORDERS, f"{sf_dir}/orders.parquet", min_price=0, date_from=lo, date_to=hi).pipe(name, "out")
-    return plan.frames(spark)["out"]
+    plan.run(spark)
+    return spark.read.schema(ORDERS.schema()).csv(folder)
 
 
 @query(
@@ -777,52 +938,29 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- lineage over edge tables
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations that supply, in large orders, to customers of other nations."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 480000").select("o_orderkey", "o_custkey")
-    return (
+    """From nation to nation, if over all line items it sells more to the other one than it buys from there."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sold = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
-        .distinct()
     )
-
-
-_TRADE = """WITH RECURSIVE edges AS (
-  SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity = 50 AND o_totalprice > 480000
+    one, other = F.least("s_nationkey", "c_nationkey"), F.greatest("s_nationkey", "c_nationkey")
+    signed = F.when(F.col("s_nationkey") < F.col("c_nationkey"), F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+    net = sold.where("s_nationkey <> c_nationkey").groupBy(one.alias("one"), other.alias("other")).agg(F.sum(signed).alias("net"))
+    gives = F.col("net") > 0
+    return net.where("net <> 0").select(F.when(gives, F.col("one")).otherwise(F.col("other")).alias("src"), F.when(gives, F.col("other")).otherwise(F.col("one")).alias("dst"))
+
+
+_TRADE = """WITH RECURSIVE net AS (
+  SELECT least(s_nationkey, c_nationkey) AS one, greatest(s_nationkey, c_nationkey) AS other,
+         sum(CASE WHEN s_nationkey < c_nationkey THEN l_quantity ELSE -l_quantity END) AS net
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE s_nationkey <> c_nationkey GROUP BY 1, 2
+), edges AS (
+  SELECT CASE WHEN net > 0 THEN one ELSE other END AS src, CASE WHEN net > 0 THEN other ELSE one END AS dst FROM net WHERE net <> 0
 )"""
-_FORWARD = """, fwd AS (
-  SELECT src AS start, dst AS node, 1 AS depth FROM edges WHERE src IN (0, 7)
-  UNION SELECT f.start, e.dst, f.depth + 1 FROM fwd f JOIN edges e ON f.node = e.src WHERE f.depth < 25
-)"""
-_BACKWARD = """, bwd AS (
-  SELECT dst AS start, src AS node, 1 AS depth FROM edges WHERE dst IN (0, 7)
-  UNION SELECT b.start, e.src, b.depth + 1 FROM bwd b JOIN edges e ON b.node = e.dst WHERE b.depth < 25
-)"""
-
-
-def _least(cte: str, way: str) -> str:
-    return f"SELECT start, node, '{way}' AS direction, min(depth) AS depth FROM {cte} GROUP BY start, node"
-
-
-@query(_TRADE + _FORWARD + _least("fwd", "forward"))
-def trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace(trade_edges(spark, sf_dir), [0, 7], "forward")
-
-
-@query(_TRADE + _BACKWARD + _least("bwd", "backward"))
-def trace_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace(trade_edges(spark, sf_dir), [0, 7], "backward")
-
-
-@query(_TRADE + _FORWARD + _BACKWARD + _least("fwd", "forward") + " UNION ALL " + _least("bwd", "backward"))
-def trace_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace(trade_edges(spark, sf_dir), [0, 7], "both")
-
-
 _CLOSURE = """, reach AS (
   SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src
 )
@@ -868,18 +1006,52 @@ _GOODS = """WITH RECURSIVE edges AS (
 )"""
 
 
+#: A supplier and a customer whose movements are followed.
+STARTS = ("s7", "c10")
+_FORWARD = """, fwd AS (
+  SELECT src AS start, dst AS node, 1 AS depth FROM edges WHERE src IN ('s7', 'c10')
+  UNION SELECT f.start, e.dst, f.depth + 1 FROM fwd f JOIN edges e ON f.node = e.src WHERE f.depth < 25
+)"""
+_BACKWARD = """, bwd AS (
+  SELECT dst AS start, src AS node, 1 AS depth FROM edges WHERE dst IN ('s7', 'c10')
+  UNION SELECT b.start, e.src, b.depth + 1 FROM bwd b JOIN edges e ON b.node = e.dst WHERE b.depth < 25
+)"""
+
+
+def _least(cte: str, way: str) -> str:
+    return f"SELECT start, node, '{way}' AS direction, min(depth) AS depth FROM {cte} GROUP BY start, node"
+
+
+@query(_GOODS + _FORWARD + _least("fwd", "forward"))
+def trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace(goods_edges(spark, sf_dir), STARTS, "forward")
+
+
+@query(_GOODS + _BACKWARD + _least("bwd", "backward"))
+def trace_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace(goods_edges(spark, sf_dir), STARTS, "backward")
+
+
+@query(_GOODS + _FORWARD + _BACKWARD + _least("fwd", "forward") + " UNION ALL " + _least("bwd", "backward"))
+def trace_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace(goods_edges(spark, sf_dir), STARTS, "both")
+
+
 @query(
     _GOODS
     + """, debtors AS (SELECT 's' || s_suppkey AS start FROM supplier WHERE s_acctbal < 0
 ), fwd AS (
-  SELECT start, dst AS node, 1 AS depth FROM edges JOIN debtors ON src = start
-  UNION SELECT f.start, e.dst, f.depth + 1 FROM fwd f JOIN edges e ON f.node = e.src WHERE f.depth < 6
-) SELECT start, node, 'forward' AS direction, min(depth) AS depth FROM fwd GROUP BY start, node"""
+  SELECT start AS node, 0 AS depth FROM debtors
+  UNION SELECT e.dst, f.depth + 1 FROM fwd f JOIN edges e ON f.node = e.src WHERE f.depth < 25
+) SELECT node, min(depth) AS depth FROM fwd GROUP BY node"""
 )
 def trace_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whatever can be reached, over at most six movements, from the suppliers that are in debt."""
-    debtors = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey"))
-    return trace(goods_edges(spark, sf_dir), debtors, "forward", max_depth=6)
+    """How many movements lie between the suppliers in debt and each party that they reach: one row per node."""
+    debtors = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    # A node of its own stands for all debtors, one step before them.
+    debt = debtors.select(F.lit("debt").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
+    reached = trace(goods_edges(spark, sf_dir).union(debt), ["debt"], "forward")
+    return reached.select("node", (F.col("depth") - 1).alias("depth"))
 
 
 @query(_GOODS + _CLOSURE)
@@ -934,27 +1106,45 @@ def stream_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.csv(f"{folder}/out/batch_id=*").select("n", "event_id", "event_type")
 
 
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events in several files, for streams of several batches."""
+    path = new_folder(spark, "event-files")
+    table(spark, sf_dir, "events").repartitionByRange(6, "event_id").write.parquet(path)
+    return path
+
+
 @query(
     """SELECT CAST(count(*) AS BIGINT) AS "rows", count(*) FILTER (WHERE event_type = 'error') AS not_error,
               count(*) FILTER (WHERE value >= 200) AS value_cap,
-              count(*) FILTER (WHERE event_type <> 'error' AND value < 200) AS written FROM events"""
+              count(*) FILTER (WHERE event_type <> 'error' AND value < 200) AS written,
+              count(*) FILTER (WHERE event_type <> 'error' AND value < 200) AS last_number FROM events"""
 )
 def stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline run on a stream: the failures counted while it runs, and the rows that came through."""
+    """A pipeline run on a stream of several batches into a numbered sink: the failures counted while it runs, and the rows that came through."""
     folder = new_folder(spark, "stream-checks")
+    sequence = RowSequence(("ts", "event_id"), name="n", rows_per_range=ROWS_PER_RANGE)
     plan = (
         Pipeline("StreamChecks")
-        .source("events", EVENTS, sf_dir, options=_EVENT_FILES, policy="drop")
-        .sink("out", DelimitedSink(f"{folder}/out"))
+        .source("events", EVENTS, _event_files(spark, sf_dir), options={"maxFilesPerTrigger": "1"}, policy="drop")
+        .sink("out", DelimitedSink(f"{folder}/out", row_sequence=sequence))
         .pipe("events -> out")
     )
-    started = plan.run_stream(spark, f"{folder}/checkpoint")
-    for q in started:
+    for q in plan.run_stream(spark, f"{folder}/checkpoint"):
         q.awaitTermination()
-    counts = spark.createDataFrame(
-        [(c["rows"], c["not_error"], c["value_cap"]) for c in check_counts(started[0], "events")],
-        "rows bigint, not_error bigint, value_cap bigint",
-    )
-    totals = counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
-    written = spark.read.text(f"{folder}/out/batch_id=*").agg(F.count(F.lit(1)).alias("written"))
-    return totals.select("*", written.scalar().alias("written"))
+    counts = check_counts(spark, f"{folder}/checkpoint", "events")
+    of = lambda check, what: F.sum(F.when(F.col("check_id") == check, F.col(what)))
+    totals = counts.agg(of("rows", "tested").alias("rows"), *[of(c, "failed").alias(c) for c in ("not_error", "value_cap")])
+    lines = spark.read.schema("n bigint, event_id bigint").csv(f"{folder}/out/batch_id=*")
+    written = lines.agg(F.count(F.lit(1)).alias("written"), F.max("n").alias("last_number"))
+    return totals.crossJoin(written)
+
+
+@query("SELECT event_id AS id, event_type AS kind, value FROM events WHERE value >= 10")
+def stream_custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream through an adapter into a user-defined sink; read back by its manifests, one per batch."""
+    folder = new_folder(spark, "stream-custom")
+    schema = "id bigint, kind string, value double"
+    sink = _record_sink(spark, folder, schema, "tabpact_stream_records").adapt([("id", "event_id"), ("kind", "event_type"), ("value", "value")])
+    events = stream_source(spark, EVENTS, _event_files(spark, sf_dir), filters={"min_value": 10}, options={"maxFilesPerTrigger": "2"})
+    stream_sink(events, sink, f"{folder}/checkpoint").awaitTermination()
+    return _published(spark, folder, schema)

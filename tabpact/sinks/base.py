@@ -16,6 +16,9 @@ class Sink:
     def write(self, df: DataFrame) -> Any:
         raise NotImplementedError
 
+    def check(self, df: DataFrame) -> None:
+        """Raise a definition error if the rows do not fit; no job is run."""
+
     def batch_writer(self, batch_id: int) -> Sink:
         """The sink for one micro-batch. Writing the same batch again must replace its first output."""
         raise TypeError(f"{type(self).__name__} cannot take micro-batches")
@@ -40,6 +43,9 @@ class AdaptedSink(Sink):
     def transform(self, df: DataFrame) -> DataFrame:
         return self.mapping(df) if callable(self.mapping) else map_record(df, self.fields)
 
+    def check(self, df: DataFrame) -> None:
+        self.inner.check(self.transform(df))
+
     def write(self, df: DataFrame, **how: Any) -> Any:
         return self.inner.write(self.transform(df), **how)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 from pyspark import TaskContext
@@ -60,26 +60,30 @@ class CustomSink(Sink):
     open_writer: Callable[[int, int], RecordWriter]
     on_commit: Callable[[list[Any]], None] | None = None
     on_abort: Callable[[list[Any]], None] | None = None
+    mode: str = "errorifexists"
+    _writes: list[None] = field(default_factory=list, repr=False, compare=False)
 
     def data_source(self) -> type[DataSource]:
         """The sink as a Spark data source for batch and streaming writes."""
         sink = self
 
+        open_writer, on_commit, on_abort = self.open_writer, self.on_commit, self.on_abort
+
         class Target:
             def write(self, iterator):
                 task = TaskContext.get()
-                writer = SealedAfterDone(sink.open_writer(task.partitionId(), task.taskAttemptId()))
+                writer = SealedAfterDone(open_writer(task.partitionId(), task.taskAttemptId()))
                 for row in iterator:
                     writer.put(row)
                 return _Done(writer.done())
 
             def commit(self, messages, *batch):
-                if sink.on_commit is not None:
-                    sink.on_commit([m.value for m in messages if m is not None], *batch)
+                if on_commit is not None:
+                    on_commit([m.value for m in messages if m is not None], *batch)
 
             def abort(self, messages, *batch):
-                if sink.on_abort is not None:
-                    sink.on_abort([m.value for m in messages if m is not None], *batch)
+                if on_abort is not None:
+                    on_abort([m.value for m in messages if m is not None], *batch)
 
         class BatchTarget(Target, DataSourceWriter):
             pass
@@ -101,8 +105,12 @@ class CustomSink(Sink):
         return Source
 
     def write(self, df: DataFrame) -> None:
+        """One write; after it the sink is sealed, unless its mode is ``append``."""
+        if self._writes and self.mode != "append":
+            raise SealedError(f"sink {self.name!r} is done; with mode 'append' it would take more")
         df.sparkSession.dataSource.register(self.data_source())
         df.write.format(self.name).mode("append").save()
+        self._writes.append(None)
 
 
 def custom_sink(
@@ -110,6 +118,7 @@ def custom_sink(
     open_writer: Callable[[int, int], RecordWriter],
     on_commit: Callable[..., None] | None = None,
     on_abort: Callable[..., None] | None = None,
+    mode: str = "errorifexists",
 ) -> CustomSink:
     """A sink from user code.
 
@@ -119,6 +128,10 @@ def custom_sink(
     once with the result of ``done`` of exactly one attempt per partition. ``on_abort(results)`` is
     called instead when the job fails. On a stream both also get the batch id, and ``on_commit`` may
     be called again for a batch that was committed just before a failure.
+
+    A sink that has been written is sealed: a second ``write`` raises, unless ``mode`` is ``append``.
     """
-    raise_if(f"sink {name!r}", [] if name.isidentifier() else ["the name is not an identifier"])
-    return CustomSink(name, open_writer, on_commit, on_abort)
+    problems = [] if name.isidentifier() else ["the name is not an identifier"]
+    problems += [] if mode in ("errorifexists", "append") else [f"mode {mode!r} is neither 'errorifexists' nor 'append'"]
+    raise_if(f"sink {name!r}", problems)
+    return CustomSink(name, open_writer, on_commit, on_abort, mode)

@@ -12,6 +12,7 @@ from ..errors import raise_if
 from ..functions.formats import date_formatter
 from ..operators.rendering import QUOTING, format_cells, render_line
 from ..operators.sequence import number_rows
+from ..staging import temporary_folders
 from .base import Sink
 
 #: monotonically_increasing_id keeps the row position within the partition in its low 33 bits.
@@ -104,7 +105,7 @@ class DelimitedSink(Sink):
         as_date = date_formatter(self.date_fmt)
         return format_cells(df, {"date": as_date}, self.none_fmt)
 
-    def check_width(self, df: DataFrame) -> None:
+    def check(self, df: DataFrame) -> None:
         """The header must name every cell; the row number is one more."""
         width = len(df.columns) + (self.row_sequence is not None)
         if self.header is not None and len(self.header) != width:
@@ -118,13 +119,14 @@ class DelimitedSink(Sink):
 
     def write(self, df: DataFrame, start: int | None = None) -> int | None:
         """Write all rows in one job. Returns their number if rows are numbered."""
-        self.check_width(df)
-        rows, total = self.numbered(df, start)
-        cells = self.cells(rows)
-        if self.quoting == "rfc4180" and len(self.eol) == 1:
-            self._write_csv(cells)
-        else:
-            self._write_text(cells)
+        self.check(df)
+        with temporary_folders(df.sparkSession):
+            rows, total = self.numbered(df, start)
+            cells = self.cells(rows)
+            if self.quoting == "rfc4180" and len(self.eol) == 1:
+                self._write_csv(cells)
+            else:
+                self._write_text(cells)
         return total
 
     def _write_csv(self, cells: DataFrame) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -38,33 +38,37 @@ def record_source(
     name: str,
     schema: str | T.StructType,
     slices: Sequence[Any],
-    read: Callable[[Any], Iterator[Any]],
+    read: Callable[..., Iterator[Any]],
 ) -> CustomSource:
     """A source of records that user code yields slice by slice, one Spark partition per slice.
 
-    ``read(slice)`` runs on an executor and yields tuples in schema order or Arrow record batches;
-    batches are much cheaper. A slice is read again if its task is retried.
+    ``read(slice, **filters)`` runs on an executor and yields tuples in schema order or Arrow record
+    batches; batches are much cheaper. It gets the bound value of every filter of the contract, None for
+    one that is not set. A slice is read again if its task is retried.
     """
 
     class Reader(DataSourceReader):
+        def __init__(self, filters):
+            self.filters = filters
+
         def partitions(self):
             return [_Slice(s) for s in slices]
 
         def read(self, partition):
-            yield from read(partition.value)
+            yield from read(partition.value, **self.filters)
 
-    class Source(DataSource):
-        @classmethod
-        def name(cls):
-            return name
+    def load(spark: SparkSession, **filters: Any) -> DataFrame:
+        class Source(DataSource):
+            @classmethod
+            def name(cls):
+                return name
 
-        def schema(self):
-            return schema
+            def schema(self):
+                return schema
 
-        def reader(self, schema):
-            return Reader()
+            def reader(self, schema):
+                return Reader(filters)
 
-    def load(spark: SparkSession, **filters: Mapping[str, Any]) -> DataFrame:
         spark.dataSource.register(Source)
         return spark.read.format(name).load()
 

@@ -37,6 +37,10 @@ def raw_schema(contract: SourceContract) -> T.StructType | None:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in contract.schema()])
 
 
+def reader_options(fmt: str, options: Mapping[str, str] | None) -> dict[str, str]:
+    return ({"mode": "FAILFAST"} if fmt in TEXT_FORMATS else {}) | dict(options or {})
+
+
 def load(
     spark: SparkSession,
     contract: SourceContract,
@@ -44,10 +48,14 @@ def load(
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The table as stored. ``fmt="table"`` takes ``path`` as a catalog name."""
+    """The table as stored. ``fmt="table"`` takes ``path`` as a catalog name.
+
+    A record of a text format that does not parse fails the job, unless the options give another mode:
+    as NULLs it would lose its values and pass. See :func:`tabpact.read_with_rejects`.
+    """
     if fmt == "table":
         return spark.table(path)
-    reader = spark.read.format(fmt).options(**(options or {}))
+    reader = spark.read.format(fmt).options(**reader_options(fmt, options))
     schema = raw_schema(contract) if fmt in TEXT_FORMATS else None
     return (reader.schema(schema) if schema else reader).load(path)
 

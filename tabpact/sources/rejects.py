@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from typing import Any, TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from ..contracts import SourceContract, data_type
+from ..operators.filters import apply_filters
 from .reader import TEXT_FORMATS, load, raw_schema, select_columns
 
 CORRUPT = "_corrupt_record"
+R = TypeVar("R", DataFrameReader, DataStreamReader)
 
 
 def split_rejects(df: DataFrame, targets: Mapping[str, str | T.DataType]) -> tuple[DataFrame, DataFrame]:
@@ -29,32 +33,45 @@ def split_rejects(df: DataFrame, targets: Mapping[str, str | T.DataType]) -> tup
     return good, df.where(any_failed).withColumn("reject_columns", names)
 
 
+def split_records(table: DataFrame, contract: SourceContract, tolerant: bool) -> tuple[DataFrame, DataFrame]:
+    """A table as read, batch or stream, as rows that parse and rejects.
+
+    ``tolerant`` says that it was read with :func:`tolerant_reader`, so that rejects carry their raw text.
+    """
+    if not tolerant:
+        return split_rejects(table, {c.name: c.data_type for c in contract.columns if c.source is None})
+    # Always true, but it needs every column: a reader that skips one does not notice it is broken.
+    names = [c for c in table.columns if c != CORRUPT]
+    parsed = reduce(lambda a, b: a + b, (F.col(n).isNull().cast("int") for n in names)) >= 0
+    return table.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT), table.where(F.col(CORRUPT).isNotNull() & parsed)
+
+
+def tolerant_reader(reader: R, contract: SourceContract, fmt: str, options: Mapping[str, str] | None) -> R | None:
+    """A batch or stream reader that keeps the text of records that do not parse; None where a format has no such text."""
+    schema = raw_schema(contract) if fmt in TEXT_FORMATS else None
+    if schema is None:
+        return None
+    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    settings = {**(options or {}), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return reader.format(fmt).schema(schema).options(**settings)
+
+
 def read_with_rejects(
     spark: SparkSession,
     contract: SourceContract,
     path: str,
     fmt: str = "csv",
     options: Mapping[str, str] | None = None,
+    filters: Mapping[str, Any] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read a table so that records which do not parse do not stop the job.
 
     CSV and JSON rejects hold the parsed columns and the raw text in ``_corrupt_record``. Other
-    formats are read as stored and split by converting to the declared types.
+    formats are read as stored and split by converting to the declared types. Filters apply to the
+    records that parse; a reject has no values that they could be applied to.
     """
-    schema = raw_schema(contract) if fmt in TEXT_FORMATS else None
-    if schema is None:
-        table = load(spark, contract, path, fmt, options)
-        plain = {c.name: c.data_type for c in contract.columns if c.source is None}
-        good, rejects = split_rejects(table, plain)
-        return select_columns(good, contract), rejects
-    tolerant = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    settings = {
-        **(options or {}),
-        "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": CORRUPT,
-    }
-    table = spark.read.format(fmt).schema(tolerant).options(**settings).load(path)
-    # Always true, but it needs every column: a reader that skips one does not notice it is broken.
-    parsed = reduce(lambda a, b: a + b, (F.col(f.name).isNull().cast("int") for f in schema.fields)) >= 0
-    good = table.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
-    return select_columns(good, contract), table.where(F.col(CORRUPT).isNotNull() & parsed)
+    contract.bind_filters(filters)
+    reader = tolerant_reader(spark.read, contract, fmt, options)
+    table = load(spark, contract, path, fmt, options) if reader is None else reader.load(path)
+    good, rejects = split_records(table, contract, reader is not None)
+    return select_columns(apply_filters(good, contract, filters), contract), rejects

@@ -7,12 +7,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables.
@@ -40,7 +45,29 @@ def application_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path for one operator run."""
-    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+@contextmanager
+def temporary_folders(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made within are removed at the end: for jobs whose output is written by then."""
+    mine: list[str] = []
+    before = _made.set(mine)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for path in mine:
+            remove(spark, path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark takes it for."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,41 +5,54 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..contracts import SourceContract
 from ..errors import raise_if
-from ..operators.checks import check_metrics, enforce
-from .scan import stream_source
+from ..operators.checks import check_summary, enforce
+from .scan import stream_with_rejects
 from .sinks import stream_sink
 
 if TYPE_CHECKING:
     from ..plans.pipeline import Pipeline
 
+COUNTS = "batch_id bigint, scope string, column string, check_id string, explain string, tested bigint, failed bigint, skipped bigint"
 
-def metrics_name(source: str) -> str:
-    return f"checks_{source}"
+
+def counts_path(checkpoint: str, source: str) -> str:
+    return f"{checkpoint}/counts_{source}"
 
 
 def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **trigger: Any) -> list[StreamingQuery]:
-    """Start one query per sink binding, and one per source whose bad rows or violations are kept.
+    """Start one query per sink binding, and per source one that counts and one for each kind of rows kept aside.
 
-    Filters, checks, policies and mappings are those of the batch run. Each batch reports the rows
-    seen and the failures per check as observed metrics; see :func:`check_counts`.
+    Filters, checks, policies and mappings are those of the batch run. Each query reads its sources by
+    itself, so a source with several sinks is read several times; the counting query reads only the columns that
+    checks need. See :func:`check_counts`.
     """
     pipeline.validate()
     unstreamable = [b.name for b in pipeline.sources.values() if b.custom is not None or b.fmt == "table"]
     raise_if(f"pipeline {pipeline.name!r}", [f"source {n!r} cannot be read as a stream of files" for n in unstreamable])
     queries: list[StreamingQuery] = []
     good: dict[str, DataFrame] = {}
+
+    def start(rows: DataFrame, name: str, path: str | None = None, **to: Any) -> None:
+        writer = rows.writeStream.option("checkpointLocation", f"{checkpoint}/{name}").queryName(f"{pipeline.name}_{name}")
+        writer = writer.trigger(**(trigger or {"availableNow": True}))
+        queries.append(writer.format("parquet").start(path) if path else writer.foreachBatch(to["each"]).start())
+
     for name in dict.fromkeys(a for a, _ in pipeline.pipes):
         binding = pipeline.sources[name]
-        rows = stream_source(spark, binding.contract, binding.path, binding.fmt, binding.values, binding.options)
-        observed = rows.observe(metrics_name(name), *check_metrics(binding.contract))
-        good[name], bad = enforce(observed, binding.contract, binding.policy, binding.key)
+        rows, rejects = stream_with_rejects(
+            spark, binding.contract, binding.path, binding.fmt, binding.values, binding.options, split=binding.rejects_path is not None
+        )
+        good[name], bad = enforce(rows, binding.contract, binding.policy, binding.key)
+        if rejects is not None:
+            start(rejects, f"rejects_{name}", binding.rejects_path)
         if bad is not None and binding.bad_path is not None:
-            writer = bad.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/bad_{name}")
-            queries.append(writer.trigger(**(trigger or {"availableNow": True})).start(binding.bad_path))
+            start(bad, f"bad_{name}", binding.bad_path)
+        start(rows, f"count_{name}", each=_counter(binding.contract, counts_path(checkpoint, name)))
     for sink_name, names in pipeline._targets().items():
         rows = reduce(DataFrame.unionByName, [good[a] for a in names])
         queries.append(
@@ -48,11 +61,28 @@ def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **tri
     return queries
 
 
-def check_counts(query: StreamingQuery, source: str) -> list[dict[str, int]]:
-    """Rows and failures per check for each recent batch of a running or finished query."""
-    counts = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get(metrics_name(source))
-        if seen is not None:
-            counts.append({"batch_id": progress.batchId, **seen.asDict()})
-    return counts
+def _counter(contract: SourceContract, path: str) -> Any:
+    def count(batch: DataFrame, batch_id: int) -> None:
+        """One aggregate per batch, evaluated once; a repeated batch replaces its counts."""
+        counts = check_summary(batch, contract, with_rows=True)
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return count
+
+
+def check_counts(spark: SparkSession, checkpoint: str, source: str) -> DataFrame:
+    """Per batch and check the rows tested, failed and skipped, of all batches so far.
+
+    The row with ``scope`` "rows" has the number of rows of the batch. The counts are a table under the
+    checkpoint, so none is ever dropped, and they outlive the query.
+    """
+    if not any(f.getPath().getName().startswith("batch_id=") for f in _children(spark, counts_path(checkpoint, source))):
+        return spark.createDataFrame([], COUNTS)
+    table = spark.read.schema(COUNTS).parquet(counts_path(checkpoint, source))
+    return table.select(*[F.col(c.split(" ")[0]) for c in COUNTS.split(", ")])
+
+
+def _children(spark: SparkSession, path: str) -> list[Any]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(files.listStatus(target)) if files.exists(target) else []

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..contracts import SourceContract
 from ..operators.filters import apply_filters
-from ..sources.reader import load, select_columns
+from ..sources.reader import load, reader_options, select_columns
+from ..sources.rejects import split_records, tolerant_reader
 
 
 def stream_source(
@@ -26,7 +27,29 @@ def stream_source(
     The schema of the stored table is read once from the files that are there, unless it is given.
     Pass ``maxFilesPerTrigger`` in ``options`` to bound a micro-batch.
     """
+    return stream_with_rejects(spark, contract, path, fmt, filters, options, schema, split=False)[0]
+
+
+def stream_with_rejects(
+    spark: SparkSession,
+    contract: SourceContract,
+    path: str,
+    fmt: str = "parquet",
+    filters: Mapping[str, Any] | None = None,
+    options: Mapping[str, str] | None = None,
+    schema: T.StructType | None = None,
+    split: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The stream of the declared columns, and that of the records which do not parse.
+
+    Without ``split`` there is no second stream, and such a record fails the query.
+    """
     contract.bind_filters(filters)
-    stored = schema or load(spark, contract, path, fmt, options).schema
-    table = spark.readStream.format(fmt).schema(stored).options(**(options or {})).load(path)
-    return select_columns(apply_filters(table, contract, filters), contract)
+    reader = tolerant_reader(spark.readStream, contract, fmt, options) if split else None
+    if reader is None:
+        stored = schema or load(spark, contract, path, fmt, options).schema
+        table = spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path)
+    else:
+        table = reader.load(path)
+    good, rejects = split_records(table, contract, reader is not None) if split else (table, None)
+    return select_columns(apply_filters(good, contract, filters), contract), rejects

@@ -10,27 +10,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks.base import AdaptedSink, Sink
 from ..sinks.custom import CustomSink
+from ..staging import stage, temporary_folders
 
 
-def _sequence(sink: Sink):
+def unwrapped(sink: Sink, sdf: DataFrame) -> tuple[Sink, DataFrame]:
+    """The sink behind all adapters, and the rows as it gets them."""
     while isinstance(sink, AdaptedSink):
-        sink = sink.inner
-    return getattr(sink, "row_sequence", None)
+        sink, sdf = sink.inner, sink.transform(sdf)
+    return sink, sdf
 
 
 def _last_number(spark: SparkSession, table: str, batch_id: int) -> int | None:
-    """The last number given before a batch; batches after it, from an earlier attempt, do not count."""
+    """The last number that the batch before has given; None for the first batch.
+
+    Batches come one by one, so a missing number means that the table was lost, and numbers would be given twice.
+    """
     if batch_id == 0:
         return None
-    try:  # usually the batch just before, found without listing the others
-        row = spark.read.parquet(f"{table}/batch_id={batch_id - 1}").agg(F.max("last_number")).first()
-    except AnalysisException:
-        try:
-            earlier = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            return None
-        row = earlier.agg(F.max("last_number")).first()
-    return row[0]
+    try:
+        return spark.read.parquet(f"{table}/batch_id={batch_id - 1}").agg(F.max("last_number")).first()[0]
+    except AnalysisException as exc:
+        raise RuntimeError(f"the last number of batch {batch_id - 1} is not in {table}; numbers cannot go on") from exc
 
 
 def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None = None, **trigger: Any) -> StreamingQuery:
@@ -38,11 +38,13 @@ def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None =
 
     A delimited sink writes each micro-batch to ``<path>/batch_id=<n>``. A batch that is repeated
     after a failure replaces its own folder and starts from the same number, so records and numbers
-    come out once. The last number of each batch is kept under ``<checkpoint>/last_number``. A custom
-    sink is written through its streaming writer.
+    come out once. The last number of each batch is kept under ``<checkpoint>/last_number``. A batch is
+    evaluated once and leaves no intermediate table. A custom sink is written through its streaming writer.
+    Adapters may stand in front of either.
 
     The default trigger is ``availableNow=True``: everything that is there, then the query ends.
     """
+    sink, sdf = unwrapped(sink, sdf)
     writer = sdf.writeStream.option("checkpointLocation", f"{checkpoint}/query")
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     if name:
@@ -50,7 +52,7 @@ def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None =
     if isinstance(sink, CustomSink):
         sdf.sparkSession.dataSource.register(sink.data_source())
         return writer.format(sink.name).outputMode("append").start()
-    sequence = _sequence(sink)
+    sequence = getattr(sink, "row_sequence", None)
     table = f"{checkpoint}/last_number"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +63,8 @@ def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None =
         spark = batch.sparkSession
         last = _last_number(spark, table, batch_id)
         start = sequence.start if last is None else last + 1
-        total = target.write(batch, start=start)
+        with temporary_folders(spark):  # numbering reads its input twice, the batch itself is evaluated once
+            total = target.write(stage(batch, "batch"), start=start)
         counted = spark.createDataFrame([(start + total - 1,)], "last_number bigint")
         counted.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 

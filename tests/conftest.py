@@ -1,10 +1,13 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 
 def new_session() -> SparkSession:
@@ -17,6 +20,7 @@ def new_session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.maxMetadataStringLength", "10000")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tabpact-shared-')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -144,3 +144,23 @@ def test_missing_column_and_comment(spark, folder):
     df = read_source(spark, SourceContract("S", [ColumnSpec("a", "bigint", explain="the key")]), f"{folder}/t")
     assert df.schema["a"].metadata == {"comment": "the key"} and df.schema["a"].dataType.simpleString() == "bigint"
     assert SourceContract("S", [ColumnSpec("a", "bigint", explain="the key")]).schema()["a"].nullable is False
+
+
+def test_checks_in_sql_on_parameters(spark):
+    from tabpact import Check, DefinitionError, Param, SinkContract
+
+    contract = SinkContract(
+        "S",
+        [
+            Param("delimiter", "string", default=",", checks="length(delimiter) >= 1"),
+            Param("lo", "date", default=None, optional=True, checks=Check("lo >= DATE'2000-01-01'", when_present=True)),
+            Param("hi", "date", default=None, optional=True),
+            Param("names", None, default=(), checks=Check(lambda v: len(v) < 3)),
+        ],
+        checks=Check("lo < hi", "lo before hi", when_present=True),
+    )
+    assert contract.bind(lo="2001-01-01", hi="2002-01-01")["delimiter"] == ","
+    assert contract.bind(lo="2001-01-01")["hi"] is None
+    for wrong in ({"delimiter": ""}, {"lo": "1999-01-01"}, {"lo": "2002-01-01", "hi": "2001-01-01"}, {"names": (1, 2, 3)}):
+        with pytest.raises(DefinitionError):
+            contract.bind(**wrong)

@@ -146,3 +146,10 @@ def test_plain_python_formatter(spark):
     df = spark.sql("SELECT date'2024-01-02' AS d UNION ALL SELECT NULL")
     out = format_cells(df, {"date": python_formatter(lambda v: f"day {v.day}")}, none_text="?")
     assert {r.d for r in out.collect()} == {"day 2", "?"}
+
+
+def test_python_formatter_keeps_values_exact(spark):
+    rows = [(9007199254740993, [1, 2], float("nan")), (None, None, None), (7, [], 1.5)]
+    df = spark.createDataFrame(rows, "n bigint, a array<int>, d double")
+    n, a, d = (python_formatter(str)(F.col(c)) for c in "nad")
+    assert [tuple(r) for r in df.select(n, a, d).collect()] == [("9007199254740993", "[1, 2]", "nan"), (None, None, None), ("7", "[]", "1.5")]

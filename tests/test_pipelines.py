@@ -139,6 +139,31 @@ def test_policies(spark, numbers, folder):
     assert [r.check_id for r in spark.read.parquet(f"{folder}/report_rows").collect()] == ["no_seven"]
 
 
+def test_all_widths_are_checked_before_the_first_write(spark, numbers, folder):
+    plan = Pipeline("W").source("a", NUMBERS, numbers, policy="drop")
+    plan.sink("x", DelimitedSink(f"{folder}/x")).sink("y", DelimitedSink(f"{folder}/y", header=["a", "b"])).sink("z", DelimitedSink(f"{folder}/z", header=["a", "b", "c"]))
+    plan.pipe("a -> x").pipe("a -> y").pipe("a -> z")
+    with pytest.raises(DefinitionError) as e:
+        plan.run(spark)
+    assert len(e.value.problems) == 2 and not glob.glob(f"{folder}/x")
+
+
+def test_fail_without_rules(spark, numbers, folder):
+    bare = SourceContract("Bare", [ColumnSpec("n", "bigint", nullable=True)])
+    plan = Pipeline("P").source("a", bare, numbers).sink("s", DelimitedSink(f"{folder}/s")).pipe("a -> s")
+    plan.run(spark)
+    assert len(lines_of(f"{folder}/s")) == 100
+
+
+def test_nothing_is_left_of_a_shared_source(spark, numbers, folder):
+    from tabpact.staging import application_folder
+
+    before = set(glob.glob(f"{application_folder(spark).removeprefix("file://")}/*"))
+    plan = Pipeline("P").source("a", NUMBERS, numbers, policy="drop").sink("s", DelimitedSink(f"{folder}/s")).sink("t", DelimitedSink(f"{folder}/t"))
+    plan.pipe("a -> s").pipe("a -> t").run(spark)
+    assert set(glob.glob(f"{application_folder(spark).removeprefix("file://")}/*")) == before
+
+
 def test_failed_definition_runs_no_job(spark, numbers):
     # A status tracker would see a job; reading a path that does not exist would raise another error.
     plan = Pipeline("P").source("a", NUMBERS, "/does/not/exist", lo="x").sink("s", DelimitedSink("p")).pipe("a -> s")

@@ -163,3 +163,10 @@ def test_adapters_compose(spark, folder):
     sink = DelimitedSink(f"{folder}/o").adapt([("n", "id + 1")]).adapt(lambda df: df.where("id < 3"))
     sink.write(spark.range(10).coalesce(1))
     assert lines_of(f"{folder}/o") == "1\n2\n3\n"
+
+
+def test_a_written_custom_sink_is_sealed(spark, folder):
+    sink = folder_sink(folder, "tabpact_sealed_folder")
+    sink.write(spark.range(3))
+    with pytest.raises(SealedError):
+        sink.write(spark.range(3))

@@ -58,6 +58,51 @@ def test_record_source_partitions(spark):
     assert sorted(r.i for r in df.collect()) == [0, 1, 10, 11, 20, 21]
 
 
+def test_filters_reach_a_record_source(spark):
+    from pyspark.sql import functions as F
+
+    from tabpact import DelimitedSink, FilterParam, Pipeline
+
+    def read(part, min_id, odd):
+        yield from ((i, f"{min_id}") for i in range(part, part + 10) if i >= min_id)
+
+    contract = SourceContract(
+        "R",
+        [ColumnSpec("i", "int"), ColumnSpec("s", "string")],
+        filters=[FilterParam("min_id", "int"), FilterParam("odd", "boolean", default=None, optional=True, predicate=lambda v: (F.col("i") % 2 == 1) == v)],
+    )
+    source = record_source("tabpact_filtered", "i int, s string", [0, 10], read)
+
+    def rows(**filters):
+        plan = Pipeline("P").source("a", contract, custom=source, **filters).sink("o", DelimitedSink("unused")).pipe("a -> o")
+        return sorted(tuple(r) for r in plan.frames(spark)["o"].collect())
+
+    assert rows(min_id=7) == [(i, "7") for i in range(7, 20)]
+    assert rows(min_id=15, odd=True) == [(15, "15"), (17, "15"), (19, "15")]
+
+
+def test_a_filter_without_predicate_is_an_error_on_a_table(spark, folder):
+    from tabpact import DelimitedSink, FilterParam, Pipeline
+
+    contract = SourceContract("F", [ColumnSpec("id", "bigint")], filters=[FilterParam("x", "int", default=None, optional=True)])
+    spark.range(3).write.parquet(f"{folder}/t")
+    assert read_source(spark, contract, f"{folder}/t").count() == 3
+    with pytest.raises(DefinitionError, match="no predicate"):
+        read_source(spark, contract, f"{folder}/t", filters={"x": 1})
+    with pytest.raises(DefinitionError, match="no predicate"):
+        Pipeline("P").source("a", contract, f"{folder}/t", x=1).sink("o", DelimitedSink("p")).pipe("a -> o").validate()
+
+
+def test_a_bad_value_does_not_pass_as_null(spark, folder):
+    spark.createDataFrame([("1,2020-01-01,1.5",), ("2,2020-01-01,n/a",)], "l string").coalesce(1).write.text(f"{folder}/t")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_source(spark, CONTRACT, f"{folder}/t", "csv").collect()
+    good, bad = read_with_rejects(spark, CONTRACT, f"{folder}/t", "csv")
+    assert (good.count(), bad.count()) == (1, 1)
+    loose = read_source(spark, CONTRACT, f"{folder}/t", "csv", options={"mode": "DROPMALFORMED"})
+    assert [r.id for r in loose.collect()] == [1]
+
+
 def test_record_source_failure_fails_the_job(spark):
     def read(part):
         yield (1,)

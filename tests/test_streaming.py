@@ -79,10 +79,88 @@ def test_stream_equals_batch(spark, events, folder):
     expected = good.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
     assert written.count() == expected.count() and written.exceptAll(expected).count() == 0
     assert spark.read.parquet(f"{folder}/bad").count() == bad.count()
-    counts = [c for q in queries for c in check_counts(q, "ev") if q.name == "Watch_slim"]
-    assert len(counts) == 3 and sum(c["rows"] for c in counts) == batch.count()
+    counts = check_counts(spark, f"{folder}/cp", "ev").collect()
+    assert {c.batch_id for c in counts} == {0, 1, 2}
+    assert sum(c.tested for c in counts if c.scope == "rows") == batch.count()
     failures = {r.check_id: r["count"] for r in violations(batch, EVENTS, ["event_id"]).groupBy("check_id").count().collect()}
-    assert {k: sum(c[k] for c in counts) for k in failures} == failures
+    assert {k: sum(c.failed for c in counts if c.check_id == k) for k in failures} == failures
+
+
+def many_files(spark, events, path, number):
+    spark.read.parquet(events).repartitionByRange(number, "event_id").write.mode("append").parquet(path)
+
+
+def test_counts_of_more_than_a_hundred_batches_and_a_restart(spark, events, folder):
+    """Numbered sink, one file a batch: every row is counted once, also by the batches that the progress has forgotten."""
+    from tabpact.staging import application_folder
+
+    before = set(glob.glob(f"{application_folder(spark).removeprefix("file://")}/*"))
+    many_files(spark, events, f"{folder}/in", 104)
+    files = spark.read.parquet(f"{folder}/in")
+    plan = (
+        Pipeline("Many")
+        .source("ev", EVENTS, f"{folder}/in", options={"maxFilesPerTrigger": "1"}, policy="drop")
+        .sink("out", DelimitedSink(f"{folder}/out", row_sequence=RowSequence(["event_id"], name="n")))
+        .pipe("ev -> out")
+    )
+
+    def run():
+        for q in plan.run_stream(spark, f"{folder}/cp"):
+            q.awaitTermination()
+
+    run()
+    total = files.count()
+    many_files(spark, events, f"{folder}/in", 3)
+    run()
+    counts = check_counts(spark, f"{folder}/cp", "ev").collect()
+    assert len({c.batch_id for c in counts}) == 107
+    assert sum(c.tested for c in counts if c.scope == "rows") == 2 * total
+    written = spark.read.schema("n bigint, event_id bigint").csv(f"{folder}/out/batch_id=*")
+    good = files.where("event_type <> 'error' AND value < 200").count()
+    assert sorted(r.n for r in written.collect()) == list(range(1, 2 * good + 1))
+    assert set(glob.glob(f"{application_folder(spark).removeprefix("file://")}/*")) == before
+
+
+def test_lost_numbers_stop_the_stream(spark, events, folder):
+    stream = stream_source(spark, EVENTS, events, options={"maxFilesPerTrigger": "2"})
+    shutil.copytree(events, f"{folder}/in")
+    stream = stream_source(spark, EVENTS, f"{folder}/in", options={"maxFilesPerTrigger": "2"})
+    stream_sink(stream, numbered(folder), f"{folder}/cp").awaitTermination()
+    shutil.rmtree(f"{folder}/cp/last_number")
+    many_files(spark, events, f"{folder}/in", 1)
+    with pytest.raises(Exception, match="numbers cannot go on"):
+        stream_sink(stream, numbered(folder), f"{folder}/cp").awaitTermination()
+
+
+def test_no_counts_yet(spark, folder):
+    assert check_counts(spark, folder, "none").collect() == []
+
+
+def test_rejects_of_a_stream(spark, folder):
+    from tabpact import ColumnSpec, SourceContract
+
+    contract = SourceContract("P", [ColumnSpec("id", "int"), ColumnSpec("v", "double", nullable=True)])
+    spark.createDataFrame([("1,2.5",), ("2,n/a",), ("3,",)], "l string").coalesce(1).write.text(f"{folder}/in")
+    plan = Pipeline("R").source("a", contract, f"{folder}/in", "csv", rejects_path=f"{folder}/rejects")
+    plan.sink("o", DelimitedSink(f"{folder}/o")).pipe("a -> o")
+    for q in plan.run_stream(spark, f"{folder}/cp"):
+        q.awaitTermination()
+    assert [r._corrupt_record for r in spark.read.parquet(f"{folder}/rejects").collect()] == ["2,n/a"]
+    assert sorted(r.value for r in spark.read.text(f"{folder}/o/batch_id=*").collect()) == ["1,2.5", "3,"]
+    strict = Pipeline("S").source("a", contract, f"{folder}/in", "csv").sink("o", DelimitedSink(f"{folder}/s")).pipe("a -> o")
+    with pytest.raises(Exception):
+        for q in strict.run_stream(spark, f"{folder}/cp2"):
+            q.awaitTermination()
+
+
+def test_adapter_over_a_custom_sink_on_a_stream(spark, events, folder):
+    import json
+
+    stream = stream_source(spark, EVENTS, events)
+    sink = folder_sink(folder, "tabpact_adapted_folder").adapt([("id", "event_id")]).adapt([("event_id", "event_id + 0")])
+    stream_sink(stream.select("event_id").where("event_id <> 13"), sink, f"{folder}/cp").awaitTermination()
+    got = [i for p in glob.glob(f"{folder}/part-*") for i in json.load(open(p))]
+    assert sorted(got) == sorted(r.event_id for r in spark.read.parquet(events).where("event_id <> 13").collect())
 
 
 def test_custom_sink_on_a_stream(spark, events, folder):
