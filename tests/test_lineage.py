@@ -44,11 +44,11 @@ def test_trace_max_depth_and_starts_frame(spark):
         trace(chain, [0], max_depth=0)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_cycles_against_search(spark, seed):
     rng = random.Random(seed)
     n = 14
-    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(20)}
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(20 if seed < 4 else 45)}
     assert {tuple(r) for r in cycles(edges_of(spark, list(pairs))).collect()} == cyclic(pairs)
 
 
@@ -67,6 +67,43 @@ def test_no_edges(spark):
     assert cycles(edges_of(spark, [(1, 2), (2, 3)])).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["ring", "chain", "comb", "two_rings"])
+def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
+    from pyspark.sql import functions as F
+
+    from tabpact.operators import lineage
+
+    rounds = []
+    for name in ("_double", "_push", "_spread_labels"):
+        monkeypatch.setattr(lineage, name, lambda *a, f=getattr(lineage, name): rounds.append(1) or f(*a))
+    n = 10_000
+    node = (F.col("id") * 7919 % n).alias("src")
+    following = (F.col("id") + 1) * 7919 % n
+    path = spark.range(n).select(node, following.alias("dst"))
+    if shape == "chain":
+        path = path.where("dst <> 0")
+    if shape == "comb":  # a ring with a tail at each node
+        path = path.union(spark.range(n).select(F.col("id"), F.col("id") + n))
+    if shape == "two_rings":  # joined by one edge
+        path = path.union(path.select(F.col("src") + n, F.col("dst") + n)).union(spark.createDataFrame([(5, n + 5)], "a bigint, b bigint"))
+    got = cycles(path)
+    assert got.count() == got.distinct().count() == {"ring": n, "chain": 0, "comb": n, "two_rings": 2 * n}[shape]
+    assert got.join(path, ["src", "dst"], "left_anti").count() == 0
+    assert len(rounds) <= {"two_rings": 120}.get(shape, 40), len(rounds)
+
+
+def test_cycles_leave_one_table(spark):
+    import glob
+
+    from tabpact.staging import application_folder
+
+    folder = application_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    cycles(edges_of(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 2), (4, 1), (1, 3)])).collect()
+    trace(edges_of(spark, [(1, 2), (2, 3)]), [1], "both").collect()
+    assert len(set(glob.glob(f"{folder}/*")) - before) == 3
+
+
 def test_a_chain_of_components_takes_few_passes(spark, monkeypatch):
     from tabpact.operators import lineage
 
