@@ -14,12 +14,14 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..staging import stage
+from ..staging import stage, temporary_folders
 
 #: Sampled keys per range; more makes the ranges more even and never changes a number.
 SAMPLES_PER_RANGE = 40
 #: Bounds travel with every task, so their number is limited; larger tables get larger ranges.
 MAX_RANGES = 20_000
+#: However many rows the caller wants in a range, one task is not given more while there are ranges to be had.
+MAX_ROWS_PER_RANGE = 1_000_000
 _RANGE = "_tabpact_range"
 #: Bounds are carried as JSON; a timestamp must come back to the microsecond or the bounds lose their order.
 _EXACT = {
@@ -104,17 +106,14 @@ def number_rows(
     output = list(df.columns) + [name]
     if staged:
         df = stage(df, "sequence")
-    slim = df.select(*keys) if staged else stage(df.select(*keys), "keys")
-    total = slim.count()
-    ranges = min(MAX_RANGES, -(-total // rows_per_range))
-
-    if ranges <= 1:  # few enough rows for one task; the count has just shown it
-        rank = F.row_number().over(Window.orderBy(*_sort_columns(keys, directions)))
-        numbered = df.withColumn(name, rank.cast("bigint") + F.lit(start - 1))
-        return numbered.select(*output), total
-
-    bounds = _pick_bounds(slim, total, ranges, keys, directions)
-    if len(bounds) < ranges - 1:
+    with temporary_folders(df.sparkSession):  # the result does not read the keys
+        slim = df.select(*keys) if staged else stage(df.select(*keys), "keys")
+        total = slim.count()
+        ranges = max(1, min(MAX_RANGES, -(-total // min(rows_per_range, MAX_ROWS_PER_RANGE))))
+        bounds = _pick_bounds(slim, total, ranges, keys, directions) if ranges > 1 else []
+        crowded = len(bounds) < ranges - 1
+        counts = [] if crowded else _range_counts(slim, bounds, keys, directions)
+    if crowded:
         # Equal keys crowd a range. Their place in a written table tells such rows apart, identical
         # copies included, and splits them over several ranges.
         origin = df if staged else stage(df, "sequence")
@@ -124,7 +123,7 @@ def number_rows(
         keys, directions = keys + ["_file", "_row"], directions + [True, True]
         slim = df.select(*keys)
         bounds = _pick_bounds(slim, total, ranges, keys, directions)
-    counts = _range_counts(slim, bounds, keys, directions)
+        counts = _range_counts(slim, bounds, keys, directions)
 
     before = [0, *accumulate(counts)]
     offsets = F.split(F.lit(",".join(str(start + n) for n in before[:-1])), ",").cast("array<bigint>")
@@ -132,6 +131,11 @@ def number_rows(
     ranged = _with_range(df, bounds, keys, directions)
     numbered = ranged.repartitionById(len(counts), F.col(_RANGE)).withColumn("_rank", rank)
     number = F.get(offsets, F.col(_RANGE)) + F.col("_rank") - 1
+    if not staged and not crowded:
+        # The rows were evaluated before for their keys; more of them now would be numbered twice.
+        sizes = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+        changed = F.raise_error(F.lit("the input gave other rows the second time; number it with staged=True")).cast("bigint")
+        number = F.when(F.col("_rank") <= F.get(sizes, F.col(_RANGE)), number).otherwise(changed)
     return numbered.withColumn(name, number.cast("bigint")).select(*output), total
 
 
@@ -151,6 +155,7 @@ def with_sequence(
     in number order, so a writer produces its part files in sequence.
 
     The input is evaluated twice, the first time for the order key alone. Set ``staged`` to write it
-    once to the shared folder when it is costly to compute or does not give the same rows again.
+    once to the shared folder when it is costly to compute or does not give the same rows again; a range that
+    gets more rows the second time fails the job.
     """
     return number_rows(df, order_by, start, name, ascending, rows_per_range, staged)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..contracts import Check, Param, SinkContract
 from ..errors import raise_if
@@ -122,11 +122,14 @@ class DelimitedSink(Sink):
         self.check(df)
         with temporary_folders(df.sparkSession):
             rows, total = self.numbered(df, start)
-            cells = self.cells(rows)
+            seen = Observation()
+            cells = self.cells(rows if total is None else rows.observe(seen, F.count(F.lit(1)).alias("rows")))
             if self.quoting == "rfc4180" and len(self.eol) == 1:
                 self._write_csv(cells)
             else:
                 self._write_text(cells)
+        if total is not None and seen.get["rows"] < total:
+            raise RuntimeError(f"{total} rows were counted, but {seen.get['rows']} were there to be written; stage the input")
         return total
 
     def _write_csv(self, cells: DataFrame) -> None:

@@ -113,3 +113,38 @@ def test_mostly_missing_key(spark):
     assert sorted(got.values()) == list(range(1, 3001))
     assert [u for u in sorted(got, key=got.get) if u % 3 == 0] == list(range(0, 3000, 3))
     assert min(got[u] for u in range(0, 3000, 3)) == 2001  # missing keys come first
+
+
+def test_many_columns(spark):
+    wide = spark.range(3_000).select("id", *[(F.col("id") * k).alias(f"c{k}") for k in range(150)])
+    rows = with_sequence(wide, "id", rows_per_range=200)
+    assert len(rows.columns) == 152
+    assert rows.where("rec_num <> id + 1").count() == 0 and rows.count() == 3_000
+
+
+def test_an_input_that_changes_is_noticed(spark):
+    """Other keys at the second evaluation put more rows into some range than were counted there."""
+    with pytest.raises(Exception, match="second time"):
+        with_sequence(spark.range(100).mapInArrow(_changing, "id bigint"), "id", rows_per_range=30).collect()
+    staged = with_sequence(spark.range(100).mapInArrow(_changing, "id bigint"), "id", rows_per_range=30, staged=True)
+    assert sorted(r.rec_num for r in staged.collect()) == list(range(1, 101))
+
+
+def _changing(batches):
+    import random
+
+    import pyarrow as pa
+
+    for rows in batches:
+        yield pa.RecordBatch.from_pydict({"id": pa.array([random.randrange(10**6) for _ in range(rows.num_rows)], pa.int64())})
+
+
+def test_no_key_folder_is_left(spark):
+    import glob
+
+    from tabpact.staging import application_folder
+
+    folder = application_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    assert with_sequence(spark.range(500), "id", rows_per_range=50).count() == 500
+    assert set(glob.glob(f"{folder}/*")) == before
