@@ -19,6 +19,7 @@ from ..sources.custom import CustomSource
 from ..sources.reader import conform, load, select_columns
 from ..sources.rejects import read_with_rejects
 from ..staging import stage, temporary_folders
+from ..streaming.scan import stream_with_rejects
 
 
 @dataclass(frozen=True)
@@ -41,18 +42,29 @@ class SourceBinding:
         """Filtered rows with the declared columns, not yet checked."""
         return self.read(spark)[0]
 
+    def _custom(self, load: Callable[..., DataFrame], spark: SparkSession) -> DataFrame:
+        resolved = self.contract.bind_filters(self.values)
+        rows = load(spark, **resolved)
+        for param in self.contract.filters:
+            condition = param.condition(resolved[param.name])
+            rows = rows if condition is None else rows.where(condition)
+        return conform(rows, self.contract)
+
+    def stream(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
+        """As ``read``, of streams."""
+        if self.custom is not None:
+            return self._custom(self.custom.load_stream, spark), None
+        return stream_with_rejects(
+            spark, self.contract, self.path, self.fmt, self.values, self.options, split=self.rejects_path is not None
+        )
+
     def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
         """The rows, and with a ``rejects_path`` the records that do not parse.
 
         A custom source gets the values of all filters; those with a predicate are applied to its rows as well.
         """
         if self.custom is not None:
-            resolved = self.contract.bind_filters(self.values)
-            rows = self.custom.load(spark, **resolved)
-            for param in self.contract.filters:
-                condition = param.condition(resolved[param.name])
-                rows = rows if condition is None else rows.where(condition)
-            return conform(rows, self.contract), None
+            return self._custom(self.custom.load, spark), None
         if self.rejects_path is not None:
             return read_with_rejects(spark, self.contract, self.path, self.fmt, self.options, self.values)
         table = load(spark, self.contract, self.path, self.fmt, self.options)

@@ -1139,6 +1139,18 @@ def stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.crossJoin(written)
 
 
+@query(_STATEMENTS.format(where=">= 700"))
+def stream_record_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement files as a stream of slices through a pipe."""
+    folder = new_folder(spark, "stream-statements")
+    source = statement_source(spark, _statement_files(spark, sf_dir))
+    plan = Pipeline("Statements").source("entries", STATEMENTS, custom=source, min_cust=700)
+    plan.sink("out", DelimitedSink(f"{folder}/out")).pipe("entries -> out")
+    for q in plan.run_stream(spark, f"{folder}/checkpoint"):
+        q.awaitTermination()
+    return spark.read.schema(STATEMENTS.schema()).csv(f"{folder}/out/batch_id=*")
+
+
 @query("SELECT event_id AS id, event_type AS kind, value FROM events WHERE value >= 10")
 def stream_custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream through an adapter into a user-defined sink; read back by its manifests, one per batch."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import raise_if
 
@@ -18,15 +18,23 @@ class CustomSource:
 
     name: str
     fn: Callable[..., DataFrame]
+    stream_fn: Callable[..., DataFrame] | None = None
+
+    def load_stream(self, spark: SparkSession, **filters: Any) -> DataFrame:
+        """The rows as a stream, for a source that has one."""
+        raise_if(f"source {self.name!r}", [] if self.stream_fn else ["it cannot be read as a stream"])
+        return self.stream_fn(spark, **filters)
 
     def load(self, spark: SparkSession, **filters: Any) -> DataFrame:
         return self.fn(spark, **filters)
 
 
-def custom_source(name: str, fn: Callable[..., DataFrame]) -> CustomSource:
-    """Wrap ``fn(spark, **filters) -> DataFrame`` as a source."""
+def custom_source(
+    name: str, fn: Callable[..., DataFrame], stream_fn: Callable[..., DataFrame] | None = None
+) -> CustomSource:
+    """Wrap ``fn(spark, **filters) -> DataFrame`` as a source; ``stream_fn`` gives the same rows as a stream."""
     raise_if(f"source {name!r}", [] if name.isidentifier() else ["the name is not an identifier"])
-    return CustomSource(name, fn)
+    return CustomSource(name, fn, stream_fn)
 
 
 @dataclass
@@ -37,7 +45,7 @@ class _Slice(InputPartition):
 def record_source(
     name: str,
     schema: str | T.StructType,
-    slices: Sequence[Any],
+    slices: Sequence[Any] | Callable[[], Sequence[Any]],
     read: Callable[..., Iterator[Any]],
 ) -> CustomSource:
     """A source of records that user code yields slice by slice, one Spark partition per slice.
@@ -45,19 +53,42 @@ def record_source(
     ``read(slice, **filters)`` runs on an executor and yields tuples in schema order or Arrow record
     batches; batches are much cheaper. It gets the bound value of every filter of the contract, None for
     one that is not set. A slice is read again if its task is retried.
+
+    ``slices`` may be a function that lists them. On a stream it is asked for each micro-batch, which takes the slices that
+    have come since the last one; new slices must come after those listed before.
     """
+    listed = slices if callable(slices) else lambda: slices
 
     class Reader(DataSourceReader):
         def __init__(self, filters):
             self.filters = filters
 
         def partitions(self):
-            return [_Slice(s) for s in slices]
+            return [_Slice(s) for s in listed()]
 
         def read(self, partition):
             yield from read(partition.value, **self.filters)
 
-    def load(spark: SparkSession, **filters: Any) -> DataFrame:
+    class StreamReader(DataSourceStreamReader):
+        def __init__(self, filters):
+            self.filters = filters
+
+        def initialOffset(self):
+            return {"slices": 0}
+
+        def latestOffset(self):
+            return {"slices": len(listed())}
+
+        def partitions(self, start, end):
+            return [_Slice(s) for s in listed()[start["slices"] : end["slices"]]]
+
+        def read(self, partition):
+            yield from read(partition.value, **self.filters)
+
+        def commit(self, end):
+            pass
+
+    def register(spark: SparkSession, filters: dict[str, Any]) -> None:
         class Source(DataSource):
             @classmethod
             def name(cls):
@@ -69,7 +100,17 @@ def record_source(
             def reader(self, schema):
                 return Reader(filters)
 
+            def streamReader(self, schema):
+                return StreamReader(filters)
+
         spark.dataSource.register(Source)
+
+    def load(spark: SparkSession, **filters: Any) -> DataFrame:
+        register(spark, filters)
         return spark.read.format(name).load()
 
-    return custom_source(name, load)
+    def load_stream(spark: SparkSession, **filters: Any) -> DataFrame:
+        register(spark, filters)
+        return spark.readStream.format(name).load()
+
+    return custom_source(name, load, load_stream)

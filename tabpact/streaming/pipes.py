@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..contracts import SourceContract
 from ..errors import raise_if
 from ..operators.checks import check_summary, enforce
-from .scan import stream_with_rejects
 from .sinks import stream_sink
 
 if TYPE_CHECKING:
@@ -32,8 +31,10 @@ def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **tri
     checks need. See :func:`check_counts`.
     """
     pipeline.validate()
-    unstreamable = [b.name for b in pipeline.sources.values() if b.custom is not None or b.fmt == "table"]
-    raise_if(f"pipeline {pipeline.name!r}", [f"source {n!r} cannot be read as a stream of files" for n in unstreamable])
+    unstreamable = [
+        b.name for b in pipeline.sources.values() if (b.fmt == "table" if b.custom is None else b.custom.stream_fn is None)
+    ]
+    raise_if(f"pipeline {pipeline.name!r}", [f"source {n!r} cannot be read as a stream" for n in unstreamable])
     queries: list[StreamingQuery] = []
     good: dict[str, DataFrame] = {}
 
@@ -44,9 +45,7 @@ def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **tri
 
     for name in dict.fromkeys(a for a, _ in pipeline.pipes):
         binding = pipeline.sources[name]
-        rows, rejects = stream_with_rejects(
-            spark, binding.contract, binding.path, binding.fmt, binding.values, binding.options, split=binding.rejects_path is not None
-        )
+        rows, rejects = binding.stream(spark)
         good[name], bad = enforce(rows, binding.contract, binding.policy, binding.key)
         if rejects is not None:
             start(rejects, f"rejects_{name}", binding.rejects_path)

@@ -172,10 +172,38 @@ def test_custom_sink_on_a_stream(spark, events, folder):
     assert len(got) == len(set(got)) == spark.read.parquet(events).count() - 1
 
 
-def test_custom_sources_cannot_stream(spark, folder):
+def test_sources_without_a_stream(spark, folder):
     from tabpact import DefinitionError, custom_source
 
     plan = Pipeline("P").source("a", EVENTS, custom=custom_source("x", lambda s, min_value: None))
     plan.sink("o", DelimitedSink(f"{folder}/o")).pipe("a -> o")
     with pytest.raises(DefinitionError, match="cannot be read as a stream"):
         plan.run_stream(spark, f"{folder}/cp")
+
+
+def test_a_record_source_as_a_stream(spark, folder):
+    """Slices that have come since the last run are read, and none twice."""
+    from tabpact import ColumnSpec, FilterParam, SourceContract, record_source
+
+    contract = SourceContract("R", [ColumnSpec("i", "int")], filters=[FilterParam("least", "int")])
+    os.makedirs(f"{folder}/slices")
+
+    def read(part, least):
+        yield from ((i,) for i in range(part, part + 10) if i >= least)
+
+    def slices():
+        return sorted(int(name) for name in os.listdir(f"{folder}/slices"))
+
+    def run(*new):
+        for part in new:
+            open(f"{folder}/slices/{part}", "w").close()
+        plan = Pipeline("P").source("a", contract, custom=record_source("tabpact_sliced", "i int", slices, read), least=3)
+        plan.sink("o", DelimitedSink(f"{folder}/o")).pipe("a -> o")
+        for q in plan.run_stream(spark, f"{folder}/cp"):
+            q.awaitTermination()
+        return sorted(int(r.value) for r in spark.read.text(f"{folder}/o/batch_id=*").collect())
+
+    assert run(0, 10) == list(range(3, 20))
+    assert run(20) == list(range(3, 30))
+    counts = check_counts(spark, f"{folder}/cp", "a").where("scope = 'rows'").collect()
+    assert sum(c.tested for c in counts) == 27
