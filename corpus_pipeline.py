@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabpact.llm import decontamination, language, line_dedup, pieces, simhash
 from tabpact.llm.common import table
-from tabpact.staging import stage
+from tabpact.staging import new_folder, remove, stage_at, temporary_folders
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; only the last one's table is left."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        with temporary_folders(spark):
+            docs, _ = stage_at(function(spark, docs, sf_dir), path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tabpact.llm import language, line_dedup, queries, simhash
 from tests.compare import difference, oracle
+from tabpact.staging import application_folder, stage
 from tests.llm.conftest import ODD, SCHEMA
 
 
@@ -27,23 +28,23 @@ def test_query(spark, sf, duck, name):
 def test_stages(spark, sf, documents):
     """Each stage against what its operator says of its input."""
     functions = dict(corpus_pipeline.STAGES)
-    known = corpus_pipeline.stage(functions["language_id"](spark, documents, sf), "t")
+    known = stage(functions["language_id"](spark, documents, sf), "t")
     rejected = language.identify(documents, language.fit(documents)).where("rejected")
     assert known.columns == documents.columns
     assert known.exceptAll(documents).count() == 0 and known.count() == documents.count() - rejected.count()
 
-    lines = corpus_pipeline.stage(functions["line_dedup"](spark, known, sf), "t")
+    lines = stage(functions["line_dedup"](spark, known, sf), "t")
     report = {r.doc_id: r.kept_sha256 for r in line_dedup.line_report(known).collect()}
     import hashlib
 
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines.collect()} == report
     assert lines.where("n_chars <> length(text)").count() == 0 and lines.columns == documents.columns
 
-    single = corpus_pipeline.stage(functions["simhash_near_dedup"](spark, lines, sf), "t")
+    single = stage(functions["simhash_near_dedup"](spark, lines, sf), "t")
     heads = {r.component for r in simhash.groups(lines).collect()}
     assert {r.doc_id for r in single.collect()} == heads
 
-    clean = corpus_pipeline.stage(functions["benchmark_decontamination"](spark, single, sf), "t")
+    clean = stage(functions["benchmark_decontamination"](spark, single, sf), "t")
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = {r.doc_id: " ".join(r.text.lower().split()) for r in clean.collect()}
     assert not any(x in t for t in kept.values() for x in items)
@@ -61,5 +62,10 @@ def test_run(spark, tmp_path):
     for name, rows in (("odd", ODD), ("none", [])):
         spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    import glob
+
+    folder = application_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} <= {4, 5, 6, None}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert len(set(glob.glob(f"{folder}/*")) - before) == 2
