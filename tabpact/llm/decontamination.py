@@ -40,7 +40,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..staging import stage
 from .common import table
 
 MAX_EDITS = 0.2

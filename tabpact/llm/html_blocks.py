@@ -103,9 +103,6 @@ def blocks_of(page: str | None) -> list[Block]:
                         break
                     if stack[depth][0] not in INLINE:
                         break
-                else:
-                    # Only formatting is open: it does not go on in the next block.
-                    pass
             stack.append(_element(tag, m[3] or m[6] or ""))
         in_links = sum(e[0] == "a" for e in stack[-8:])
     add(page[at:])

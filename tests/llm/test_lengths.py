@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tabpact.llm import lengths
 from tests.llm.conftest import ODD

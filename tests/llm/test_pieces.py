@@ -2,7 +2,6 @@ import random
 
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from tabpact.llm import pieces
 from tests.llm.conftest import ODD
