@@ -249,9 +249,11 @@ def train(pages: Sequence[tuple[list[Block], np.ndarray]], epochs: int = EPOCHS)
 
 
 def sample(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[tuple[list[Block], np.ndarray]]:
-    """The labelled pages to learn from."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"), F.xxhash64(id_col).alias("h"))
-    found = [blocks_of(r["html"]) for r in rows.orderBy("h", "html").limit(SAMPLE).collect()]
+    """The labelled pages to learn from. The ids are chosen first, so that only chosen pages travel."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).where("id IS NOT NULL AND html IS NOT NULL")
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct().collect()
+    wanted = rows.where(F.col("id").isin([r["id"] for r in chosen])).groupBy("id").agg(F.min("html").alias("html"))
+    found = [blocks_of(r["html"]) for r in wanted.orderBy(F.xxhash64("id"), "id").collect()]
     return [(blocks, labels_of(blocks)) for blocks in found if blocks]
 
 
