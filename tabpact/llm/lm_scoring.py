@@ -4,10 +4,15 @@ Two word-bigram models share one vocabulary, one order and one smoothing: the ta
 the background model over all documents. A document's score is the difference of its per-token losses under the two (target minus background, in nats):
 the lower, the more it reads like the good documents rather than like the corpus as a whole.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of the whole corpus, equal counts by the word; all others are one unknown word. Words and bigrams are
-counted exactly over every document, in a table per task and then over all tasks, so what is shuffled grows with the input and one word, document or source is
-no burden. The models themselves are two tables of (``VOCABULARY`` + 2)^2 numbers, a bound that does not depend on the input; they are sent to all tasks, and
-scoring is one pass without a shuffle. The ids of the good documents are sent to all tasks if there are ``MAX_IDS`` at most, else joined.
+The vocabulary is every word of the corpus, and every bigram that occurs is counted. Bigrams are counted exactly over every document, in parts of a task and then over
+all tasks, into a table of (word before, word); words are 64-bit hashes in it. The counts of words follow from that table and are joined to it, which gives a table
+with both losses of each bigram. A document's losses are read from that table: bigrams that make up a ``FREQUENT``-th of all tokens or more, ``FREQUENT`` at most by
+their definition, are sent to all tasks and summed in place. All others are counted per document and joined to the table, so no key of that join has more
+than a ``FREQUENT``-th of all tokens. What is held and shuffled grows with the input; nothing is collected but the frequent bigrams. The ids of the good documents are sent to all
+tasks if there are ``MAX_IDS`` at most, else joined. Only documents that were counted can be scored this way; another's unknown bigram fails the job.
+
+With a ``vocabulary``, its most frequent words count instead, equal counts by the word, and all others are one unknown word. The models are then two tables of
+(``vocabulary`` + 2)^2 numbers that are sent to all tasks and score any document in one pass.
 
 A bigram's probability is (c(v, w) + STRENGTH p(w)) / (c(v) + STRENGTH), with p(w) = (c(w) + 1) / (N + V) under the same model.
 
@@ -24,13 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..staging import stage
 from .common import slices, table
 
-VOCABULARY = 1_000
 STRENGTH = 10.0
 MAX_IDS = 1_000_000
+#: Bigrams that make up such a part of all tokens are sent to all tasks.
+FREQUENT = 1_000_000
+#: Tokens whose bigrams a task counts in one go.
+HELD_TOKENS = 2_000_000
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 200_000
 UNKNOWN, START = 0, 1
@@ -49,6 +59,26 @@ class Models:
         return len(self.ids) + 2
 
 
+@dataclass(frozen=True)
+class Tables:
+    """``losses``: per bigram its key ``pair`` and its loss under each model. Of the frequent ones the sorted keys and both losses."""
+
+    losses: DataFrame
+    pairs: np.ndarray
+    target: np.ndarray
+    background: np.ndarray
+
+
+class _Hashes(dict):
+    """The hash of each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         yield from slices(rows, "text")
@@ -116,15 +146,87 @@ def losses(counts: np.ndarray, size: int) -> np.ndarray:
         return -np.log(chances).astype(np.float32).ravel()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int = VOCABULARY) -> Models:
+def bigrams(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of tokens of each text, and of each token the hashes of the word before and of its word."""
+    words = [(t or b"").lower().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    after = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    before = np.empty_like(after)
+    before[1:] = after[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return sizes, before, after
+
+
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return ((before << np.uint64(17)) | (before >> np.uint64(47))) ^ after
+
+
+def _pair_key(before: str, after: str) -> Column:
+    return F.shiftleft(before, 17).bitwiseOR(F.shiftrightunsigned(before, 47)).bitwiseXOR(F.col(after))
+
+
+def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    before, after, good = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys = pair_keys(before, after)
+    order = np.argsort(keys)
+    starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    n, n_good = np.diff(starts, append=len(order)), np.add.reduceat(good[order], starts, dtype=np.int64)
+    first = order[starts]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first].view(np.int64), after[first].view(np.int64), n, n_good)], names=["v", "w", "n", "n_good"])
+
+
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """Hashes ``v`` of the word before and ``w`` of the word, ``n`` over all documents and ``n_good`` over those with ``good``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, tokens = _Hashes(), [], 0
+        for rows in _texts(batches):
+            sizes, before, after = bigrams(rows["text"].to_pylist(), hashes)
+            if len(after):
+                held.append((before, after, np.repeat([bool(g) for g in rows["good"].to_pylist()], sizes)))
+                tokens += len(after)
+            if tokens >= HELD_TOKENS:
+                yield _summed(held)
+                held, tokens = [], 0
+        if held:
+            yield _summed(held)
+
+    counts = docs.select("text", "good").mapInArrow(count, "v long, w long, n long, n_good long")
+    return counts.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
+
+
+def fit_tables(docs: DataFrame) -> Tables:
+    """Both models over every word and bigram of ``text``, from rows with ``text`` and ``good``."""
+    counts = stage(bigram_counts(docs), "bigrams")
+    after = stage(counts.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("n_good").alias("w_good")), "words")
+    before = counts.groupBy("v").agg(F.sum("n").alias("v_n"), F.sum("n_good").alias("v_good"))
+    words, tokens, good = after.agg(F.count(F.lit(1)), F.coalesce(F.sum("w_n"), F.lit(0)), F.coalesce(F.sum("w_good"), F.lit(0))).first()
+
+    def loss(n: str, of_before: str, of_after: str, total: int) -> Column:
+        chance = (F.col(of_after) + 1) / F.lit(float(total + words + 1))  # one more for the unknown word
+        return (-F.log((F.col(n) + STRENGTH * chance) / (F.col(of_before) + STRENGTH))).cast("float")
+
+    joined = counts.join(after, "w").join(before, "v")
+    losses = joined.select(_pair_key("v", "w").alias("pair"), "n", loss("n_good", "v_good", "w_good", good).alias("target"), loss("n", "v_n", "w_n", tokens).alias("background"))
+    losses = stage(losses, "losses")
+    frequent = losses.where(F.col("n") >= -(-tokens // FREQUENT)).select("pair", "target", "background").toPandas()
+    pairs = frequent["pair"].to_numpy(np.int64)
+    order = np.argsort(pairs)
+    return Tables(losses.select("pair", "target", "background"), pairs[order], *[frequent[x].to_numpy(np.float32)[order] for x in ("target", "background")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = None) -> Models | Tables:
     """Both models, counted over all documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    words = word_counts(rows).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    ids = {bytes(r["word"]): i + 2 for i, r in enumerate(words)}
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     if good.limit(MAX_IDS + 1).count() <= MAX_IDS:
         good = F.broadcast(good)
-    counted = pair_counts(rows.join(good, "id", "left"), ids).toPandas()
+    labelled = rows.join(good, "id", "left")
+    if vocabulary is None:
+        return fit_tables(labelled)
+    words = word_counts(rows).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    ids = {bytes(r["word"]): i + 2 for i, r in enumerate(words)}
+    counted = pair_counts(labelled, ids).toPandas()
     size = len(ids) + 2
     tables = []
     for name in ("n_good", "n"):
@@ -133,8 +235,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Models(ids, *[losses(t, size) for t in tables])
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_tables(docs: DataFrame, models: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score``, for the documents that the tables were counted over."""
+    sent = docs.sparkSession.sparkContext.broadcast((models.pairs, models.target, models.background))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (known, *by_model) = _Hashes(), sent.value
+        for rows in _texts(batches):
+            sizes, before, after = bigrams(rows["text"].to_pylist(), hashes)
+            keys, doc = pair_keys(before, after).view(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            sums = [np.bincount(doc[hit], m[at[hit]], len(sizes)).astype(np.float64) for m in by_model]  # of nothing it counts integers
+            left = np.split(keys[~hit], np.cumsum(np.bincount(doc[~hit], minlength=len(sizes)))[:-1])
+            own = [np.unique(x, return_counts=True) for x in left]
+            offsets = pa.array(np.cumsum([0, *(len(x) for x, _ in own)]), pa.int32())
+            pairs, times = (np.concatenate(x).astype(np.int64) for x in zip(*own, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows["row"],
+                    rows["id"],
+                    *map(pa.array, (sizes, *sums)),
+                    pa.ListArray.from_arrays(offsets, pa.array(pairs)),
+                    pa.ListArray.from_arrays(offsets, pa.array(times)),
+                ],
+                names=["row", "id", "n_tokens", "target", "background", "pairs", "times"],
+            )
+
+    frame = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    kind = frame.schema["id"].dataType.simpleString()
+    schema = f"row long, id {kind}, n_tokens long, target double, background double, pairs array<long>, times array<long>"
+    read = stage(frame.mapInArrow(run, schema), "documents-bigrams")
+    rest = read.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
+    met = rest.join(models.losses.withColumnsRenamed({"target": "t", "background": "b"}), "pair", "left")
+    known = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a bigram of a document was not counted")).cast("float"))
+    sums = met.groupBy("row").agg(F.sum(F.col("n") * known("t").cast("double")).alias("t"), F.sum(F.col("n") * known("b").cast("double")).alias("b"))
+    mean = lambda c, more: F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(F.col(more), F.lit(0.0))) / F.col("n_tokens"))
+    both = read.drop("pairs", "times").join(sums, "row", "left").select("id", "n_tokens", mean("target", "t").alias("loss_target"), mean("background", "b").alias("loss_background"))
+    gap = F.col("loss_target") - F.col("loss_background")
+    return both.select(F.col("id").alias(id_col), "n_tokens", "loss_target", "loss_background", gap.alias("loss_difference"), F.coalesce(gap < 0, F.lit(False)).alias("selected"))
+
+
+def score(docs: DataFrame, models: Models | Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, per-token ``loss_target`` and ``loss_background``, their ``loss_difference``, and ``selected`` where it is below zero."""
+    if isinstance(models, Tables):
+        return score_tables(docs, models, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

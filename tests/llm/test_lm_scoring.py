@@ -71,3 +71,23 @@ def test_no_rows(spark, nothing, odd):
     assert M.score(nothing, M.fit(nothing, labels)).count() == 0
     got = M.score(odd, M.fit(odd, labels)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.loss_target) for r in got if r.n_tokens)
+
+
+@pytest.mark.parametrize("frequent", [1, 20, 1_000_000])
+def test_every_word_and_bigram_counts(spark, monkeypatch, frequent):
+    """More words than any fixed vocabulary holds, and documents that differ in rare words only."""
+    monkeypatch.setattr(M, "FREQUENT", frequent)
+    rows = [(d, t) for d, t, *_ in ODD]
+    rows += [(100 + i, " ".join(f"w{(7 * i + j) % 1500}" for j in range(60))) for i in range(300)]
+    rows += [(1000, "the rare alpha word"), (1001, "the rare beta word"), (1002, "the rare alpha word again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, 1) for d in (100, 110, 120, 1002, 5)], "doc_id bigint, quality int")
+    got = M.score(docs, M.fit(docs, labels)).collect()
+    expected = brute(rows, {100, 110, 120, 1002, 5}, 10**9)
+    key = lambda r: (repr(r[0]), r[1], r[3] or 0)
+    assert len(got) == len(expected)
+    for mine, other in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key)):
+        assert mine[:2] == other[:2]
+        assert mine[2:4] == (None, None) if other[2] is None else mine[2:4] == pytest.approx(other[2:], abs=1e-4)
+    scores = {r.doc_id: r.loss_difference for r in got}
+    assert scores[1000] < scores[1001] - 0.01
