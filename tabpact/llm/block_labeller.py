@@ -41,7 +41,7 @@ SIDE_BY_SIDE = 50_000
 # What an element is for, by its tag or a word of its class, id or role.
 ARTICLE = {"article", "main"}
 OTHER = set(
-    "nav header footer aside form menu dialog figure figcaption "
+    "nav header footer aside form menu dialog "
     "ad ads advert advertisement banner sponsored promo cookie cookies consent notice alert popup modal newsletter subscribe signup login search "
     "comment comments disqus reply replies sidebar navbar navigation breadcrumb breadcrumbs pagination related recommended share social toolbar widget copyright".split()
 )

@@ -3,6 +3,7 @@
 A block is the text between two tags that part blocks, with the tags (and their class and id words) around it. Markup, comments,
 scripts, styles and other elements whose content is no text of the page are left out. Malformed pages give blocks as well: an
 element that is not closed ends with the one around it, a paragraph ends where the next block begins, and a tag cut off at the page's end is no text.
+A head ends with its first text or element of the body. Of the elements left out only those in ``RAW`` reach to the page's end if they are not closed; of others the tag alone goes.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from dataclasses import dataclass
 
 # Kinds of elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template svg math iframe object canvas audio video head title textarea select datalist button".split())
+HIDDEN = set("script style noscript template svg iframe object canvas audio video title textarea select datalist button".split())
+RAW = set("script style textarea title".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose merror mmultiscripts mprescripts "
+    "mtable mtr mtd".split()
 )
 CLOSES_SAME = set("li dt dd tr td th p option".split())
 
@@ -43,12 +47,26 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *names)
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of a kind ends, by where it begins."""
+    ends: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)>", page, re.I):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     page = page or ""
     found: list[Block] = []
     stack: list[tuple[str, ...]] = []
     text: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
     linked = in_links = 0
     at = 0
 
@@ -64,6 +82,8 @@ def blocks_of(page: str | None) -> list[Block]:
     def add(raw: str) -> None:
         nonlocal linked
         plain = html.unescape(raw) if "&" in raw else raw
+        if stack and stack[-1][0] == "head" and plain.strip():
+            stack.pop()
         text.append(plain)
         if in_links:
             linked += len(plain.strip())
@@ -86,14 +106,21 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag not in ("button", "noscript"):
                 flush()
             if not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if tag in RAW:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends(page, tag)
+                    at = ends[tag].get(m.start(), at)
         elif tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
         elif tag in VOID:
             if tag == "hr":
                 flush()
         else:
+            if stack and stack[-1][0] == "head":
+                stack.pop()
             if tag not in INLINE:
                 flush()
                 same = tag if tag in CLOSES_SAME else "p"

@@ -99,3 +99,22 @@ def test_odd_pages(spark, model):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert B.sample(pages) == [] and B.extract(pages, B.train([])).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "canvas", "object", "audio", "video"])
+def test_an_element_without_an_end_keeps_the_rest(tag):
+    texts = [b.text for b in blocks_of(f"<body><div><{tag}></div><p>First.</p><{tag}>hidden</{tag}><p>Second.</p></body>")]
+    assert texts == ["First.", "Second."]
+    assert [b.text for b in blocks_of(f"<{tag}>no<{tag}>no</{tag}>no</{tag}><p>First.</p>")] == ["First."]
+
+
+def test_a_head_without_an_end():
+    for body in ("<body><p>Text.</p></body>", "<p>Text.</p>", "Text."):
+        found = blocks_of(f"<html><head><title>no</title><script>no</script><meta charset=x>{body}</html>")
+        assert [b.text for b in found] == ["Text."] and all(("head",) not in b.path for b in found)
+
+
+def test_formulas_and_captions_are_text():
+    found = blocks_of("<article><p>As <math><msup><mi>x</mi><mn>2</mn></msup></math> is.</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article>")
+    assert [b.text for b in found] == ["As x2 is.", "A caption."]
+    assert B.labels_of(found).all()
