@@ -12,7 +12,11 @@ are ``REPEATS`` walks with ``TABLES`` samples each. Every word of a document sta
 of an item starts one as well, if its key carries enough information, so an item is found through any stretch
 of it that is little changed. The target is a recall of 0.9 over edits up to the allowed distance, which a test
 measures: practically all items with up to a tenth of their code points edited or a fifth of their words replaced,
-about 0.9 at 15 % and 0.75 at the very limit, if the edits fall anywhere. Items shorter than a walk get shorter walks.
+about 0.9 at 15 % and 0.75 at the very limit, if the edits fall anywhere.
+
+Items that words do not part well are found by pieces instead: those of fewer words than a walk has steps, of more than ``FEW_BLANKS`` characters a word, or
+with a tenth of their characters or more from scripts without blanks. Such an item is cut into one piece more than it may have edits, so one of them at least is unchanged,
+and the pieces (their first ``PIECE`` characters, if longer) are looked up at every character of every document. Nothing within the allowed edits is missed that way.
 
 Each window of the document that meets an item's window gives a stretch as long as the item plus the
 allowed edits at either end; the exact distance of the item to its best part decides.
@@ -43,8 +47,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import table
 
 MAX_EDITS = 0.2
-#: The steps of a walk and how many of them a key samples; an item gets the first walk that it is long enough for.
-WALKS = ((6, 2), (2, 2), (1, 1))
+#: The steps of a walk and how many of them a key samples.
+WALK = (6, 2)
+#: Items of more characters a word are found by pieces, of which so many characters make a key.
+FEW_BLANKS = 12
+PIECE = 8
+#: Where scripts without blanks begin and end: Thai and Lao, Burmese, Khmer, Kana and Han.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000))
 #: Walks for an item, and tables for a walk, each with its own sample.
 REPEATS = 2
 TABLES = 8
@@ -121,6 +130,22 @@ def keys_of(codes: np.ndarray, places: np.ndarray, take: list[int]) -> np.ndarra
     return keys
 
 
+def by_pieces(points: np.ndarray, words: int) -> bool:
+    """Whether words do not part a text well."""
+    unspaced = sum(int(((points >= a) & (points < b)).sum()) for a, b in UNSPACED)
+    return words < WALK[0] or len(points) > FEW_BLANKS * words or 10 * unspaced >= len(points)
+
+
+def piece_keys(points: np.ndarray, length: int) -> np.ndarray:
+    """The key of the ``length`` characters that begin at each character, as far as there are so many."""
+    n = max(0, len(points) - length + 1)
+    keys = np.full(n, length, np.uint64)
+    for k in range(length if n else 0):
+        keys = (keys ^ points[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
 def edit_distances(items: list[np.ndarray], stretches: list[np.ndarray], n_codes: int) -> tuple[np.ndarray, np.ndarray]:
     """For each pair, the smallest edit distance of the item to any part of the stretch, and where the first such part ends.
 
@@ -164,12 +189,13 @@ def edit_distances(items: list[np.ndarray], stretches: list[np.ndarray], n_codes
 
 @dataclass
 class Items:
-    """The items of one pass: texts, and per walk and repetition the sorted keys with (item, word) of each."""
+    """The items of one pass: texts, and the sorted keys with (item, offset) of each, per walk and repetition and per length of pieces."""
 
     ids: list[int | None]
     texts: list[np.ndarray]
     alphabet: np.ndarray
     tables: dict[tuple[int, int], list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _chosen(whose: np.ndarray, apart: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -183,13 +209,37 @@ def _chosen(whose: np.ndarray, apart: np.ndarray, bits: np.ndarray) -> np.ndarra
     return out
 
 
-def prepare(rows: list[tuple[int | None, bytes]]) -> Items:
+def _bitmap(keys: np.ndarray) -> np.ndarray:
+    known = np.zeros(1 << 20, bool)
+    known[(keys >> BITMAP).astype(np.int64)] = True
+    return known
+
+
+def _pieces(points: dict[int, np.ndarray], max_edits: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length the bitmap, the sorted keys, and the item and the offset of each."""
+    found: dict[int, list[tuple[np.uint64, int, int]]] = {}
+    for k, text in points.items():
+        cuts = np.linspace(0, len(text), min(len(text), int(max_edits * len(text)) + 1) + 1).astype(int).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            length = min(PIECE, b - a)
+            found.setdefault(length, []).append((piece_keys(text[a : a + length], length)[0], k, a))
+    tables = {}
+    for length, entries in found.items():
+        keys, whose, offsets = (np.array(x, t) for x, t in zip(zip(*entries, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+        order = np.argsort(keys, kind="stable")
+        tables[length] = _bitmap(keys), keys[order], whose[order], offsets[order]
+    return tables
+
+
+def prepare(rows: list[tuple[int | None, bytes]], max_edits: float = MAX_EDITS) -> Items:
     texts = [(i, normalised(t)) for i, t in rows]
     texts = [(i, t) for i, t in texts if t]
     by_walk: dict[tuple[int, int], list[int]] = {}
     words = [t.split() for _, t in texts]
-    for k, w in enumerate(words):
-        by_walk.setdefault(next(walk for walk in WALKS if len(w) >= walk[0]), []).append(k)
+    points = [code_points(t) for _, t in texts]
+    cut = {k: p for k, (p, w) in enumerate(zip(points, words, strict=True)) if by_pieces(p, len(w))}
+    if len(cut) < len(words):
+        by_walk[WALK] = [k for k in range(len(words)) if k not in cut]
     tables = {}
     frequency = Counter(w for ws in words for w in ws)
     vocabulary = {w: i for i, w in enumerate(frequency)}
@@ -209,12 +259,18 @@ def prepare(rows: list[tuple[int | None, bytes]]) -> Items:
                 bits = np.concatenate([sum(information[c][p[step]] for step in take) for c, p in zip(ranks, places, strict=True)])
                 apart = _chosen(whose, apart, bits)
                 order = np.flatnonzero(apart)[np.argsort(keys[apart], kind="stable")]
-                known = np.zeros(1 << 20, bool)
-                known[(keys[order] >> BITMAP).astype(np.int64)] = True
-                tables.setdefault((steps, walk), []).append((take, known, keys[order], whose[order], offsets[order]))
-    points = [code_points(t) for _, t in texts]
+                tables.setdefault((steps, walk), []).append((take, _bitmap(keys[order]), keys[order], whose[order], offsets[order]))
     alphabet = np.unique(np.concatenate([np.empty(0, np.uint32), *points]))
-    return Items([i for i, _ in texts], [np.searchsorted(alphabet, p) for p in points], alphabet, tables)
+    return Items([i for i, _ in texts], [np.searchsorted(alphabet, p) for p in points], alphabet, tables, _pieces(cut, max_edits))
+
+
+def _entries(keys: np.ndarray, known: np.ndarray, table_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key that a table has, and its entry there, for all pairs of both."""
+    at = np.flatnonzero(known[(keys >> BITMAP).astype(np.int64)])
+    first, last = np.searchsorted(table_keys, keys[at], "left"), np.searchsorted(table_keys, keys[at], "right")
+    sizes = last - first
+    rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(at, sizes), np.repeat(first, sizes) + rank
 
 
 def _meetings(codes: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,14 +280,22 @@ def _meetings(codes: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.
         places = embed(padded, steps, walk)
         for take, known, table_keys, whose, offsets in tables:
             keys = keys_of(padded, places, take)
-            at = np.flatnonzero(known[(keys >> BITMAP).astype(np.int64)])
-            first, last = np.searchsorted(table_keys, keys[at], "left"), np.searchsorted(table_keys, keys[at], "right")
-            hits = np.flatnonzero(last > first)
-            if len(hits):
-                sizes = (last - first)[hits]
-                rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                entry = np.repeat(first[hits], sizes) + rank
-                yield np.repeat(at[hits], sizes), whose[entry], offsets[entry]
+            at, entry = _entries(keys, known, table_keys)
+            if len(at):
+                yield at, whose[entry], offsets[entry]
+
+
+def _piece_meetings(docs: list[bytes], items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, item, where the item would begin in it) for pieces that a document holds."""
+    apart = np.array([2**32 - 1], np.uint32)  # no character
+    points = [np.append(code_points(d), apart) for d in docs]
+    ends = np.cumsum([len(p) for p in points])
+    every = np.concatenate(points).astype(np.uint64)
+    for length, (known, table_keys, whose, offsets) in items.pieces.items():
+        at, entry = _entries(piece_keys(every, length), known, table_keys)
+        if len(at):
+            doc = np.searchsorted(ends, at, "right")
+            yield doc, whose[entry], at - np.append(0, ends)[doc] - offsets[entry]
 
 
 #: A candidate: document, item, where its stretch begins, the stretch's character codes.
@@ -242,18 +306,21 @@ def candidates_in(docs: list[bytes], items: Items, max_edits: float, before: int
     """The stretches of texts in normal form that may hold an item; documents are numbered from ``before``."""
     words = [d.split(b" ") if d else [] for d in docs]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    if not sizes.sum() or not items.tables:
+    if not sizes.sum() or not (items.tables or items.pieces):
         return []
     codes = word_codes([w for ws in words for w in ws])
     first_word = np.cumsum(sizes) - sizes
     found = list(_meetings(codes, items))
-    if not found:
+    by_piece = list(_piece_meetings(docs, items)) if items.pieces else []
+    if not found and not by_piece:
         return []
-    word, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+    none = np.empty(0, np.int64)
+    word, item, offset = (np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
     doc = np.searchsorted(first_word, word, "right") - 1
     begin = -offset
     starts = {d: word_starts(words[d], docs[d].isascii()) for d in np.unique(doc).tolist()}
     begin += np.fromiter((starts[d][w] for d, w in zip(doc.tolist(), (word - first_word[doc]).tolist(), strict=True)), np.int64, len(doc))
+    doc, item, begin = (np.concatenate(x) for x in zip((doc, item, begin), *by_piece, strict=True))
     allowed = (max_edits * np.array([len(t) for t in items.texts])).astype(np.int64)
     # Windows of one place agree on where the item begins, but for the edits: each band is verified once.
     order = np.lexsort((begin, begin // (allowed[item] + 1), item, doc))
@@ -334,7 +401,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         sent = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in part.where("text IS NOT NULL").collect()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = prepare(sent.value)
+            known = prepare(sent.value, max_edits)
             for rows in batches:
                 ids = rows["doc"].to_pylist()
                 found = list(matches_in([normalised(t) for t in rows["text"].to_pylist()], known, max_edits))
@@ -360,7 +427,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         sent = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in part.where("text IS NOT NULL").collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = prepare(sent.value)
+            known = prepare(sent.value, max_edits)
             for rows in batches:
                 keep = np.ones(rows.num_rows, bool)
                 texts = [normalised(t.encode("utf-8", "replace")) if t is not None else b"" for t in rows[text_col].to_pylist()]

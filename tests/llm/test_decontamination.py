@@ -106,3 +106,32 @@ def test_empty_tables_and_several_passes(spark, nothing, odd, monkeypatch):
     assert len(D.item_passes(items)) > 1
     assert sorted(tuple(r) for r in D.matches(docs, items).collect()) == once and len(once) >= 30
     assert D.drop_contaminated(docs, items).count() == 0
+
+
+def test_items_without_blanks_and_short_items_are_all_found():
+    """Within longer runs, next to punctuation, and after edits anywhere up to the limit."""
+    rng = random.Random(11)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(120))
+    token = "".join(rng.choice("abcdef0123456789") for _ in range(48))
+    items = [han[30:70], han[80:92], token, "sphinx of quartz", "ภาษาไทยไม่มีช่องว่างระหว่างคำ", "judge my vow", "quokka"]
+    known = D.prepare([(i, t.encode()) for i, t in enumerate(items)])
+    for share in (0.0, 0.1, 0.2):
+        for _ in range(20):
+            texts = [norm(f"甲乙丙丁x{edited(t, int(share * len(t)), rng)}戊己庚辛, and more words").encode() for t in items]
+            hits = {(d, k): distance for d, k, distance, _ in D.matches_in(texts, known)}
+            assert all(hits[i, i] <= int(0.2 * len(t)) for i, t in enumerate(items))
+    # One character changed in each word.
+    text = norm("they wrote: sphunx af quortz! judqe my vow").encode()
+    assert {k: d for _, k, d, _ in D.matches_in([text, b"nothing here"], known)} == {3: 3, 5: 1}
+
+
+def test_pieces_against_brute_force():
+    rng = random.Random(12)
+    items = ["".join(rng.choice("ab 漢字") for _ in range(rng.randrange(1, 14))) for _ in range(30)]
+    texts = ["".join(rng.choice("ab 漢字c") for _ in range(rng.randrange(0, 40))) for _ in range(30)]
+    items, texts = [norm(t) or "a" for t in items], [norm(t) for t in texts]
+    known = D.prepare([(i, t.encode()) for i, t in enumerate(items)])
+    got = {(d, k): distance for d, k, distance, _ in D.matches_in([t.encode() for t in texts], known)}
+    expected = {(d, k): brute_distance(i, t)[0] for d, t in enumerate(texts) if t for k, i in enumerate(items) if len(i.split()) < 6}
+    expected = {x: n for x, n in expected.items() if n <= int(0.2 * len(items[x[1]]))}
+    assert {x: n for x, n in got.items() if len(items[x[1]].split()) < 6} == expected and expected
