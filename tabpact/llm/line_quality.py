@@ -8,8 +8,8 @@ text remains. A document that has less than ``MIN_LEFT`` of its text left (of th
 Base rules need no other document: fewer than ``MIN_WORDS`` words, or more than half of the words in three-word windows that
 occur twice or more in the text.
 
-All of it is DataFrame code. Only hashes are shuffled, never text: once per (line, document), once per line, and for the lines above the limit once
-more per document. Counts are combined before each shuffle, so a line or a host that a third of all documents share is spread.
+All of it is DataFrame code. For the report only hashes are shuffled, never text: once per (line, document), once per line, and for the lines above the limit once
+more per document. ``without_frequent_lines`` gives the texts without them: the hashes that a document loses are joined to it by its id. Counts are combined before each shuffle, so a line or a host that a third of all documents share is spread.
 
 Defined cases: a NULL or empty text has no words and no lines, and fails the base rules. A NULL source is the host with the
 empty name. Rows with one id are one document for the counts, and what it loses counts against each of its rows; a missing id counts as one
@@ -84,11 +84,25 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     return hashed.groupBy("line", "doc").agg(F.max("chars").alias("chars"))
 
 
+def lost_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """The rows of ``lines`` that are removed."""
+    frequent = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where(F.col("n") > max_documents)
+    return lines.join(frequent.select("line", "first"), "line").where(F.col("doc") != F.col("first"))
+
+
 def removed_chars(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """``doc`` and ``removed``: the characters that it loses, for documents that lose any."""
-    frequent = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where(F.col("n") > max_documents)
-    lost = lines.join(frequent.select("line", "first"), "line").where(F.col("doc") != F.col("first"))
-    return lost.groupBy("doc").agg(F.sum("chars").alias("removed"))
+    return lost_lines(lines, max_documents).groupBy("doc").agg(F.sum("chars").alias("removed"))
+
+
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """The documents, all rows and columns, without the lines that ``quality`` counts as removed; lines of blanks only stay."""
+    lost = lost_lines(line_table(docs, id_col, text_col, host_col), max_documents).groupBy("doc").agg(F.collect_set("line").alias("__lost"))
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    left = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line: ~F.array_contains("__lost", F.xxhash64(host, normal_form(line))))
+    text = F.when(F.col("__lost").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(lost.withColumnRenamed("doc", "__doc"), id_key(id_col) == F.col("__doc"), "left")
+    return joined.withColumn(text_col, text).select(docs.columns)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

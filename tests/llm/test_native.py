@@ -85,3 +85,20 @@ def test_bounds_lose_nothing(spark, documents):
 
 def test_no_python_in_the_plans(documents):
     assert no_python(line_quality.quality(documents)) and no_python(licences.findings(documents))
+
+
+def test_frequent_lines_are_removed_from_the_texts(spark, odd):
+    """What is left of the texts is what the report says."""
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    notice = " ".join(f"notice{k}" for k in range(55))
+    rows = [(i, f"{body(i)}\n\n {notice}\n{body(i)}\n{notice}", "a") for i in range(1, 13)] + [(20, notice.upper() + "  ", "a"), (0, notice, "a"), (30, notice, "b"), (40, None, "a"), (41, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    clean = line_quality.without_frequent_lines(docs)
+    assert clean.columns == docs.columns and no_python(clean)
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert got == {i: f"{body(i)}\n\n{body(i)}" for i in range(1, 13)} | {20: "", 0: notice, 30: notice, 40: None, 41: ""}
+    chars = lambda t: sum(len("".join(plain_words(x))) for x in {x.strip().lower() for x in (t or "").split("\n")})
+    share = {r.doc_id: r.left_share for r in line_quality.quality(docs).collect()}
+    texts = {d: t for d, t, _ in rows}
+    assert all(abs(share[d] - (chars(got[d]) / chars(texts[d]) if chars(texts[d]) else 1)) < 1e-9 for d in texts)
+    assert line_quality.without_frequent_lines(odd).count() == len(ODD)
