@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_labeller, decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, pieces, simhash
+from . import block_labeller, decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, manifest, pieces, resampling, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_manifest": manifest.op13_manifest,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_quality": line_quality.OP1_SQL,
         "op6_licences": licences.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
+        "op12_resampling": resampling.OP12_SQL,
+        "op13_manifest": manifest.OP13_SQL,
     }
