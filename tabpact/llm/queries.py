@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_labeller, decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, manifest, pieces, resampling, simhash
+from . import block_labeller, decontamination, language, lengths, licences, line_dedup, line_quality, lm_scoring, manifest, pieces, quality_classifier, resampling, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_pieces": pieces.op9_pieces,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_quality": quality_classifier.op11_quality,
         "op12_resampling": resampling.op12_resampling,
         "op13_manifest": manifest.op13_manifest,
     }

@@ -16,7 +16,7 @@ def duck(sf):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
 
 
