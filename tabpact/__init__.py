@@ -1,11 +1,12 @@
 """Contract-checked table and stream pipelines on Spark."""
 
 from .contracts import REQUIRED, Check, ColumnSpec, FilterParam, Param, SinkContract, SourceContract
-from .errors import DefinitionError, SealedError
+from .errors import DefinitionError, RefusedError, SealedError
 from .operators import (
     Field,
     apply_filters,
     check_summary,
+    column_lineage,
     cycles,
     enforce,
     first_violation,
@@ -17,9 +18,12 @@ from .operators import (
     with_sequence,
 )
 from .plans import Pipeline, track_column, track_field, track_function
-from .sinks import DELIMITED, CustomSink, DelimitedSink, RowSequence, Sink, custom_sink
+from .sinks import DELIMITED, CustomSink, DelimitedSink, Pending, RowSequence, Sink, custom_sink
 from .sources import (
+    REJECT,
+    REJECT_TYPE,
     CustomSource,
+    Reject,
     conform,
     custom_source,
     read_source,

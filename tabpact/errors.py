@@ -18,6 +18,10 @@ class SealedError(RuntimeError):
     """Something was put into a sink that has already been closed."""
 
 
+class RefusedError(ValueError):
+    """Raised by a sink's ``put`` for one record that it does not take; the text is the reason."""
+
+
 def raise_if(subject: str, problems: Sequence[str]) -> None:
     if problems:
         raise DefinitionError(subject, problems)

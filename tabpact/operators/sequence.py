@@ -14,6 +14,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..names import unused
 from ..staging import stage, temporary_folders
 
 #: Sampled keys per range; more makes the ranges more even and never changes a number.
@@ -22,7 +23,6 @@ SAMPLES_PER_RANGE = 40
 MAX_RANGES = 20_000
 #: However many rows the caller wants in a range, one task is not given more while there are ranges to be had.
 MAX_ROWS_PER_RANGE = 1_000_000
-_RANGE = "_tabpact_range"
 #: Bounds are carried as JSON; a timestamp must come back to the microsecond or the bounds lose their order.
 _EXACT = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -47,22 +47,23 @@ def _not_before(bound: Column, keys: Sequence[str], ascending: Sequence[bool]) -
     return bound.isNotNull() & expr
 
 
-def _with_range(df: DataFrame, bounds: list[str], keys: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
+def _with_range(df: DataFrame, name: str, bounds: list[str], keys: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
     """Add the number of bounds at or before each row, by a binary search of log2(bounds) columns."""
     if not bounds:
-        return df.withColumn(_RANGE, F.lit(0))
+        return df.withColumn(name, F.lit(0))
+    held = unused("_bounds", [*df.columns, name])
     key_type = T.StructType([df.schema[k] for k in keys])
     parsed = F.from_json(F.lit("[" + ",".join(bounds) + "]"), T.ArrayType(key_type), _EXACT)
     # As a subquery the bounds are parsed once and stand in the plan once, not in every comparison.
-    lookup = df.sparkSession.range(1).select(parsed.alias("_bounds")).scalar()
-    df = df.withColumn("_bounds", lookup).withColumn(_RANGE, F.lit(0))
+    lookup = df.sparkSession.range(1).select(parsed.alias("bounds")).scalar()
+    df = df.withColumn(held, lookup).withColumn(name, F.lit(0))
     step = 1 << (len(bounds).bit_length() - 1)
     while step:
-        reached = F.col(_RANGE) + step
-        bound = F.get("_bounds", reached - 1)
-        df = df.withColumn(_RANGE, F.when(_not_before(bound, keys, ascending), reached).otherwise(F.col(_RANGE)))
+        reached = F.col(name) + step
+        bound = F.get(held, reached - 1)
+        df = df.withColumn(name, F.when(_not_before(bound, keys, ascending), reached).otherwise(F.col(name)))
         step >>= 1
-    return df.drop("_bounds")
+    return df.drop(held)
 
 
 def _pick_bounds(
@@ -84,8 +85,9 @@ def _pick_bounds(
 
 def _range_counts(slim: DataFrame, bounds: list[str], keys: Sequence[str], ascending: Sequence[bool]) -> list[int]:
     """Rows per range; at most MAX_RANGES numbers come to the driver."""
-    counted = _with_range(slim, bounds, keys, ascending).groupBy(_RANGE).count().collect()
-    found = {row[_RANGE]: row["count"] for row in counted}
+    name = unused("_range", slim.columns)
+    counted = _with_range(slim, name, bounds, keys, ascending).groupBy(F.col(name).alias("range")).agg(F.count(F.lit(1)).alias("rows"))
+    found = {row["range"]: row["rows"] for row in counted.collect()}
     return [found.get(i, 0) for i in range(len(bounds) + 1)]
 
 
@@ -117,25 +119,30 @@ def number_rows(
         # Equal keys crowd a range. Their place in a written table tells such rows apart, identical
         # copies included, and splits them over several ranges.
         origin = df if staged else stage(df, "sequence")
-        df = origin.withColumns(
-            {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-        )
-        keys, directions = keys + ["_file", "_row"], directions + [True, True]
+        file, row = (unused(n, df.columns) for n in ("_file", "_row"))
+        df = origin.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")})
+        keys, directions = keys + [file, row], directions + [True, True]
         slim = df.select(*keys)
         bounds = _pick_bounds(slim, total, ranges, keys, directions)
         counts = _range_counts(slim, bounds, keys, directions)
 
     before = [0, *accumulate(counts)]
     offsets = F.split(F.lit(",".join(str(start + n) for n in before[:-1])), ",").cast("array<bigint>")
-    rank = F.row_number().over(Window.partitionBy(_RANGE).orderBy(*_sort_columns(keys, directions)))
-    ranged = _with_range(df, bounds, keys, directions)
-    numbered = ranged.repartitionById(len(counts), F.col(_RANGE)).withColumn("_rank", rank)
-    number = F.get(offsets, F.col(_RANGE)) + F.col("_rank") - 1
-    if not staged and not crowded:
-        # The rows were evaluated before for their keys; more of them now would be numbered twice.
+    place, rank, end = (unused(n, [*df.columns, name]) for n in ("_range", "_rank", "_end"))
+    ranged, order = _with_range(df, place, bounds, keys, directions), _sort_columns(keys, directions)
+    checked = not staged and not crowded
+    if checked:
+        # The rows were evaluated before for their keys. A row behind the last of each range tells whether as many have come again.
+        ends = df.sparkSession.range(len(counts)).select(F.col("id").cast("int").alias(place), F.lit(True).alias(end))
+        ranged = ranged.withColumn(end, F.lit(False)).unionByName(ends, allowMissingColumns=True)
+        order = [F.col(end).asc(), *order]
+    in_range = F.row_number().over(Window.partitionBy(place).orderBy(*order))
+    numbered = ranged.repartitionById(len(counts), F.col(place)).withColumn(rank, in_range)
+    if checked:
         sizes = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
-        changed = F.raise_error(F.lit("the input gave other rows the second time; number it with staged=True")).cast("bigint")
-        number = F.when(F.col("_rank") <= F.get(sizes, F.col(_RANGE)), number).otherwise(changed)
+        changed = F.raise_error(F.lit("the input gave other rows the second time; number it with staged=True")).cast("boolean")
+        numbered = numbered.where(F.when(~F.col(end), F.lit(True)).when(F.col(rank) == F.get(sizes, F.col(place)) + 1, F.lit(False)).otherwise(changed))
+    number = F.get(offsets, F.col(place)) + F.col(rank) - 1
     return numbered.withColumn(name, number.cast("bigint")).select(*output), total
 
 
@@ -156,6 +163,6 @@ def with_sequence(
 
     The input is evaluated twice, the first time for the order key alone. Set ``staged`` to write it
     once to the shared folder when it is costly to compute or does not give the same rows again; a range that
-    gets more rows the second time fails the job.
+    gets more or fewer rows the second time fails the job. Columns of any names are left as they are.
     """
     return number_rows(df, order_by, start, name, ascending, rows_per_range, staged)[0]

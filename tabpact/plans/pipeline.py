@@ -7,15 +7,17 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..contracts import SourceContract, flatten_params, identifier_problem
 from ..errors import DefinitionError, raise_if
 from ..operators.checks import POLICIES, enforce
 from ..operators.filters import apply_filters, unanswered
 from ..operators.mapping import Field
+from ..operators.plan_lineage import column_lineage
 from ..sinks.base import AdaptedSink, Sink
-from ..sources.custom import CustomSource
+from ..sinks.publish import Pending, PendingFolder, publish_all
+from ..sources.custom import CustomSource, split_tagged
 from ..sources.reader import conform, load, select_columns
 from ..sources.rejects import read_with_rejects
 from ..staging import stage, temporary_folders
@@ -42,29 +44,35 @@ class SourceBinding:
         """Filtered rows with the declared columns, not yet checked."""
         return self.read(spark)[0]
 
-    def _custom(self, load: Callable[..., DataFrame], spark: SparkSession) -> DataFrame:
+    def _custom(self, spark: SparkSession, stream: bool = False, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """Rows, and with a ``rejects_path`` rejects, which one reading gives both of: it is written first if ``staged``."""
         resolved = self.contract.bind_filters(self.values)
-        rows = load(spark, **resolved)
+        if self.rejects_path is None:
+            rows, rejects = (self.custom.load_stream if stream else self.custom.load)(spark, **resolved), None
+        else:
+            tagged = self.custom.load_tagged(spark, stream, **resolved)
+            rows, rejects = split_tagged(stage(tagged, "tagged") if staged else tagged)
         for param in self.contract.filters:
             condition = param.condition(resolved[param.name])
             rows = rows if condition is None else rows.where(condition)
-        return conform(rows, self.contract)
+        return conform(rows, self.contract), rejects
 
     def stream(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
         """As ``read``, of streams."""
         if self.custom is not None:
-            return self._custom(self.custom.load_stream, spark), None
+            return self._custom(spark, stream=True)
         return stream_with_rejects(
             spark, self.contract, self.path, self.fmt, self.values, self.options, split=self.rejects_path is not None
         )
 
-    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
+    def read(self, spark: SparkSession, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """The rows, and with a ``rejects_path`` the records that do not parse.
 
-        A custom source gets the values of all filters; those with a predicate are applied to its rows as well.
+        A custom source gets the values of all filters; those with a predicate are applied to its rows as well. Where it
+        gives rejects, ``staged`` has it read once for both.
         """
         if self.custom is not None:
-            return self._custom(self.custom.load, spark), None
+            return self._custom(spark, staged=staged)
         if self.rejects_path is not None:
             return read_with_rejects(spark, self.contract, self.path, self.fmt, self.options, self.values)
         table = load(spark, self.contract, self.path, self.fmt, self.options)
@@ -134,8 +142,8 @@ class Pipeline:
             self.problems.append(f"source {name!r}: policy {policy!r} needs a bad_path")
         if (path is None) == (custom is None):
             self.problems.append(f"source {name!r} needs either a path or a custom source")
-        if custom is not None and rejects_path is not None:
-            self.problems.append(f"source {name!r}: a custom source has no rejects")
+        if custom is not None and rejects_path is not None and not custom.rejects:
+            self.problems.append(f"source {name!r}: the custom source has no rejects")
         self.sources[name] = SourceBinding(
             name, contract, path, fmt, dict(options or {}), custom, policy, bad_path, rejects_path, tuple(key), values
         )
@@ -222,7 +230,8 @@ class Pipeline:
 
         What a sink says of the rows it would get is asked of all sinks before the first write. A source that
         feeds several writes is written to the shared folder first, so that it is read once and all of them
-        see the same rows; nothing of it is left afterwards.
+        see the same rows; nothing of it is left afterwards. Outputs, rejects and bad rows included, are shown when
+        all of them are written: if one fails, none is there.
         """
         frames = self.frames(spark)
         problems: list[str] = []
@@ -235,23 +244,29 @@ class Pipeline:
         targets = self._targets()
         uses = {a: sum(a in names for names in targets.values()) for a in self.sources}
         good: dict[str, DataFrame] = {}
-        outcome: dict[str, Any] = {}
+        pending: dict[str, Pending] = {}
         with temporary_folders(spark):
-            for name, binding in self.sources.items():
-                if not uses[name]:
-                    continue
-                rows, rejects = binding.read(spark)
-                if rejects is not None:
-                    rejects.write.mode("errorifexists").parquet(binding.rejects_path)
-                if uses[name] + (binding.bad_path is not None) > 1:
-                    rows = stage(rows, "source")
-                good[name], bad = self._enforced(name, rows)
-                if bad is not None and binding.bad_path is not None:
-                    bad.write.mode("errorifexists").parquet(binding.bad_path)
-            for sink_name, names in targets.items():
-                rows = reduce(DataFrame.unionByName, [good[a] for a in names])
-                outcome[sink_name] = self.sinks[sink_name].write(rows)
-        return outcome
+            try:
+                for name, binding in self.sources.items():
+                    if not uses[name]:
+                        continue
+                    rows, rejects = binding.read(spark, staged=True)
+                    if rejects is not None:
+                        pending[f"rejects of {name}"] = _pending_table(rejects, binding.rejects_path)
+                    if uses[name] + (binding.bad_path is not None) > 1:
+                        rows = stage(rows, "source")
+                    good[name], bad = self._enforced(name, rows)
+                    if bad is not None and binding.bad_path is not None:
+                        pending[f"bad of {name}"] = _pending_table(bad, binding.bad_path)
+                for sink_name, names in targets.items():
+                    rows = reduce(DataFrame.unionByName, [good[a] for a in names])
+                    pending[sink_name] = self.sinks[sink_name].prepare(rows)
+            except BaseException:
+                for output in pending.values():
+                    output.cancel()
+                raise
+            outcome = publish_all(pending)
+        return {name: outcome[name] for name in targets}
 
     def run_stream(self, spark: SparkSession, checkpoint: str, **trigger: Any) -> list[Any]:
         """Run the same definition on streams; see :func:`tabpact.streaming.run_pipeline`."""
@@ -259,25 +274,73 @@ class Pipeline:
 
         return run_pipeline(self, spark, checkpoint, **trigger)
 
-    def edges(self, spark: SparkSession) -> DataFrame:
+    def edges(self, spark: SparkSession, stored: bool = False) -> DataFrame:
         """The lineage of this definition as an edge table (src, dst).
 
-        Nodes are ``source:<binding>.<column>``, ``fn:<function>`` and ``sink:<binding>.<field>``.
+        Nodes are ``source:<binding>.<column>``, ``fn:<function>`` and ``sink:<binding>.<field>``. Which columns a field is made of is read
+        off the resolved expressions, so nothing need be declared; what a field names in ``uses`` is added. User functions are nodes, and so is what a
+        field names in ``via``.
+
+        With ``stored`` also where the source columns come from, ``table:<binding>.<column>``, and what decides on a source's rows: the columns that
+        its filters, checks and computed columns ask lead to ``rows:<binding>``, and that leads to all fields it feeds. Stored tables must be there for that; no data is read.
         """
         self.validate()
         found: dict[tuple[str, str], None] = {}
         for a, b in self.pipes:
-            columns = self.sources[a].contract.column_names
+            binding, name = self.sources[a], b
+            frame, origin = _empty(spark, binding.contract.schema()), f"source:{a}"
+            if stored:
+                self._stored_edges(spark, binding, found)
             sink = self.sinks[b]
-            fields = sink.fields if isinstance(sink, AdaptedSink) else [Field(c, c) for c in columns]
-            for f in fields:
-                target = f"sink:{b}.{f.name}"
-                for column in f.inputs():
-                    origin = f"source:{a}.{column}"
-                    if f.via is not None:
-                        found[origin, f"fn:{f.via}"] = None
-                        origin = f"fn:{f.via}"
-                    found[origin, target] = None
-                if b in self.onto:
-                    found[target, f"sink:{self.onto[b]}.{f.name}"] = None
+            while True:
+                rows, target = frame, f"sink:{name}"
+                if isinstance(sink, AdaptedSink):
+                    rows = sink.transform(frame)
+                    _mapping_edges(rows, sink.fields, origin, target, found)
+                else:
+                    found |= {(f"{origin}.{c}", f"{target}.{c}"): None for c in frame.columns}
+                if stored and origin.startswith("source:"):
+                    found |= {(f"rows:{a}", f"{target}.{c}"): None for c in rows.columns}
+                if name not in self.onto:
+                    break
+                frame, origin, name, sink = _empty(spark, rows.schema), target, self.onto[name], sink.inner
         return spark.createDataFrame(list(found), "src string, dst string")
+
+    def _stored_edges(self, spark: SparkSession, binding: SourceBinding, found: dict[tuple[str, str], None]) -> None:
+        """From the stored columns to the source's columns, and from those that decide on its rows."""
+        to_rows = f"rows:{binding.name}"
+        if binding.custom is None:
+            table = load(spark, binding.contract, binding.path, binding.fmt, binding.options).alias("table")
+            rows = select_columns(apply_filters(table, binding.contract, binding.values), binding.contract)
+            lineage = column_lineage(rows)
+            for column, origins in lineage.columns.items():
+                found |= {(f"table:{binding.name}.{c}", f"source:{binding.name}.{column}"): None for _, c in sorted(origins)}
+            found |= {(f"table:{binding.name}.{c}", to_rows): None for _, c in sorted(lineage.rows)}
+        checked = self._enforced(binding.name, _empty(spark, binding.contract.schema()))[0]
+        found |= {(f"source:{binding.name}.{c}", to_rows): None for _, c in sorted(column_lineage(checked).rows)}
+
+
+def _pending_table(df: DataFrame, path: str) -> Pending:
+    folder = PendingFolder(df.sparkSession, path, "errorifexists")
+    df.write.parquet(folder.path)
+    return Pending(folder.publish, folder.cancel)
+
+
+def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def _mapping_edges(rows: DataFrame, fields: Sequence[Field], origin: str, target: str, found: dict[tuple[str, str], None]) -> None:
+    """From the columns in front of a mapping to those behind it."""
+    lineage = column_lineage(rows)
+    declared = {f.name: f for f in fields}
+    for name in rows.columns:
+        given = declared.get(name, Field(name, name, uses=()))
+        columns = sorted({c for _, c in lineage.columns[name]} | set(given.inputs()))
+        functions = sorted(lineage.functions[name]) if given.via is None else [given.via]
+        for column in columns:
+            for function in functions:
+                found[f"{origin}.{column}", f"fn:{function}"] = None
+            if not functions:
+                found[f"{origin}.{column}", f"{target}.{name}"] = None
+        found |= {(f"fn:{function}", f"{target}.{name}"): None for function in functions}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..contracts import Check, ColumnSpec, FilterParam, SourceContract
+from ..errors import RefusedError
 from ..functions import (
     date_range,
     fmt_date,
@@ -36,7 +37,7 @@ from ..operators import (
     with_sequence,
 )
 from ..sinks import DelimitedSink, RowSequence, custom_sink
-from ..sources import conform, custom_source, read_source, read_with_rejects, record_source, split_rejects
+from ..sources import Reject, conform, custom_source, read_source, read_with_rejects, record_source, split_rejects
 from ..staging import new_folder, qualified
 from ..streaming import check_counts, stream_sink, stream_source
 from .employment import EMPLOYMENT, FIELDS, HEADER, MONTH, feed
@@ -144,36 +145,51 @@ STATEMENTS = SourceContract(
 )
 
 
-def _statement_files(spark: SparkSession, sf_dir: str) -> str:
-    """Accounts as a format of their own: a line `*customer` opens an account, the lines after it are its entries."""
-    opening = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("cust"),
-        F.lit(0).alias("at"),
-        F.format_string("opening;%s;%d", F.when(F.col("c_acctbal") < 0, "D").otherwise("C"), F.abs(F.round(F.col("c_acctbal") * 100)).cast("bigint")).alias("line"),
-    )
+#: Entries that one opening of an account is meant to have.
+ENTRIES_PER_OPENING = 4_000
+
+
+def _statement_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """Accounts as a format of their own: a line `*customer` opens an account, the lines after it are its entries.
+
+    An account is opened as many times as the table has parts of ``ENTRIES_PER_OPENING`` orders, each time with the orders that a hash deals to it, so that
+    the orders of one customer are written, and read, by many tasks. With ``broken`` every 97th order has no amount.
+    """
+    openings = table(spark, sf_dir, "orders").count() // ENTRIES_PER_OPENING + 1
+    amount = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
+    amount = F.when(F.col("o_orderkey") % 97 == 0, "n/a").otherwise(amount) if broken else amount
     entries = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey"), F.lit(1), F.format_string("order %d;D;%d", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+        F.col("o_custkey").alias("cust"),
+        F.pmod(F.xxhash64("o_orderkey"), F.lit(openings)).alias("part"),
+        F.lit(1).alias("at"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(";D;"), amount).alias("line"),
     )
+    balance = F.format_string("opening;%s;%d", F.when(F.col("c_acctbal") < 0, "D").otherwise("C"), F.abs(F.round(F.col("c_acctbal") * 100)).cast("bigint"))
+    start = F.concat(F.lit("*"), F.col("c_custkey").cast("string"), F.lit("\n"), balance)
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.lit(0).cast("bigint").alias("part"), F.lit(0).alias("at"), start.alias("line"))
+    again = entries.where("part > 0").select("cust", "part", F.lit(0).alias("at"), F.concat(F.lit("*"), F.col("cust").cast("string")).alias("line")).distinct()
     path = new_folder(spark, "statements")
-    lines = opening.union(entries).repartition("cust").sortWithinPartitions("cust", "at")
-    lines.select(F.when(F.col("at") == 0, F.concat(F.lit("*"), F.col("cust").cast("string"), F.lit("\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(path)
+    lines = first.unionByName(again).unionByName(entries).repartition("cust", "part").sortWithinPartitions("cust", "part", "at")
+    lines.select(F.col("line").alias("value")).write.text(path)
     return path
 
 
-#: Bytes of a slice of a statement file.
+#: Bytes of a slice of a statement file at least, and slices at most, which the driver lists: larger inputs have larger slices.
 SLICE = 256 * 1024
+MAX_SLICES = 50_000
 
 
 def statement_source(spark: SparkSession, path: str):
     """The entries of statement files, read by user code in slices of a file.
 
     An account belongs to the slice in which its first line begins; a slice goes on beyond its end until the next
-    account. Accounts below the filter are skipped while reading.
+    account. Accounts below the filter are skipped while reading. An entry whose amount is no number is a reject.
     """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
     files = [(f.getPath().toString(), f.getLen()) for f in found if f.getPath().getName().startswith("part-")]
-    slices = [(uri, start, min(size, start + SLICE)) for uri, size in files for start in range(0, size, SLICE)]
+    size_of = max(SLICE, sum(size for _, size in files) // MAX_SLICES)
+    slices = [(uri, start, min(size, start + size_of)) for uri, size in files for start in range(0, size, size_of)]
 
     def read(part: tuple[str, int, int], min_cust: int | None) -> Iterator:
         import io
@@ -193,7 +209,7 @@ def statement_source(spark: SparkSession, path: str):
                     account = int(line[1:])
                 elif account is not None and (min_cust is None or account >= min_cust):
                     entry, kind, cents = line.decode().rstrip("\n").split(";")
-                    yield account, entry, kind, int(cents)
+                    yield (account, entry, kind, int(cents)) if cents.isdigit() else Reject(f"{account};{entry};{kind};{cents}", "the amount is no number")
                 at += len(line)
 
     return record_source("tabpact_statements", "cust_id bigint, entry string, kind string, cents bigint", slices, read)
@@ -218,6 +234,43 @@ def record_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statement_plan(spark, sf_dir, "statement-rows", min_cust=700)
 
 
+_BROKEN = "SELECT cust_id, entry, kind, cents FROM (" + _STATEMENTS.format(where=">= 700") + ") WHERE NOT (entry LIKE 'order %' AND coalesce(TRY_CAST(substr(entry, 7) AS BIGINT) % 97, 1) = 0)"
+_BROKEN_REJECTS = """SELECT o_custkey || ';order ' || o_orderkey || ';D;n/a' AS record, 'the amount is no number' AS reason
+                     FROM orders WHERE o_orderkey % 97 = 0 AND o_custkey >= 700"""
+
+
+def _broken_statements(spark: SparkSession, sf_dir: str, stream: bool = False) -> str:
+    """Statements with entries that user code cannot read, through a pipe that puts those aside; returns its folder."""
+    folder = new_folder(spark, "broken-statements")
+    source = statement_source(spark, _statement_files(spark, sf_dir, broken=True))
+    plan = Pipeline("Statements").source("entries", STATEMENTS, custom=source, rejects_path=f"{folder}/rejects", min_cust=700)
+    plan.sink("out", DelimitedSink(f"{folder}/out")).pipe("entries -> out")
+    if not stream:
+        plan.run(spark)
+        return folder
+    for q in plan.run_stream(spark, f"{folder}/checkpoint"):
+        q.awaitTermination()
+    return folder
+
+
+@query(_BROKEN)
+def record_source_rejects_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record that user code rejects does not end its slice."""
+    return spark.read.schema(STATEMENTS.schema()).csv(f"{_broken_statements(spark, sf_dir)}/out")
+
+
+@query(_BROKEN_REJECTS)
+def record_source_rejects_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected records as read, with the reason."""
+    return spark.read.parquet(f"{_broken_statements(spark, sf_dir)}/rejects")
+
+
+@query(_BROKEN_REJECTS)
+def stream_record_source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream of slices."""
+    return spark.read.parquet(f"{_broken_statements(spark, sf_dir, stream=True)}/rejects")
+
+
 def _priced_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders with the price as text; every 97th key holds a text that is no number."""
     price = F.when(F.col("o_orderkey") % 97 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
@@ -262,6 +315,21 @@ def reject_file_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select(F.coalesce("_corrupt_record", F.col("price").cast("string")).alias("record"))
 
 
+@query(_PRICED + """SELECT count(*) AS good, (SELECT count(*) FROM priced WHERE price IS NOT NULL AND TRY_CAST(price AS DOUBLE) IS NULL) AS bad,
+                 true AS failed FROM priced WHERE price IS NULL OR TRY_CAST(price AS DOUBLE) IS NOT NULL""")
+def scan_rejects_unselected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a bad value in a column that nobody asks for: they are counted as rejects, and fail a scan without rejects."""
+    path = _price_file(spark, sf_dir)
+    good, bad = read_with_rejects(spark, PRICE_FILE, path, "csv")
+    counts = good.select("o_orderkey").agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.select(F.lit(1)).agg(F.count(F.lit(1)).alias("bad")))
+    try:
+        read_source(spark, PRICE_FILE, path, "csv").select("o_orderkey").agg(F.max("o_orderkey")).collect()
+        failed = False
+    except Exception as exc:
+        failed = "MALFORMED" in str(exc)
+    return counts.withColumn("failed", F.lit(failed))
+
+
 LOOSE_PRICES = SourceContract(
     "LoosePrices",
     columns=[ColumnSpec("o_orderkey", "bigint"), ColumnSpec("price", "double", nullable=True, checks=Check("price >= 1000", when_present=True, name="low_price"))],
@@ -878,6 +946,78 @@ def custom_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, folder, _ACCOUNTS)
 
 
+class _Limited:
+    """Takes accounts down to a debt, refuses others one by one."""
+
+    def __init__(self, inner: _ParquetRecords):
+        self.inner = inner
+
+    def put(self, row) -> None:
+        if row.c_acctbal < -500:
+            raise RefusedError("too much debt")
+        self.inner.put(row)
+
+    def done(self) -> str:
+        return self.inner.done()
+
+
+def _refusing_sink(spark: SparkSession, sf_dir: str):
+    """All customers through a user-defined sink that refuses some; returns its folder and the sink."""
+    folder = new_folder(spark, "refusing-sink")
+    plain = _record_sink(spark, folder, _ACCOUNTS, "tabpact_refusing_records")
+    sink = custom_sink(plain.name, lambda part, attempt: _Limited(plain.open_writer(part, attempt)), plain.on_commit, rejects_path=f"{folder}/refused")
+    plan = Pipeline("Refusing").source("customers", CUSTOMERS, f"{sf_dir}/customer.parquet", policy="report", bad_path=f"{folder}/bad", key=["c_custkey"])
+    plan.sink("records", sink).pipe("customers -> records").run(spark)
+    return folder, sink
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= -500")
+def custom_sink_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record that the sink refuses does not stop the others."""
+    return _published(spark, _refusing_sink(spark, sf_dir)[0], _ACCOUNTS)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, 'too much debt' AS reason FROM customer WHERE c_acctbal < -500")
+def custom_sink_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refused records with the reason."""
+    refused = _refusing_sink(spark, sf_dir)[1].refused(spark)
+    return refused.select(F.from_json("record", _ACCOUNTS).alias("r"), "reason").select("r.*", "reason")
+
+
+@query(
+    """SELECT c_custkey, 0 AS outputs_of_failed_run FROM customer WHERE c_acctbal >= 0"""
+)
+def sinks_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sinks of which the second fails in the middle of its rows: nothing is there. Then the same run with a sink that holds: all is there."""
+    folder = new_folder(spark, "all-or-nothing")
+
+    class Failing:
+        def put(self, row):
+            if row.c_custkey % 50 == 0:
+                raise RuntimeError("the sink broke")
+
+        def done(self):
+            return None
+
+    def plan(second) -> Pipeline:
+        made = Pipeline("Both").source("customers", CUSTOMERS, f"{sf_dir}/customer.parquet", policy="quarantine", bad_path=f"{folder}/bad")
+        return made.sink("lines", DelimitedSink(f"{folder}/lines")).sink("records", second).pipe("customers -> lines").pipe("customers -> records")
+
+    try:
+        plan(custom_sink("tabpact_failing_records", lambda part, attempt: Failing())).run(spark)
+        raise AssertionError("the run was to fail")
+    except AssertionError:
+        raise
+    except Exception:
+        files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+        left = len(list(system.listStatus(files))) if system.exists(files) else 0
+    plan(_record_sink(spark, folder, _ACCOUNTS, "tabpact_holding_records")).run(spark)
+    keys = spark.read.schema(_ACCOUNTS).csv(f"{folder}/lines").select("c_custkey")
+    records = _published(spark, folder, _ACCOUNTS).select("c_custkey")
+    return keys.intersect(records).withColumn("outputs_of_failed_run", F.lit(left))
+
+
 _WINDOWS = (("jan", "1996-01-01", "1996-02-01"), ("q1", "1996-01-01", "1996-04-01"))
 
 
@@ -1054,11 +1194,86 @@ def trace_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.select("node", (F.col("depth") - 1).alias("depth"))
 
 
+@query(
+    _GOODS
+    + """, fwd AS (
+  SELECT src AS start, dst AS node, 1 AS depth FROM edges WHERE src LIKE 's%'
+  UNION SELECT f.start, e.dst, f.depth + 1 FROM fwd f JOIN edges e ON f.node = e.src WHERE f.depth < 3
+), least AS (SELECT start, node, min(depth) AS depth FROM fwd GROUP BY start, node)
+SELECT start, depth, count(*) AS nodes, count(*) FILTER (node = start) AS back FROM least GROUP BY start, depth"""
+)
+def trace_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every supplier at once: how many parties its goods reach in one, two and three movements, and whether they come back."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    reached = trace(goods_edges(spark, sf_dir), suppliers, "forward", max_depth=3)
+    return reached.groupBy("start", "depth").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node") == F.col("start")).alias("back"))
+
+
 @query(_GOODS + _CLOSURE)
 def cycle_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cycles(goods_edges(spark, sf_dir))
 
 
+SALES = SourceContract(
+    "Sales",
+    columns=[
+        ColumnSpec("line", "string", source="concat(l_orderkey, '-', l_linenumber)"),
+        ColumnSpec("net", "double", source="l_extendedprice * (1 - l_discount)", checks=Check(lambda c: c > 0, "a price is positive")),
+        ColumnSpec("tax", "double", source="l_tax"),
+        ColumnSpec("shipped", "date", source="CAST(l_shipdate AS date)"),
+        ColumnSpec("flag", "string", source="l_returnflag"),
+    ],
+    column_checks=Check("shipped IS NOT NULL OR flag = 'R'", "what is not shipped was returned"),
+    filters=[FilterParam("min_quantity", "double", default=None, optional=True, predicate=lambda v: F.col("l_quantity") >= v)],
+)
+_SALES_LINEAGE = {
+    "Line": "l_orderkey l_linenumber",
+    "Gross": "l_extendedprice l_discount l_tax",
+    "Month": "l_shipdate",
+    "Late tax": "l_shipdate l_tax",
+    # The filter, the checks, and that all columns are required.
+    "rows": "l_quantity l_orderkey l_linenumber l_extendedprice l_discount l_tax l_shipdate l_returnflag",
+}
+
+
+@query(
+    "WITH made(field, name) AS (VALUES "
+    + ", ".join(f"('{field}', '{name}')" for field, names in _SALES_LINEAGE.items() for name in names.split())
+    + "), kept AS (SELECT * FROM lineitem WHERE l_quantity >= 20), counted AS (UNPIVOT (SELECT "
+    + ", ".join(f"count({c}) AS {c}" for c in "l_orderkey l_linenumber l_extendedprice l_discount l_tax l_shipdate l_returnflag l_quantity".split())
+    + ' FROM kept) ON * INTO NAME name VALUE n) SELECT field, name AS "column", n AS "values" FROM made JOIN counted USING (name)'
+)
+def lineage_of_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every field of a report, and for its rows, the stored columns that it is made of, and how many values these have in what the report reads.
+
+    Nothing is declared: the expressions of the source, the filter, the checks and the mapping say it.
+    """
+    plan = Pipeline("Sales").source("lines", SALES, f"{sf_dir}/lineitem.parquet", policy="drop", min_quantity=20)
+    plan.sink("out", DelimitedSink("unused")).adapter(
+        "report",
+        onto="out",
+        mapping=[
+            ("Line", "line"),
+            ("Gross", "round(net * (1 + tax), 2)"),
+            ("Month", lambda: F.date_format("shipped", "yyyy-MM")),
+            ("Late tax", lambda: F.when(F.col("shipped") >= F.lit("1998-01-01").cast("date"), F.col("tax"))),
+        ],
+    ).pipe("lines -> report")
+    edges = plan.edges(spark, stored=True)
+    fields = ["Line", "Gross", "Month", "Late tax"]
+    # What decides on the rows is asked once; it goes into every field.
+    values = trace(edges.where(~F.col("src").startswith("rows:")), [f"sink:out.{f}" for f in fields], "backward")
+    rows = trace(edges, ["rows:lines"], "backward")
+    made = values.unionByName(rows).where(F.col("node").startswith("table:")).select(
+        F.when(F.col("start") == "rows:lines", "rows").otherwise(F.substring_index("start", ".", -1)).alias("field"),
+        F.substring_index("node", ".", -1).alias("column"),
+    )
+    stored = table(spark, sf_dir, "lineitem").where("l_quantity >= 20")
+    names = sorted({r["column"] for r in made.collect()})
+    counts = stored.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column", "values")
+    return made.join(F.broadcast(counts), "column").select("field", "column", "values")
+
+
 # ---------------------------------------------------------------- streams
 
 EVENTS = SourceContract(

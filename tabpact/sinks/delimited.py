@@ -14,6 +14,7 @@ from ..operators.rendering import QUOTING, format_cells, render_line
 from ..operators.sequence import number_rows
 from ..staging import temporary_folders
 from .base import Sink
+from .publish import Pending, PendingFolder
 
 #: monotonically_increasing_id keeps the row position within the partition in its low 33 bits.
 _POSITION_BITS = (1 << 33) - 1
@@ -132,6 +133,20 @@ class DelimitedSink(Sink):
             raise RuntimeError(f"{total} rows were counted, but {seen.get['rows']} were there to be written; stage the input")
         return total
 
+    def prepare(self, df: DataFrame) -> Pending:
+        folder = PendingFolder(df.sparkSession, self.path, self.mode)
+        try:
+            total = replace(self, path=folder.path, mode="errorifexists").write(df)
+        except BaseException:
+            folder.cancel()
+            raise
+
+        def publish() -> int | None:
+            folder.publish()
+            return total
+
+        return Pending(publish, folder.cancel)
+
     def _write_csv(self, cells: DataFrame) -> None:
         named = cells.toDF(*self.header) if self.header else cells
         named.write.mode(self.mode).csv(

@@ -2,39 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import raise_if
 
+#: Rejects that a slice holds until its first row shows whether it yields tuples or batches.
+HELD_REJECTS = 1_000
+
+
+#: The column in which a source says why a record is no row: NULL for a row, else the record and the reason.
+REJECT = "_reject"
+REJECT_TYPE = "struct<record:string,reason:string>"
+
+
+@dataclass(frozen=True)
+class Reject:
+    """What a reader yields in place of a row for a record that it cannot read."""
+
+    record: str
+    reason: str
+
 
 @dataclass(frozen=True)
 class CustomSource:
-    """A named function that builds a DataFrame from filter values."""
+    """A named function that builds a DataFrame from filter values.
+
+    With ``rejects`` its frames have the column ``REJECT`` as well.
+    """
 
     name: str
     fn: Callable[..., DataFrame]
     stream_fn: Callable[..., DataFrame] | None = None
+    rejects: bool = False
+
+    def load_tagged(self, spark: SparkSession, stream: bool = False, **filters: Any) -> DataFrame:
+        """Rows and rejects in one frame, as the function gives them."""
+        if stream:
+            raise_if(f"source {self.name!r}", [] if self.stream_fn else ["it cannot be read as a stream"])
+        return (self.stream_fn if stream else self.fn)(spark, **filters)
 
     def load_stream(self, spark: SparkSession, **filters: Any) -> DataFrame:
-        """The rows as a stream, for a source that has one."""
-        raise_if(f"source {self.name!r}", [] if self.stream_fn else ["it cannot be read as a stream"])
-        return self.stream_fn(spark, **filters)
+        """The rows as a stream, for a source that has one. A reject stops the query."""
+        found = self.load_tagged(spark, True, **filters)
+        return self._without_rejects(found) if self.rejects else found
 
     def load(self, spark: SparkSession, **filters: Any) -> DataFrame:
-        return self.fn(spark, **filters)
+        """The rows. A reject fails the job."""
+        found = self.load_tagged(spark, **filters)
+        return self._without_rejects(found) if self.rejects else found
+
+    def _without_rejects(self, tagged: DataFrame) -> DataFrame:
+        reject = F.col(REJECT)
+        message = F.concat(F.lit(f"source {self.name}: "), reject["reason"], F.lit(": "), F.coalesce(reject["record"], F.lit("")))
+        return tagged.where(F.when(reject.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop(REJECT)
+
+
+def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and the rejects as ``record`` and ``reason``."""
+    return tagged.where(F.col(REJECT).isNull()).drop(REJECT), tagged.where(F.col(REJECT).isNotNull()).select(f"{REJECT}.*")
 
 
 def custom_source(
-    name: str, fn: Callable[..., DataFrame], stream_fn: Callable[..., DataFrame] | None = None
+    name: str, fn: Callable[..., DataFrame], stream_fn: Callable[..., DataFrame] | None = None, rejects: bool = False
 ) -> CustomSource:
-    """Wrap ``fn(spark, **filters) -> DataFrame`` as a source; ``stream_fn`` gives the same rows as a stream."""
+    """Wrap ``fn(spark, **filters) -> DataFrame`` as a source; ``stream_fn`` gives the same rows as a stream.
+
+    With ``rejects`` the frames have a column ``REJECT`` of type ``REJECT_TYPE`` that is not NULL for records which are no rows.
+    Such records go to the ``rejects_path`` of the source's binding, or fail the job where there is none.
+    """
     raise_if(f"source {name!r}", [] if name.isidentifier() else ["the name is not an identifier"])
-    return CustomSource(name, fn, stream_fn)
+    return CustomSource(name, fn, stream_fn, rejects)
 
 
 @dataclass
@@ -42,6 +85,50 @@ class _Slice(InputPartition):
     value: Any
 
 
+def _tagged(found: Iterable[Any], width: int) -> Iterator[Any]:
+    """What a reader yields, with the reject column; all tuples or all batches, as the first row says."""
+    held: list[Reject] = []
+    of_reject = lambda r: (*[None] * width, (str(r.record), str(r.reason)))
+    found = iter(found)
+    for first in found:
+        if not isinstance(first, Reject):
+            break
+        held.append(first)
+        if len(held) == HELD_REJECTS:
+            # Nothing but rejects so far: from here on all are tuples.
+            yield from map(of_reject, held)
+            yield from _as_tuples(found, of_reject)
+            return
+    else:
+        yield from map(of_reject, held)
+        return
+    if not isinstance(first, pa.RecordBatch):
+        yield from map(of_reject, held)
+        yield (*first, None)
+        yield from _as_tuples(found, of_reject)
+        return
+    kind = pa.struct([("record", pa.string()), ("reason", pa.string())])
+
+    def as_batch(item: Any) -> pa.RecordBatch:
+        if isinstance(item, pa.RecordBatch):
+            return pa.RecordBatch.from_arrays([*item.columns, pa.nulls(item.num_rows, kind)], names=[*item.schema.names, REJECT])
+        tag = pa.array([{"record": str(item.record), "reason": str(item.reason)}], kind)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in first.schema), tag], names=[*first.schema.names, REJECT])
+
+    yield from map(as_batch, (*held, first))
+    yield from map(as_batch, found)
+
+
+def _as_tuples(found: Iterator[Any], of_reject: Callable[[Reject], tuple]) -> Iterator[tuple]:
+    for item in found:
+        if isinstance(item, Reject):
+            yield of_reject(item)
+        elif isinstance(item, pa.RecordBatch):
+            yield from ((*row, None) for row in zip(*(c.to_pylist() for c in item.columns)))
+        else:
+            yield (*item, None)
+
+
 def record_source(
     name: str,
     schema: str | T.StructType,
@@ -51,13 +138,18 @@ def record_source(
     """A source of records that user code yields slice by slice, one Spark partition per slice.
 
     ``read(slice, **filters)`` runs on an executor and yields tuples in schema order or Arrow record
-    batches; batches are much cheaper. It gets the bound value of every filter of the contract, None for
+    batches; batches are much cheaper. In their place it may yield a :class:`Reject` for a record that it cannot
+    read, and go on. It gets the bound value of every filter of the contract, None for
     one that is not set. A slice is read again if its task is retried.
 
     ``slices`` may be a function that lists them. On a stream it is asked for each micro-batch, which takes the slices that
     have come since the last one; new slices must come after those listed before.
     """
     listed = slices if callable(slices) else lambda: slices
+    fields = (T.DataType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    width = len(fields)
+    raise_if(f"source {name!r}", [f"the column {REJECT!r} is taken"] if REJECT in [f.name.lower() for f in fields] else [])
+    tagged = T.StructType([*(T.StructField(f.name, f.dataType, True, f.metadata) for f in fields), T.StructField(REJECT, T.DataType.fromDDL(REJECT_TYPE))])
 
     class Reader(DataSourceReader):
         def __init__(self, filters):
@@ -67,7 +159,7 @@ def record_source(
             return [_Slice(s) for s in listed()]
 
         def read(self, partition):
-            yield from read(partition.value, **self.filters)
+            yield from _tagged(read(partition.value, **self.filters), width)
 
     class StreamReader(DataSourceStreamReader):
         def __init__(self, filters):
@@ -83,7 +175,7 @@ def record_source(
             return [_Slice(s) for s in listed()[start["slices"] : end["slices"]]]
 
         def read(self, partition):
-            yield from read(partition.value, **self.filters)
+            yield from _tagged(read(partition.value, **self.filters), width)
 
         def commit(self, end):
             pass
@@ -95,7 +187,7 @@ def record_source(
                 return name
 
             def schema(self):
-                return schema
+                return tagged
 
             def reader(self, schema):
                 return Reader(filters)
@@ -113,4 +205,4 @@ def record_source(
         register(spark, filters)
         return spark.readStream.format(name).load()
 
-    return custom_source(name, load, load_stream)
+    return custom_source(name, load, load_stream, rejects=True)

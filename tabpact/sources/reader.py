@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..contracts import SourceContract
 from ..errors import raise_if
@@ -41,6 +42,17 @@ def reader_options(fmt: str, options: Mapping[str, str] | None) -> dict[str, str
     return ({"mode": "FAILFAST"} if fmt in TEXT_FORMATS else {}) | dict(options or {})
 
 
+def whole_records(names: Sequence[str]) -> Column:
+    """Always true, but it needs every column: a reader that skips one does not notice that it is broken."""
+    return reduce(lambda a, b: a + b, (F.col(n).isNull().cast("int") for n in names)) >= 0
+
+
+def checked_records(table: DataFrame, fmt: str, options: Mapping[str, str] | None) -> DataFrame:
+    """A table of a text format, batch or stream, read so that a record is parsed whole whatever columns are asked for."""
+    failfast = reader_options(fmt, options).get("mode", "").upper() == "FAILFAST"
+    return table.where(whole_records(table.columns)) if fmt in TEXT_FORMATS and failfast and table.columns else table
+
+
 def load(
     spark: SparkSession,
     contract: SourceContract,
@@ -57,7 +69,7 @@ def load(
         return spark.table(path)
     reader = spark.read.format(fmt).options(**reader_options(fmt, options))
     schema = raw_schema(contract) if fmt in TEXT_FORMATS else None
-    return (reader.schema(schema) if schema else reader).load(path)
+    return checked_records((reader.schema(schema) if schema else reader).load(path), fmt, options)
 
 
 def read_source(

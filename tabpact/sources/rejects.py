@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from ..contracts import SourceContract, data_type
 from ..operators.filters import apply_filters
-from .reader import TEXT_FORMATS, load, raw_schema, select_columns
+from .reader import TEXT_FORMATS, load, raw_schema, select_columns, whole_records
 
 CORRUPT = "_corrupt_record"
 R = TypeVar("R", DataFrameReader, DataStreamReader)
@@ -40,9 +40,7 @@ def split_records(table: DataFrame, contract: SourceContract, tolerant: bool) ->
     """
     if not tolerant:
         return split_rejects(table, {c.name: c.data_type for c in contract.columns if c.source is None})
-    # Always true, but it needs every column: a reader that skips one does not notice it is broken.
-    names = [c for c in table.columns if c != CORRUPT]
-    parsed = reduce(lambda a, b: a + b, (F.col(n).isNull().cast("int") for n in names)) >= 0
+    parsed = whole_records([c for c in table.columns if c != CORRUPT])
     return table.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT), table.where(F.col(CORRUPT).isNotNull() & parsed)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..contracts import SourceContract
 from ..operators.filters import apply_filters
-from ..sources.reader import load, reader_options, select_columns
+from ..sources.reader import checked_records, load, reader_options, select_columns
 from ..sources.rejects import split_records, tolerant_reader
 
 
@@ -48,7 +48,7 @@ def stream_with_rejects(
     reader = tolerant_reader(spark.readStream, contract, fmt, options) if split else None
     if reader is None:
         stored = schema or load(spark, contract, path, fmt, options).schema
-        table = spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path)
+        table = checked_records(spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path), fmt, options)
     else:
         table = reader.load(path)
     good, rejects = split_records(table, contract, reader is not None) if split else (table, None)

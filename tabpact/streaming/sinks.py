@@ -50,7 +50,7 @@ def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None =
     if name:
         writer = writer.queryName(name)
     if isinstance(sink, CustomSink):
-        sdf.sparkSession.dataSource.register(sink.data_source())
+        sdf.sparkSession.dataSource.register(sink.data_source(sdf.sparkSession))
         return writer.format(sink.name).outputMode("append").start()
     sequence = getattr(sink, "row_sequence", None)
     table = f"{checkpoint}/last_number"

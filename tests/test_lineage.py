@@ -92,6 +92,66 @@ def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
     assert len(rounds) <= {"two_rings": 120}.get(shape, 40), len(rounds)
 
 
+def ladder(spark, n, closed=True):
+    """Every node leads to the next two; node numbers tell nothing of the order."""
+    from pyspark.sql import functions as F
+
+    name = lambda x: x * 7919 % n
+    steps = spark.range(n).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    steps = steps if closed else steps.where(F.col("id") + F.col("k") < n)
+    return steps.select(name(F.col("id")).alias("src"), name((F.col("id") + F.col("k")) % n).alias("dst"))
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_a_long_ladder_takes_few_tables(spark, monkeypatch, closed):
+    from tabpact import staging
+    from tabpact.operators import components
+
+    monkeypatch.setattr(components, "BLOCK_EDGES", 1_000)
+    written = []
+    real = staging.stage_at
+    for module in ("tabpact.staging", "tabpact.operators.lineage", "tabpact.operators.components"):
+        monkeypatch.setattr(f"{module}.stage_at", lambda df, path, *a: written.append(path) or real(df, path, *a))
+    n = 10_000
+    assert cycles(ladder(spark, n, closed)).count() == (2 * n if closed else 0)
+    assert len(written) <= 60, len(written)
+
+
+@pytest.mark.parametrize(("seed", "kind"), [(1, "int"), (2, "string")])
+def test_blocks_against_search(spark, monkeypatch, seed, kind):
+    """Graphs of several blocks, with paths between them in both directions."""
+    from tabpact.operators import components, lineage
+
+    monkeypatch.setattr(components, "BLOCK_EDGES", 30)
+    monkeypatch.setattr(components, "BLOCK_NODES", 6)
+    rng = random.Random(seed)
+    n = 40
+    pairs = {(i, (i + 1) % n) for i in range(n) if i not in (9, 22)} | {(rng.randrange(n), rng.randrange(n)) for _ in range(14)}
+    pairs |= {(100 + i, 100 + (i + d) % 9) for i in range(9) for d in (1, 2, 3)}
+    name = (lambda x: f"n{x}") if kind == "string" else (lambda x: x)
+    edges = edges_of(spark, [(name(a), name(b)) for a, b in pairs], kind)
+    expected = {(name(a), name(b)) for a, b in cyclic(pairs)}
+    assert {tuple(r) for r in cycles(edges).collect()} == expected
+    # Without the contraction of paths, all falls to the blocks.
+    monkeypatch.setattr(lineage, "_contract", lambda links: None)
+    assert {tuple(r) for r in cycles(edges).collect()} == expected
+
+
+@pytest.mark.parametrize("nodes", [0, 1, 5, 9, 14])
+def test_labels_of_one_task(nodes):
+    import numpy as np
+
+    from tabpact.operators.components import strong_labels
+
+    rng = random.Random(nodes)
+    for _ in range(60):
+        pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(rng.randrange(25) if nodes else 0)]
+        label = strong_labels(np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64), nodes)
+        reach = {a: depths(pairs, a) for a in range(nodes)}
+        assert all((label[a] == label[b]) == (a == b or (b in reach[a] and a in reach[b])) for a in range(nodes) for b in range(nodes))
+        assert all(label[a] >= label[b] for a, b in pairs)
+
+
 def test_cycles_leave_one_table(spark):
     import glob
 

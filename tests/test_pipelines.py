@@ -200,3 +200,113 @@ def test_adapter_fields_are_the_sample_record():
     assert [f.name for f in FIELDS] == ["Employee ID", "Hire Date", "Termination Date", "Salary", "Department", "Job Title"]
     assert EMPLOYMENT.column_names == ["employee_id", "hire_date", "termination_date", "salary", "meta"]
     assert Field("x", "a + b").inputs() == () and Field("x", "a").inputs() == ("a",)
+
+
+@pytest.mark.parametrize("order", [("good", "bad"), ("bad", "good")])
+def test_all_sinks_or_none(spark, numbers, folder, order):
+    """One sink breaks in the middle of its rows: no output, no quarantined rows, nothing pending is left."""
+    import os
+
+    from tabpact import custom_sink
+
+    class Writer:
+        def put(self, row):
+            if row.n == 50:
+                raise RuntimeError("the sink broke")
+
+        def done(self):
+            return None
+
+    seen = []
+    sinks = {"good": DelimitedSink(f"{folder}/good"), "bad": custom_sink("tabpact_breaking", lambda part, attempt: Writer())}
+    plan = Pipeline("P").source("a", NUMBERS, numbers, policy="quarantine", bad_path=f"{folder}/quarantine")
+    for name in order:
+        plan.sink(name, sinks[name]).pipe(f"a -> {name}")
+    with pytest.raises(Exception, match="the sink broke"):
+        plan.run(spark)
+    assert os.listdir(folder) == []
+
+
+def test_a_custom_sink_commits_after_all_are_written(spark, numbers, folder):
+    class Writer:
+        def __init__(self):
+            self.n = 0
+
+        def put(self, row):
+            self.n += 1
+
+        def done(self):
+            return self.n
+
+    from tabpact import custom_sink
+
+    def plan(name, second):
+        sink = custom_sink(name, lambda part, attempt: Writer(), committed.append, aborted.append)
+        made = Pipeline("P").source("a", NUMBERS, numbers, policy="drop").sink("s", sink).sink("t", second)
+        return made.pipe("a -> s").pipe("a -> t")
+
+    committed, aborted = [], []
+    plan("tabpact_counting", DelimitedSink(f"{folder}/t")).run(spark)
+    assert [sum(results) for results in committed] == [90] and not aborted
+    with pytest.raises(Exception, match="exists"):
+        plan("tabpact_counting_again", DelimitedSink(f"{folder}/t")).run(spark)
+    assert len(committed) == 1 and [sum(results) for results in aborted] == [90]
+
+
+def test_lineage_needs_no_declaration(spark, sf, folder):
+    """Expressions, functions over rows, an adapter on an adapter and user functions, read off the plan."""
+    twice = F.udf(lambda x: 2 * x, "double").asNondeterministic()
+    orders = SourceContract(
+        "O",
+        [
+            ColumnSpec("price", "double", source="o_totalprice", checks=Check("price > 0")),
+            ColumnSpec("who", "bigint", source="o_custkey"),
+            ColumnSpec("day", "date", source="CAST(o_orderdate AS date)"),
+        ],
+        filters=[FilterParam("status", "string", default=None, optional=True, predicate=lambda v: F.col("o_orderstatus") == v)],
+    )
+    plan = (
+        Pipeline("P")
+        .source("a", orders, f"{sf}/orders.parquet", policy="drop", status="F")
+        .sink("o", DelimitedSink("p"))
+        .adapter("named", onto="o", mapping=[("amount", "price * 2"), ("key", "concat(who, '/', day)"), ("double", lambda: twice("price"))])
+        .adapter("free", onto="named", mapping=lambda df: df.where("who > 3").groupBy("who", "day").agg(F.sum("price").alias("price")))
+        .pipe("a -> named")
+        .pipe("a -> free")
+    )
+    edges = {tuple(r) for r in plan.edges(spark).collect()}
+    assert {
+        ("source:a.price", "sink:named.amount"),
+        ("source:a.who", "sink:named.key"),
+        ("source:a.day", "sink:named.key"),
+        ("source:a.price", "fn:<lambda>"),
+        ("fn:<lambda>", "sink:named.double"),
+        ("source:a.price", "sink:free.price"),
+        ("source:a.who", "sink:free.who"),
+        ("sink:free.price", "sink:named.amount"),
+        ("sink:named.amount", "sink:o.amount"),
+    } <= edges
+    assert not any(a.startswith(("table:", "rows:")) for a, _ in edges)
+    stored = {tuple(r) for r in plan.edges(spark, stored=True).collect()}
+    assert {b for a, b in stored if a == "table:a.o_orderstatus"} == {"rows:a"}
+    assert {("table:a.o_orderdate", "source:a.day"), ("source:a.price", "rows:a"), ("rows:a", "sink:named.key")} <= stored
+
+
+def test_lineage_of_a_frame(spark):
+    from tabpact import column_lineage
+
+    left = spark.createDataFrame([], "a int, b int, l array<int>").alias("x")
+    right = spark.createDataFrame([], "k int, v int").alias("y")
+    left.createOrReplaceTempView("lineage_x")
+    joined = left.where("a > 0").join(right, F.col("a") == F.col("k")).groupBy("b").agg(F.sum(F.col("v") * 2).alias("s"))
+    found = column_lineage(joined)
+    assert found.columns == {"b": {("x", "b")}, "s": {("y", "v")}}
+    assert found.rows == {("x", "a"), ("y", "k"), ("x", "b")}
+    exploded = column_lineage(left.select("b", F.explode("l").alias("e")))
+    assert exploded.columns == {"b": {("x", "b")}, "e": {("x", "l")}}
+    union = column_lineage(left.select("a").union(right.select("v")))
+    assert union.columns == {"a": {("x", "a"), ("y", "v")}}
+    opaque = column_lineage(left.drop("l").mapInArrow(lambda b: b, "p int, q int"))
+    assert opaque.columns["p"] == {("x", "a"), ("x", "b")}
+    text = column_lineage(spark.sql("WITH z AS (SELECT a, sum(b) AS c FROM lineage_x WHERE l IS NOT NULL GROUP BY a) SELECT c + 1 AS d FROM z WHERE a IN (SELECT b FROM lineage_x)"))
+    assert text.columns == {"d": {("lineage_x", "b")}} and text.rows == {("lineage_x", c) for c in "abl"}

@@ -148,3 +148,34 @@ def test_no_key_folder_is_left(spark):
     before = set(glob.glob(f"{folder}/*"))
     assert with_sequence(spark.range(500), "id", rows_per_range=50).count() == 500
     assert set(glob.glob(f"{folder}/*")) == before
+
+
+@pytest.mark.parametrize("rows_per_range", [30, 10_000])
+def test_fewer_rows_the_second_time_are_noticed(spark, tmp_path, rows_per_range):
+    """Half of the rows are gone at the second pass; with short ranges some have none left."""
+    flag = tmp_path / "second"
+
+    def rows(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield batch.filter(pa.array([i < 150 or not os.path.exists(str(flag)) for i in ids]))
+
+    numbered = with_sequence(spark.range(300).mapInArrow(rows, "id bigint"), "id", rows_per_range=rows_per_range)
+    flag.touch()
+    with pytest.raises(Exception, match="second time"):
+        numbered.collect()
+
+
+def test_columns_with_names_used_inside(spark):
+    names = ["_bounds", "_rank", "_row", "_file", "_range", "_end", "_RANK_"]
+    df = spark.range(3_000).select("id", *[F.lit(777 + i).alias(n) for i, n in enumerate(names)])
+    wrong = " OR ".join(f"{n} <> {777 + i}" for i, n in enumerate(names))
+    for key, source in (("id", df), ("same", df.withColumn("same", F.lit(0)))):  # the second one's keys crowd a range
+        got = with_sequence(source, key, rows_per_range=100)
+        assert got.columns == [*source.columns, "rec_num"]
+        assert got.where(wrong).count() == 0 and got.select("rec_num").distinct().count() == 3_000
+    assert with_sequence(df, "_rank", name="_end_", rows_per_range=100).agg(F.max("_end_")).first()[0] == 3_000

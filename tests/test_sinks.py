@@ -170,3 +170,60 @@ def test_a_written_custom_sink_is_sealed(spark, folder):
     sink.write(spark.range(3))
     with pytest.raises(SealedError):
         sink.write(spark.range(3))
+
+
+class _Refusing(FolderWriter):
+    def put(self, row):
+        if row.id % 3 == 0:
+            from tabpact import RefusedError
+
+            raise RefusedError(f"a multiple of {3}")
+        super().put(row)
+
+
+def test_refused_records(spark, folder):
+    """Only the refused records of committed writes count."""
+    import json
+    import os
+
+    out, rejects = f"{folder}/out", f"{folder}/refused"
+    os.mkdir(out)
+    done = []
+    sink = custom_sink("tabpact_refusing", lambda part, attempt: _Refusing(out, part, attempt), rejects_path=rejects)
+    assert sink.refused(spark).count() == 0
+    sink.write(spark.range(12).repartition(3))
+    got = sink.refused(spark).collect()
+    assert sorted(json.loads(r.record)["id"] for r in got) == list(range(0, 12, 3)) and {r.reason for r in got} == {"a multiple of 3"}
+    strict = custom_sink("tabpact_refusing_strictly", lambda part, attempt: _Refusing(out, part, attempt))
+    with pytest.raises(Exception, match="a multiple of 3"):
+        strict.write(spark.range(12))
+
+    def broken(results):
+        raise RuntimeError("no commit")
+
+    failing = custom_sink("tabpact_refusing_failing", lambda part, attempt: _Refusing(out, part, attempt), broken, rejects_path=rejects)
+    with pytest.raises(Exception, match="no commit|ommit"):
+        failing.write(spark.range(12))
+    assert sink.refused(spark).count() == len(got)
+
+
+def test_publish_modes(spark, folder):
+    """A prepared output is not there until it is published; the mode counts then."""
+    import os
+
+    rows = spark.range(3)
+    for mode, expected in (("overwrite", 3), ("append", 6)):
+        sink = DelimitedSink(f"{folder}/o", mode=mode)
+        pending = sink.prepare(rows)
+        before = spark.read.text(f"{folder}/o").count() if os.path.exists(f"{folder}/o") else 0
+        assert before == (0 if mode == "overwrite" else 3)
+        pending.publish()
+        assert spark.read.text(f"{folder}/o").count() == expected
+    with pytest.raises(SealedError, match="exists"):
+        DelimitedSink(f"{folder}/o").prepare(rows)
+    one, two = (DelimitedSink(f"{folder}/same").prepare(rows) for _ in range(2))
+    one.publish()
+    with pytest.raises(SealedError, match="exists"):
+        two.publish()
+    two.cancel()
+    assert sorted(os.listdir(folder)) == ["o", "same"]

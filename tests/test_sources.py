@@ -115,3 +115,105 @@ def test_record_source_failure_fails_the_job(spark):
 def test_custom_source_name():
     with pytest.raises(DefinitionError):
         custom_source("not a name", lambda spark: None)
+
+
+def _lines(part):
+    """Slices with a reject at the start, in the middle and at the end."""
+    from tabpact import Reject
+
+    for i in range(part, part + 6):
+        yield Reject(f"line {i}", "no number") if i % 5 in (0, 3) else (i, f"v{i}")
+
+
+def _batches(part):
+    import pyarrow as pa
+
+    from tabpact import Reject
+
+    yield Reject(f"head {part}", "early")
+    for i in range(part, part + 3):
+        yield pa.RecordBatch.from_pydict({"i": pa.array([i, i + 100], pa.int32()), "s": ["a", None]})
+        yield Reject(f"after {i}", "late")
+
+
+@pytest.mark.parametrize("read", [_lines, _batches])
+def test_rejects_of_a_record_source(spark, folder, read):
+    """Rows and rejects of one reading, whatever order they come in."""
+    from tabpact import DelimitedSink, Pipeline, Reject
+
+    opened = f"{folder}/opened"
+    import os
+
+    os.mkdir(opened)
+
+    def counting(part):
+        open(f"{opened}/{part}-{len(os.listdir(opened))}", "w").close()
+        yield from read(part)
+
+    contract = SourceContract("R", [ColumnSpec("i", "int"), ColumnSpec("s", "string", nullable=True)])
+    source = record_source(f"tabpact_rejects{read.__name__}", "i int NOT NULL, s string", [0, 10], counting)
+    plan = Pipeline("P").source("a", contract, custom=source, rejects_path=f"{folder}/rejects").sink("o", DelimitedSink(f"{folder}/out")).pipe("a -> o")
+    plan.run(spark)
+    items = [x for part in (0, 10) for x in read(part)]
+    expected = [(x.record, x.reason) for x in items if isinstance(x, Reject)]
+    rows = [r for x in items if not isinstance(x, Reject) for r in ([x[0]] if isinstance(x, tuple) else x.column(0).to_pylist())]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/rejects").collect()) == sorted(expected)
+    assert sorted(r.i for r in spark.read.schema("i int, s string").csv(f"{folder}/out").collect()) == sorted(rows)
+    assert len(os.listdir(opened)) == 2  # each slice was read once
+    bare = Pipeline("P").source("a", contract, custom=source).sink("o", DelimitedSink(f"{folder}/bare")).pipe("a -> o")
+    with pytest.raises(Exception, match=expected[0][1]):
+        bare.run(spark)
+    assert not os.path.exists(f"{folder}/bare")
+    with pytest.raises(Exception, match=expected[0][1]):
+        source.load(spark).select("s").count()
+
+
+def test_a_slice_of_rejects_only(spark):
+    from tabpact import Reject
+    from tabpact.sources.custom import split_tagged
+
+    source = record_source("tabpact_all_rejects", "i int", [0], lambda part: (Reject(str(i), "no") for i in range(2_500)))
+    rows, rejects = split_tagged(source.load_tagged(spark))
+    assert (rows.count(), rejects.count()) == (0, 2_500)
+
+
+def test_rejects_of_a_function_source(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tabpact import REJECT, DelimitedSink, Pipeline
+
+    def rows(spark):
+        broken = F.when(F.col("id") % 4 == 1, F.struct(F.col("id").cast("string").alias("record"), F.lit("one too many").alias("reason")))
+        return spark.range(10).select(F.col("id").cast("int").alias("id"), broken.alias(REJECT))
+
+    contract = SourceContract("R", [ColumnSpec("id", "int")])
+    plan = lambda source, **k: Pipeline("P").source("a", contract, custom=source, **k).sink("o", DelimitedSink(f"{folder}/out")).pipe("a -> o")
+    plan(custom_source("some", rows, rejects=True), rejects_path=f"{folder}/rejects").run(spark)
+    assert sorted(r.record for r in spark.read.parquet(f"{folder}/rejects").collect()) == ["1", "5", "9"]
+    with pytest.raises(DefinitionError, match="has no rejects"):
+        plan(custom_source("none", rows), rejects_path=f"{folder}/other").validate()
+    with pytest.raises(DefinitionError, match="is taken"):
+        record_source("clash", f"i int, {REJECT} string", [0], _lines)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+@pytest.mark.parametrize("stream", [False, True])
+def test_a_bad_value_in_a_column_that_nobody_asks_for(spark, folder, fmt, stream):
+    from tabpact import DelimitedSink, Pipeline
+    from tabpact.streaming import stream_source
+
+    lines = {"csv": ["1,2020-01-01,1.5", "2,2020-01-01,n/a", "3,2020-01-01,2"], "json": ['{"id":1,"v":1.5}', '{"id":2,"v":"n/a"}', '{"id":3}']}[fmt]
+    spark.createDataFrame([(x,) for x in lines], "l string").coalesce(1).write.text(f"{folder}/t")
+    plan = Pipeline("P").source("a", CONTRACT, f"{folder}/t", fmt, policy="fail").sink("o", DelimitedSink(f"{folder}/o"))
+    plan.adapter("f", onto="o", mapping=[("id", "id")]).pipe("a -> f")
+    if stream:
+        with pytest.raises(Exception, match="MALFORMED|malformed|STREAM_FAILED"):
+            stream_source(spark, CONTRACT, f"{folder}/t", fmt).select("id").writeStream.format("memory").queryName(f"bad_{fmt}").trigger(availableNow=True).start().awaitTermination()
+        with pytest.raises(Exception, match="MALFORMED|malformed|STREAM_FAILED"):
+            for q in plan.run_stream(spark, f"{folder}/checkpoint"):
+                q.awaitTermination()
+        return
+    source = read_source(spark, CONTRACT, f"{folder}/t", fmt)
+    for asked in (source.select("id").collect, source.count, lambda: plan.run(spark)):
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            asked()
