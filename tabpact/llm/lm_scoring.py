@@ -4,43 +4,50 @@ Two word-bigram models share one vocabulary, one order and one smoothing: the ta
 the background model over all documents. A document's score is the difference of its per-token losses under the two (target minus background, in nats):
 the lower, the more it reads like the good documents rather than like the corpus as a whole.
 
-The vocabulary is every word of the corpus, and every bigram that occurs is counted. Bigrams are counted exactly over every document, in parts of a task and then over
-all tasks, into a table of (word before, word); words are 64-bit hashes in it. The counts of words follow from that table and are joined to it, which gives a table
-with both losses of each bigram. A document's losses are read from that table: bigrams that make up a ``FREQUENT``-th of all tokens or more, ``FREQUENT`` at most by
-their definition, are sent to all tasks and summed in place. All others are counted per document and joined to the table, so no key of that join has more
-than a ``FREQUENT``-th of all tokens. What is held and shuffled grows with the input; nothing is collected but the frequent bigrams. The ids of the good documents are sent to all
-tasks if there are ``MAX_IDS`` at most, else joined. Only documents that were counted can be scored this way; another's unknown bigram fails the job.
+The vocabulary is every word of the corpus, and every bigram that occurs is counted, exactly. A bigram's probability is
+(c(v, w) + STRENGTH p(w)) / (c(v) + STRENGTH), with p(w) = (c(w) + 1) / (N + V) under the same model. So a document's loss is a sum over its bigrams, which needs
+c(v, w) and c(w), less a sum over its words, which needs c(v) alone.
+
+Words are counted first, into a table that grows with the vocabulary. Words that make up a ``FREQUENT``-th of all tokens, and bigrams of twice that, ``FREQUENT`` at
+most of each by their definition, are counted exactly and sent to all tasks, which sum what concerns them in place. Everything else travels once: a task cuts its documents into chunks of ``HELD_TOKENS`` tokens,
+sorts a chunk's bigrams and sends each shard the part that belongs to it, packed: hashes as differences of sorted neighbours, and for each occurrence the
+number of its document in the chunk. A shard owns words, with all bigrams that end in them, so it knows c(v, w), c(w) and c(v) of its words without any join;
+the bigrams of frequent words are dealt by the bigram. It answers each chunk with a sum per document, and the sums of a chunk meet its documents again. No key that travels makes up more
+than two ``FREQUENT``-ths of all tokens, shards have about ``SHARD_TOKENS`` tokens whatever the input, and nothing is collected but the frequent words and bigrams. The ids of the good documents are sent to all
+tasks if there are ``MAX_IDS`` at most, else joined. Documents other than the counted ones can be scored as well: they travel beside those. Words are told apart by 64-bit hashes, bigrams by both of theirs.
 
 With a ``vocabulary``, its most frequent words count instead, equal counts by the word, and all others are one unknown word. The models are then two tables of
 (``vocabulary`` + 2)^2 numbers that are sent to all tasks and score any document in one pass.
 
-A bigram's probability is (c(v, w) + STRENGTH p(w)) / (c(v) + STRENGTH), with p(w) = (c(w) + 1) / (N + V) under the same model.
-
 Defined cases: words are those between blanks, A-Z in lower case. A NULL or empty text has no tokens, NULL losses and is not selected. Without good documents the
 target model knows nothing and is even over the vocabulary. Several labels for one id: the highest counts; NULL labels and ids do not. Rows with one id are scored each from
-its own text, and each counts. Empty tables give no rows. Other columns are not read.
+its own text, and each counts. A bigram of a scored document that was not counted has a count of 0, a word as well. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..staging import stage
 from .common import slices, table
 
 STRENGTH = 10.0
 MAX_IDS = 1_000_000
-#: Bigrams that make up such a part of all tokens are sent to all tasks.
-FREQUENT = 1_000_000
-#: Tokens whose bigrams a task counts in one go.
-HELD_TOKENS = 2_000_000
+#: Words that make up such a part of all tokens, and bigrams of twice that, are sent to all tasks.
+FREQUENT = 100_000
+#: Tokens of a chunk.
+HELD_TOKENS = 4_000_000
+#: Tokens that a shard is meant to own.
+SHARD_TOKENS = 4_000_000
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 200_000
 UNKNOWN, START = 0, 1
@@ -60,13 +67,55 @@ class Models:
 
 
 @dataclass(frozen=True)
-class Tables:
-    """``losses``: per bigram its key ``pair`` and its loss under each model. Of the frequent ones the sorted keys and both losses."""
+class Counts:
+    """Of the counted documents: tokens, different words and, for the words and bigrams that are sent to all tasks, the counts; the last row of ``head`` is the start of a text.
 
-    losses: DataFrame
+    Every array of counts has a column for the target and one for the background.
+    """
+
+    tokens: np.ndarray
+    words: int
+    hashes: np.ndarray
+    head: np.ndarray
+    before: np.ndarray
     pairs: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+    pair_counts: np.ndarray
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word in the head, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def keys(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The key of a bigram of head words, -1 if one is none; the start of a text stands behind the head."""
+        return np.where((before >= 0) & (after >= 0), before * len(self.head) + after, -1)
+
+    def frequent(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the frequent bigrams, -1 for others."""
+        if not len(self.pairs):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, at, -1)
+
+    def above(self, bigrams: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """What the count of a bigram and that of its second word add to the loss."""
+        return -np.log(bigrams + STRENGTH * (words + 1) / (self.tokens + self.words + 1))  # one more for the unknown word
+
+    @staticmethod
+    def below(before: np.ndarray) -> np.ndarray:
+        """What the count of a word as the first of a bigram adds to the loss."""
+        return np.log(before + STRENGTH)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The counts, and the counted documents themselves, from whose rows everything else is counted while scoring."""
+
+    counts: Counts
+    docs: DataFrame
+    counted: DataFrame
 
 
 class _Hashes(dict):
@@ -157,73 +206,321 @@ def bigrams(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, np.
     return sizes, before, after
 
 
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return ((before << np.uint64(17)) | (before >> np.uint64(47))) ^ after
+def _mixed(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """One number of two hashes, to deal bigrams by."""
+    x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ after
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class _Chunk:
+    """Some documents in a row: their rows without the text, the tokens of each, and of each token both hashes and its document."""
+
+    rows: pa.Table
+    sizes: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    doc: np.ndarray
+
+    @property
+    def last(self) -> np.ndarray:
+        """Whether a token is its document's last."""
+        return np.diff(self.doc, append=-1) != 0
+
+    def of(self, column: str) -> np.ndarray:
+        """A flag of each document."""
+        return self.rows[column].to_numpy().astype(bool)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    hashes, held, tokens = _Hashes(), [], 0
+
+    def chunk() -> _Chunk:
+        rows, sizes, before, after = zip(*held)
+        sizes = np.concatenate(sizes)
+        return _Chunk(pa.Table.from_batches(rows), sizes, np.concatenate(before), np.concatenate(after), np.repeat(np.arange(len(sizes)), sizes))
 
+    for rows in _texts(batches):
+        held.append((rows.drop_columns(["text"]), *bigrams(rows["text"].to_pylist(), hashes)))
+        tokens += len(held[-1][3])
+        if tokens >= HELD_TOKENS:
+            yield chunk()
+            held, tokens = [], 0
+    if held:
+        yield chunk()
 
-def _pair_key(before: str, after: str) -> Column:
-    return F.shiftleft(before, 17).bitwiseOR(F.shiftrightunsigned(before, 47)).bitwiseXOR(F.col(after))
 
+def _starts(*ordered: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins, in sorted columns."""
+    if not len(ordered[0]):
+        return np.empty(0, np.int64)
+    changes = np.zeros(len(ordered[0]), bool)
+    changes[0] = True
+    for column in ordered:
+        changes[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(changes)
 
-def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    before, after, good = (np.concatenate(x) for x in zip(*held, strict=True))
-    keys = pair_keys(before, after)
-    order = np.argsort(keys)
-    starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-    n, n_good = np.diff(starts, append=len(order)), np.add.reduceat(good[order], starts, dtype=np.int64)
-    first = order[starts]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first].view(np.int64), after[first].view(np.int64), n, n_good)], names=["v", "w", "n", "n_good"])
 
+COUNTED = "pair boolean, v long, w long, n long, good long, ends long, good_ends long"
 
-def bigram_counts(docs: DataFrame) -> DataFrame:
-    """Hashes ``v`` of the word before and ``w`` of the word, ``n`` over all documents and ``n_good`` over those with ``good``."""
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """Of every word ``w`` how often it occurs, in good documents, and as the last of a text; with ``pair`` set, of bigrams that are frequent in some chunk a lower bound.
+
+    What makes up some part of all tokens does so in some chunk.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, tokens = _Hashes(), [], 0
-        for rows in _texts(batches):
-            sizes, before, after = bigrams(rows["text"].to_pylist(), hashes)
-            if len(after):
-                held.append((before, after, np.repeat([bool(g) for g in rows["good"].to_pylist()], sizes)))
-                tokens += len(after)
-            if tokens >= HELD_TOKENS:
-                yield _summed(held)
-                held, tokens = [], 0
-        if held:
-            yield _summed(held)
-
-    counts = docs.select("text", "good").mapInArrow(count, "v long, w long, n long, n_good long")
-    return counts.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
-
-
-def fit_tables(docs: DataFrame) -> Tables:
-    """Both models over every word and bigram of ``text``, from rows with ``text`` and ``good``."""
-    counts = stage(bigram_counts(docs), "bigrams")
-    after = stage(counts.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("n_good").alias("w_good")), "words")
-    before = counts.groupBy("v").agg(F.sum("n").alias("v_n"), F.sum("n_good").alias("v_good"))
-    words, tokens, good = after.agg(F.count(F.lit(1)), F.coalesce(F.sum("w_n"), F.lit(0)), F.coalesce(F.sum("w_good"), F.lit(0))).first()
-
-    def loss(n: str, of_before: str, of_after: str, total: int) -> Column:
-        chance = (F.col(of_after) + 1) / F.lit(float(total + words + 1))  # one more for the unknown word
-        return (-F.log((F.col(n) + STRENGTH * chance) / (F.col(of_before) + STRENGTH))).cast("float")
-
-    joined = counts.join(after, "w").join(before, "v")
-    losses = joined.select(_pair_key("v", "w").alias("pair"), "n", loss("n_good", "v_good", "w_good", good).alias("target"), loss("n", "v_n", "w_n", tokens).alias("background"))
-    losses = stage(losses, "losses")
-    frequent = losses.where(F.col("n") >= -(-tokens // FREQUENT)).select("pair", "target", "background").toPandas()
-    pairs = frequent["pair"].to_numpy(np.int64)
-    order = np.argsort(pairs)
-    return Tables(losses.select("pair", "target", "background"), pairs[order], *[frequent[x].to_numpy(np.float32)[order] for x in ("target", "background")])
+        for chunk in _chunks(batches):
+            good, last = chunk.of("good")[chunk.doc], chunk.last
+            for pair in (False, True):
+                order = np.lexsort((chunk.before, chunk.after)) if pair else np.argsort(chunk.after)
+                v, w = (chunk.before if pair else np.zeros_like(chunk.before))[order], chunk.after[order]
+                starts = _starts(v, w)
+                if not len(starts):
+                    continue
+                n = np.diff(starts, append=len(w))
+                flags = [np.add.reduceat(x[order], starts, dtype=np.int64) for x in (good, last, good & last)]
+                kept = n * FREQUENT >= len(w) if pair else slice(None)
+                columns = [x[kept] for x in (v[starts].view(np.int64), w[starts].view(np.int64), n, *flags)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), pair)), *map(pa.array, columns)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "ends", "good_ends")]
+    return docs.select("text", "good").mapInArrow(count, COUNTED).groupBy("pair", "v", "w").agg(*sums)
+
+
+def count_head(docs: DataFrame) -> Counts:
+    """The counts that are sent to all tasks, from rows with ``text`` and ``good``."""
+    spark = docs.sparkSession
+    words = stage(word_table(docs), "words")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "good", "ends", "good_ends")]
+    different, tokens, good, ends, good_ends = words.where("NOT pair").agg(F.count(F.lit(1)), *sums).first()
+    often = words.where(F.col("n") * FREQUENT >= tokens).toPandas()
+    single, double = often[~often["pair"]], often[often["pair"]]
+    hashes = single["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    of = lambda *names: np.stack([single[c].to_numpy(np.float64)[order] for c in names], axis=1)
+    every, last = of("good", "n"), of("good_ends", "ends")
+    start = np.array([[good_ends, ends]], np.float64)
+    head, before = np.concatenate([every, start]), np.concatenate([every - last, start])
+    bare = Counts(np.array([good, tokens], np.float64), different, hashes[order], head, before, np.empty(0, np.int64), np.empty((0, 2)))
+    v, w = (double[c].to_numpy(np.int64).view(np.uint64) for c in ("v", "w"))
+    keys = np.sort(bare.keys(np.where(v == START, len(hashes), bare.places(v)), bare.places(w)))
+    keys = keys[keys >= 0]
+    sent = spark.sparkContext.broadcast(Counts(bare.tokens, different, bare.hashes, head, before, keys, np.empty((0, 2))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        n = np.zeros((len(known.pairs), 2), np.int64)
+        for chunk in _chunks(batches) if len(known.pairs) else ():
+            at = known.frequent(known.keys(_places_before(known, chunk), known.places(chunk.after)))
+            hit = at >= 0
+            n[:, 1] += np.bincount(at[hit], minlength=len(n))
+            n[:, 0] += np.bincount(at[hit & chunk.of("good")[chunk.doc]], minlength=len(n))
+        found = np.flatnonzero(n[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found, 0]), pa.array(n[found, 1])], names=["place", "good", "n"])
+
+    counted = docs.select("text", "good").mapInArrow(count, "place long, good long, n long").groupBy("place").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toPandas()
+    pair_counts = np.zeros((len(keys), 2))
+    pair_counts[counted["place"].to_numpy(np.int64)] = counted[["good", "n"]].to_numpy(np.float64)
+    return Counts(bare.tokens, different, bare.hashes, head, before, keys, pair_counts)
+
+
+def _places_before(known: Counts, chunk: _Chunk) -> np.ndarray:
+    return np.where(chunk.before == START, len(known.hashes), known.places(chunk.before))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, so that those which hold little shrink."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(blob: bytes, kind: type, size: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind) if size else np.empty(0, kind)
+
+
+#: The bits of an occurrence below its document's number in the chunk.
+GOOD, IS_COUNTED, IS_SCORED, LAST, BITS = 1, 2, 4, 8, 4
+PACKED = "parts array<binary>, sizes array<long>"
+ANSWER = "at array<long>, target array<double>, background array<double>"
+
+
+def _parcels(x: np.ndarray, v: np.ndarray, places: np.ndarray, heads: np.ndarray, codes: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """What each shard gets of a chunk. ``x`` is what a bigram is dealt by: the hash of its second word, or of the bigram if that is in the head, at ``heads``;
+    its first word is the hash ``v``, or a place in the head."""
+    shard = ((x >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    rest = np.where(places >= 0, np.uint64(0), v)
+    order = np.lexsort((rest, places, heads, x))
+    x, rest, places, heads, codes, shard = (c[order] for c in (x, rest, places, heads, codes, shard))
+    cuts = _starts(shard)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)]):
+        own = slice(a, b)
+        pairs = _starts(x[own], heads[own], places[own], rest[own]) + a
+        groups = _starts(x[pairs])
+        tail = places[pairs] < 0
+        arrays = [
+            np.diff(x[pairs][groups], prepend=np.uint64(0)),
+            np.diff(groups, append=len(pairs)).astype(np.uint32),
+            (places[pairs] + 1).astype(np.uint32),
+            rest[pairs][tail],
+            (heads[pairs] + 1).astype(np.uint32),
+            np.diff(pairs, append=b).astype(np.uint32),
+            codes[own],
+        ]
+        yield int(shard[a]), [_pack(c) for c in arrays], [len(c) for c in arrays]
+
+
+@dataclass(frozen=True)
+class _Parcel:
+    x: np.ndarray
+    places: np.ndarray
+    rest: np.ndarray
+    heads: np.ndarray
+    pair: np.ndarray
+    codes: np.ndarray
+
+
+def _opened(parts: list[bytes], sizes: list[int]) -> _Parcel:
+    kinds = (np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32)
+    steps, grouped, places, tails, heads, times, codes = (_unpack(p, k, n) for p, k, n in zip(parts, kinds, sizes, strict=True))
+    places = places.astype(np.int64) - 1
+    rest = np.zeros(len(places), np.uint64)
+    rest[places < 0] = tails
+    return _Parcel(np.repeat(np.cumsum(steps, dtype=np.uint64), grouped), places, rest, heads.astype(np.int64) - 1, np.repeat(np.arange(len(places)), times), codes)
+
+
+def _send(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
+    """Per chunk and shard a parcel, and per chunk a row with its documents and what was summed in place, which goes to some shard as well."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, task = sent.value, TaskContext.get().partitionId()
+        for number, chunk in enumerate(_chunks(batches)):
+            name = (task << 32) + number
+            scored, counted, good = (chunk.of(c) for c in ("scored", "counted", "good"))
+            before, after = _places_before(known, chunk), known.places(chunk.after)
+            at = known.frequent(known.keys(before, after))
+            sums = np.zeros((len(chunk.sizes), 2))
+            here, hit = before >= 0, at >= 0
+            below, above = known.below(known.before), known.above(known.pair_counts[at[hit]], known.head[after[hit]])
+            for model in (0, 1):
+                sums[:, model] += np.bincount(chunk.doc[here], below[before[here], model], len(sums))
+                sums[:, model] += np.bincount(chunk.doc[hit], above[:, model], len(sums))
+            left = ~hit & (scored | counted)[chunk.doc]
+            flags = (good & counted) * GOOD + counted * IS_COUNTED + scored * IS_SCORED
+            codes = ((chunk.doc << BITS) + flags[chunk.doc] + chunk.last * LAST).astype(np.uint32)
+            x = np.where(after >= 0, _mixed(chunk.before, chunk.after), chunk.after)
+            for shard, parts, sizes in _parcels(x[left], chunk.before[left], before[left], after[left], codes[left], shards):
+                yield _row(shard, name, None, None, parts, sizes, None, None, None)
+            yield _row(name % shards, name, chunk.rows["id"].combine_chunks().filter(pa.array(scored)), chunk.sizes[scored], None, None, np.flatnonzero(scored), *sums[scored].T)
+
+    def _row(shard, name, ids, tokens, parts, sizes, at, target, background) -> pa.RecordBatch:
+        list_of = lambda values, kind: pa.array([None if values is None else values], pa.list_(kind))
+        ids = pa.nulls(1, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        arrays = [
+            pa.array([shard], pa.int64()),
+            pa.array([name], pa.int64()),
+            ids,
+            list_of(tokens, pa.int64()),
+            list_of(parts, pa.binary()),
+            list_of(sizes, pa.int64()),
+            list_of(at, pa.int64()),
+            list_of(target, pa.float64()),
+            list_of(background, pa.float64()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "ids", "tokens", "parts", "sizes", "at", "target", "background"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(docs.schema["id"].dataType)
+    return docs.mapInArrow(run, f"shard long, chunk long, ids array<{kind}>, tokens array<long>, {PACKED}, {ANSWER}")
+
+
+def _answers(counts: Counts, parcels: list[_Parcel]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per parcel the documents that occur in it and are scored, and what they get of it under each model."""
+    x, places, rest, heads = (np.concatenate([getattr(p, c) for p in parcels]) for c in ("x", "places", "rest", "heads"))
+    ends = np.cumsum([len(p.x) for p in parcels])
+    n = np.empty((len(x), 4))
+    for p, end in zip(parcels, ends.tolist()):
+        own = slice(end - len(p.x), end)
+        counted, good, going_on = p.codes & IS_COUNTED > 0, p.codes & GOOD > 0, p.codes & LAST == 0
+        for column, flag in enumerate((good, counted, good & going_on, counted & going_on)):
+            n[own, column] = np.bincount(p.pair[flag], minlength=len(p.x))
+    order = np.lexsort((rest, places, heads, x))
+    ordered = tuple(c[order] for c in (x, heads, places, rest))
+    starts, groups = _starts(*ordered), _starts(*ordered[:2])
+    pair_of, group_of = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    pair_of[order] = np.cumsum(np.bincount(starts, minlength=len(x))) - 1
+    group_of[order] = np.cumsum(np.bincount(groups, minlength=len(x))) - 1
+    bigrams, words = np.add.reduceat(n[order], starts), np.add.reduceat(n[order], groups)
+    in_head = heads >= 0
+    word_counts = np.where(in_head[:, None], counts.head[heads], words[group_of][:, :2])
+    above = counts.above(bigrams[pair_of][:, :2], word_counts)
+    # What a word adds as the first of a bigram is known here as well, unless it is in the head: then the sender knew it.
+    below = np.where(in_head[:, None], 0.0, counts.below(words[group_of][:, 2:]))
+    out = []
+    for p, end in zip(parcels, ends.tolist()):
+        own = slice(end - len(p.x), end)
+        scored = p.codes & IS_SCORED > 0
+        pair, going_on = p.pair[scored], (p.codes[scored] & LAST == 0)[:, None]
+        docs, place = np.unique(p.codes[scored] >> BITS, return_inverse=True)
+        given = above[own][pair] + below[own][pair] * going_on
+        out.append((docs, np.stack([np.bincount(place, given[:, k], len(docs)) for k in (0, 1)])))
+    return out
+
+
+def _at_shard(sent: Broadcast[Counts]) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        is_parcel = rows["parts"].is_valid()
+        parcels = rows.filter(is_parcel).select(["chunk", "parts", "sizes"])
+        passed = rows.filter(rows["parts"].is_null()).select(["chunk", "ids", "tokens", "at", "target", "background"])
+        if not parcels.num_rows:
+            return passed
+        found = _answers(sent.value, [_opened(p, s) for p, s in zip(parcels["parts"].to_pylist(), parcels["sizes"].to_pylist(), strict=True)])
+        column = lambda values, kind: pa.array(values, pa.list_(kind))
+        answers = pa.table(
+            {
+                "chunk": parcels["chunk"],
+                "ids": pa.nulls(len(found), passed.schema.field("ids").type),
+                "tokens": pa.nulls(len(found), passed.schema.field("tokens").type),
+                "at": column([docs for docs, _ in found], pa.int64()),
+                "target": column([sums[0] for _, sums in found], pa.float64()),
+                "background": column([sums[1] for _, sums in found], pa.float64()),
+            }
+        )
+        return pa.concat_tables([passed, answers.cast(passed.schema)])
+
+    return run
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """The documents of a chunk with their losses per token."""
+    own = rows.filter(rows["ids"].is_valid())
+    places, tokens = (own[c].combine_chunks().flatten().to_numpy() for c in ("at", "tokens"))
+    size = int(places.max(initial=-1)) + 1
+    out = {}
+    at = rows["at"].combine_chunks().flatten().to_numpy()
+    for name in ("target", "background"):
+        sums = np.bincount(at, rows[name].combine_chunks().flatten().to_numpy(), size)[places]
+        out[f"loss_{name}"] = pa.array(np.where(tokens > 0, sums / np.maximum(tokens, 1), 0.0), mask=tokens == 0)
+    return pa.table({"id": own["ids"].combine_chunks().flatten(), "n_tokens": pa.array(tokens), **out})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = None) -> Models | Tables:
     """Both models, counted over all documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    if good.limit(MAX_IDS + 1).count() <= MAX_IDS:
-        good = F.broadcast(good)
-    labelled = rows.join(good, "id", "left")
+    few = good.limit(MAX_IDS + 1).count() <= MAX_IDS
+    labelled = rows.join(F.broadcast(good) if few else good, "id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     if vocabulary is None:
-        return fit_tables(labelled)
+        if not few:
+            # A task that runs again must see its rows in the same order.
+            labelled = labelled.sortWithinPartitions("id", F.xxhash64("text"))
+        return Tables(count_head(labelled), docs, labelled)
     words = word_counts(rows).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     ids = {bytes(r["word"]): i + 2 for i, r in enumerate(words)}
     counted = pair_counts(labelled, ids).toPandas()
@@ -236,44 +533,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_tables(docs: DataFrame, models: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``score``, for the documents that the tables were counted over."""
-    sent = docs.sparkSession.sparkContext.broadcast((models.pairs, models.target, models.background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (known, *by_model) = _Hashes(), sent.value
-        for rows in _texts(batches):
-            sizes, before, after = bigrams(rows["text"].to_pylist(), hashes)
-            keys, doc = pair_keys(before, after).view(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-            sums = [np.bincount(doc[hit], m[at[hit]], len(sizes)).astype(np.float64) for m in by_model]  # of nothing it counts integers
-            left = np.split(keys[~hit], np.cumsum(np.bincount(doc[~hit], minlength=len(sizes)))[:-1])
-            own = [np.unique(x, return_counts=True) for x in left]
-            offsets = pa.array(np.cumsum([0, *(len(x) for x, _ in own)]), pa.int32())
-            pairs, times = (np.concatenate(x).astype(np.int64) for x in zip(*own, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows["row"],
-                    rows["id"],
-                    *map(pa.array, (sizes, *sums)),
-                    pa.ListArray.from_arrays(offsets, pa.array(pairs)),
-                    pa.ListArray.from_arrays(offsets, pa.array(times)),
-                ],
-                names=["row", "id", "n_tokens", "target", "background", "pairs", "times"],
-            )
-
-    frame = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    kind = frame.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, n_tokens long, target double, background double, pairs array<long>, times array<long>"
-    read = stage(frame.mapInArrow(run, schema), "documents-bigrams")
-    rest = read.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
-    met = rest.join(models.losses.withColumnsRenamed({"target": "t", "background": "b"}), "pair", "left")
-    known = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a bigram of a document was not counted")).cast("float"))
-    sums = met.groupBy("row").agg(F.sum(F.col("n") * known("t").cast("double")).alias("t"), F.sum(F.col("n") * known("b").cast("double")).alias("b"))
-    mean = lambda c, more: F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(F.col(more), F.lit(0.0))) / F.col("n_tokens"))
-    both = read.drop("pairs", "times").join(sums, "row", "left").select("id", "n_tokens", mean("target", "t").alias("loss_target"), mean("background", "b").alias("loss_background"))
+    """As ``score``, with every word and bigram of the counted documents."""
+    flag = lambda **flags: [F.lit(value).alias(name) for name, value in flags.items()]
+    if docs is models.docs:
+        rows = models.counted.select("id", "text", "good", *flag(counted=True, scored=True))
+    else:
+        others = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+        rows = models.counted.select("id", "text", "good", *flag(counted=True, scored=False)).unionByName(others.select("id", "text", *flag(good=False, counted=False, scored=True)))
+    counts = models.counts
+    shards = int(counts.tokens[1]) // SHARD_TOKENS + 1
+    kind = rows.schema["id"].dataType.simpleString()
+    at_shard = _send(rows, counts, shards).groupBy("shard").applyInArrow(_at_shard(docs.sparkSession.sparkContext.broadcast(counts)), f"chunk long, ids array<{kind}>, tokens array<long>, {ANSWER}")
+    losses = at_shard.groupBy("chunk").applyInArrow(lambda rows: _met(rows), f"id {kind}, n_tokens long, loss_target double, loss_background double")
     gap = F.col("loss_target") - F.col("loss_background")
-    return both.select(F.col("id").alias(id_col), "n_tokens", "loss_target", "loss_background", gap.alias("loss_difference"), F.coalesce(gap < 0, F.lit(False)).alias("selected"))
+    return losses.select(F.col("id").alias(id_col), "n_tokens", "loss_target", "loss_background", gap.alias("loss_difference"), F.coalesce(gap < 0, F.lit(False)).alias("selected"))
 
 
 def score(docs: DataFrame, models: Models | Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

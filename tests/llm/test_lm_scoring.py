@@ -91,3 +91,49 @@ def test_every_word_and_bigram_counts(spark, monkeypatch, frequent):
         assert mine[2:4] == (None, None) if other[2] is None else mine[2:4] == pytest.approx(other[2:], abs=1e-4)
     scores = {r.doc_id: r.loss_difference for r in got}
     assert scores[1000] < scores[1001] - 0.01
+
+
+def _rows():
+    rows = [(d, t) for d, t, *_ in ODD]
+    return rows + [(100 + i, " ".join(f"w{(7 * i + j * j) % 90}" for j in range(i % 50))) for i in range(200)]
+
+
+def _same(got, expected):
+    key = lambda r: (repr(r[0]), r[1], r[3] or 0)
+    assert len(got) == len(expected)
+    for mine, other in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key)):
+        assert mine[:2] == other[:2]
+        assert mine[2:4] == (None, None) if other[2] is None else mine[2:4] == pytest.approx(other[2:], abs=1e-6)
+
+
+@pytest.mark.parametrize("frequent", [6, 60, 3_000])
+def test_many_chunks_and_shards(spark, monkeypatch, frequent):
+    """Words that are tail, head, or head in frequent bigrams only, met over several chunks and shards."""
+    for name, value in (("FREQUENT", frequent), ("HELD_TOKENS", 300), ("SHARD_TOKENS", 2_000)):
+        monkeypatch.setattr(M, name, value)
+    docs = spark.createDataFrame(_rows(), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(d, 1) for d in range(100, 300, 7)], "doc_id bigint, quality int")
+    models = M.fit(docs, labels)
+    assert 0 < len(models.counts.hashes) <= frequent
+    _same(M.score(docs, models).collect(), brute(_rows(), set(range(100, 300, 7)), 10**9))
+
+
+def test_other_documents_than_those_counted(spark):
+    """They do not change the counts; what was never seen counts as 0."""
+    docs = spark.createDataFrame(_rows(), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, 1) for d in range(100, 300, 7)], "doc_id bigint, quality int")
+    models = M.fit(docs, labels)
+    own = {r.doc_id: r for r in M.score(docs, models).collect() if r.doc_id in (130, 140)}
+    texts = dict(_rows())
+    others = spark.createDataFrame([(1, texts[130]), (2, texts[140]), (3, "neverx seenx wordsx"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in M.score(others, models).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[4].loss_target is None and got[3].n_tokens == 3
+    for a, b in ((130, 1), (140, 2)):
+        assert (own[a].loss_target, own[a].loss_background) == pytest.approx((got[b].loss_target, got[b].loss_background))
+    # Three words of which none was ever seen: only the shares of the unknown word are left.
+    tokens, words = models.counts.tokens, models.counts.words
+    starts, s = models.counts.before[-1], M.STRENGTH
+    for model, loss in enumerate((got[3].loss_target, got[3].loss_background)):
+        chance = 1 / (tokens[model] + words + 1)
+        expected = (-math.log(s * chance / (starts[model] + s)) - 2 * math.log(chance)) / 3
+        assert loss == pytest.approx(expected)
