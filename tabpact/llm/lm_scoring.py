@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,11 @@ MAX_IDS = 1_000_000
 #: Words that make up such a part of all tokens, and bigrams of twice that, are sent to all tasks.
 FREQUENT = 100_000
 #: Tokens of a chunk.
-HELD_TOKENS = 4_000_000
+HELD_TOKENS = 1_500_000
 #: Tokens that a shard is meant to own.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
+#: Bigrams are first counted in so many places, to see which may be frequent.
+PLACES = 1 << 20
 #: Different words that a task holds before it hands on their counts.
 HELD_WORDS = 200_000
 UNKNOWN, START = 0, 1
@@ -118,14 +121,16 @@ class Tables:
     counted: DataFrame
 
 
-class _Hashes(dict):
-    """The hash of each word, remembered."""
+class _Words(dict):
+    """The number of each word of a chunk, in order of appearance; 1 is the start of a text."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+        self[word] = number = len(self) + START + 1
+        return number
+
+    def hashes(self) -> np.ndarray:
+        digest = xxhash.xxh3_64_intdigest
+        return np.fromiter((UNKNOWN, START, *map(digest, self)), np.uint64, len(self) + START + 1)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,17 +200,6 @@ def losses(counts: np.ndarray, size: int) -> np.ndarray:
         return -np.log(chances).astype(np.float32).ravel()
 
 
-def bigrams(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of tokens of each text, and of each token the hashes of the word before and of its word."""
-    words = [(t or b"").lower().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    after = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
-    before = np.empty_like(after)
-    before[1:] = after[:-1]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-    return sizes, before, after
-
-
 def _mixed(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """One number of two hashes, to deal bigrams by."""
     x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ after
@@ -215,10 +209,12 @@ def _mixed(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Chunk:
-    """Some documents in a row: their rows without the text, the tokens of each, and of each token both hashes and its document."""
+    """Some documents in a row: their rows without the text, the tokens of each, the hashes of the different words, and of each token the number of its word, of
+    the word before and of its document."""
 
     rows: pa.Table
     sizes: np.ndarray
+    hashes: np.ndarray
     before: np.ndarray
     after: np.ndarray
     doc: np.ndarray
@@ -234,19 +230,25 @@ class _Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    hashes, held, tokens = _Hashes(), [], 0
+    words, held, tokens = _Words(), [], 0
 
     def chunk() -> _Chunk:
-        rows, sizes, before, after = zip(*held)
-        sizes = np.concatenate(sizes)
-        return _Chunk(pa.Table.from_batches(rows), sizes, np.concatenate(before), np.concatenate(after), np.repeat(np.arange(len(sizes)), sizes))
+        rows, sizes, after = zip(*held)
+        sizes, after = np.concatenate(sizes), np.concatenate(after)
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+        return _Chunk(pa.Table.from_batches(rows), sizes, words.hashes(), before, after, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
 
     for rows in _texts(batches):
-        held.append((rows.drop_columns(["text"]), *bigrams(rows["text"].to_pylist(), hashes)))
-        tokens += len(held[-1][3])
+        split = [(t or b"").lower().split() for t in rows["text"].to_pylist()]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        after = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        held.append((rows.drop_columns(["text"]), sizes, after))
+        tokens += len(after)
         if tokens >= HELD_TOKENS:
             yield chunk()
-            held, tokens = [], 0
+            words, held, tokens = _Words(), [], 0
     if held:
         yield chunk()
 
@@ -271,20 +273,29 @@ def word_table(docs: DataFrame) -> DataFrame:
     What makes up some part of all tokens does so in some chunk.
     """
 
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+
+    def rows(pair: bool, v: np.ndarray, w: np.ndarray, n: np.ndarray, *flags: np.ndarray) -> pa.RecordBatch:
+        counts = [x.astype(np.int64) for x in (n, *flags)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), pair)), *map(pa.array, (v.view(np.int64), w.view(np.int64), *counts))], names=names)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
+            if not len(chunk.after):
+                continue
             good, last = chunk.of("good")[chunk.doc], chunk.last
-            for pair in (False, True):
-                order = np.lexsort((chunk.before, chunk.after)) if pair else np.argsort(chunk.after)
-                v, w = (chunk.before if pair else np.zeros_like(chunk.before))[order], chunk.after[order]
-                starts = _starts(v, w)
-                if not len(starts):
-                    continue
-                n = np.diff(starts, append=len(w))
-                flags = [np.add.reduceat(x[order], starts, dtype=np.int64) for x in (good, last, good & last)]
-                kept = n * FREQUENT >= len(w) if pair else slice(None)
-                columns = [x[kept] for x in (v[starts].view(np.int64), w[starts].view(np.int64), n, *flags)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), pair)), *map(pa.array, columns)], names=[c.split()[0] for c in COUNTED.split(", ")])
+            size = len(chunk.hashes)
+            n, *flags = (np.bincount(chunk.after[x], minlength=size)[START + 1 :] for x in (slice(None), good, last, good & last))
+            yield rows(False, np.zeros(len(n), np.uint64), chunk.hashes[START + 1 :], n, *flags)
+            # A bigram is no more frequent than its place among few, so only those in frequent places are sorted.
+            place = (_mixed(chunk.before.astype(np.uint64), chunk.after.astype(np.uint64)) % np.uint64(PLACES)).astype(np.int32)
+            left = np.flatnonzero((np.bincount(place, minlength=PLACES) * FREQUENT >= len(place))[place])
+            key = np.sort(chunk.before[left].astype(np.int64) * size + chunk.after[left])
+            starts = _starts(key)
+            n = np.diff(starts, append=len(key))
+            often = n * FREQUENT >= len(place)
+            key, n = key[starts][often], n[often]
+            yield rows(True, chunk.hashes[key // size], chunk.hashes[key % size], n, *[np.zeros(len(n))] * 3)
 
     sums = [F.sum(c).alias(c) for c in ("n", "good", "ends", "good_ends")]
     return docs.select("text", "good").mapInArrow(count, COUNTED).groupBy("pair", "v", "w").agg(*sums)
@@ -314,10 +325,13 @@ def count_head(docs: DataFrame) -> Counts:
         known = sent.value
         n = np.zeros((len(known.pairs), 2), np.int64)
         for chunk in _chunks(batches) if len(known.pairs) else ():
-            at = known.frequent(known.keys(_places_before(known, chunk), known.places(chunk.after)))
-            hit = at >= 0
-            n[:, 1] += np.bincount(at[hit], minlength=len(n))
-            n[:, 0] += np.bincount(at[hit & chunk.of("good")[chunk.doc]], minlength=len(n))
+            places = _word_places(known, chunk)
+            keys = known.keys(places[chunk.before], places[chunk.after])
+            both = np.flatnonzero(keys >= 0)
+            at = known.frequent(keys[both])
+            both, at = both[at >= 0], at[at >= 0]
+            n[:, 1] += np.bincount(at, minlength=len(n))
+            n[:, 0] += np.bincount(at[chunk.of("good")[chunk.doc[both]]], minlength=len(n))
         found = np.flatnonzero(n[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found, 0]), pa.array(n[found, 1])], names=["place", "good", "n"])
 
@@ -327,8 +341,11 @@ def count_head(docs: DataFrame) -> Counts:
     return Counts(bare.tokens, different, bare.hashes, head, before, keys, pair_counts)
 
 
-def _places_before(known: Counts, chunk: _Chunk) -> np.ndarray:
-    return np.where(chunk.before == START, len(known.hashes), known.places(chunk.before))
+def _word_places(known: Counts, chunk: _Chunk) -> np.ndarray:
+    """The place in the head of each different word of a chunk, -1 for others."""
+    places = known.places(chunk.hashes)
+    places[START] = len(known.hashes)
+    return places
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -351,24 +368,24 @@ ANSWER = "at array<long>, target array<double>, background array<double>"
 def _parcels(x: np.ndarray, v: np.ndarray, places: np.ndarray, heads: np.ndarray, codes: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """What each shard gets of a chunk. ``x`` is what a bigram is dealt by: the hash of its second word, or of the bigram if that is in the head, at ``heads``;
     its first word is the hash ``v``, or a place in the head."""
+    # Sorted by most of x and some of v: equal bigrams are neighbours, but for a rare stranger in between, which costs a second entry.
+    order = np.argsort((x & np.uint64(0xFFFFFFFFFF000000)) | (v >> np.uint64(40)), kind="stable")
+    x, v, places, heads, codes = (c[order] for c in (x, v, places, heads, codes))
     shard = ((x >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    rest = np.where(places >= 0, np.uint64(0), v)
-    order = np.lexsort((rest, places, heads, x))
-    x, rest, places, heads, codes, shard = (c[order] for c in (x, rest, places, heads, codes, shard))
+    every = _starts(x, v, heads)
     cuts = _starts(shard)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)]):
-        own = slice(a, b)
-        pairs = _starts(x[own], heads[own], places[own], rest[own]) + a
+        pairs = every[np.searchsorted(every, a) : np.searchsorted(every, b)]
         groups = _starts(x[pairs])
         tail = places[pairs] < 0
         arrays = [
             np.diff(x[pairs][groups], prepend=np.uint64(0)),
             np.diff(groups, append=len(pairs)).astype(np.uint32),
             (places[pairs] + 1).astype(np.uint32),
-            rest[pairs][tail],
+            v[pairs][tail],
             (heads[pairs] + 1).astype(np.uint32),
             np.diff(pairs, append=b).astype(np.uint32),
-            codes[own],
+            codes[a:b],
         ]
         yield int(shard[a]), [_pack(c) for c in arrays], [len(c) for c in arrays]
 
@@ -402,19 +419,24 @@ def _send(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
         for number, chunk in enumerate(_chunks(batches)):
             name = (task << 32) + number
             scored, counted, good = (chunk.of(c) for c in ("scored", "counted", "good"))
-            before, after = _places_before(known, chunk), known.places(chunk.after)
-            at = known.frequent(known.keys(before, after))
+            places = _word_places(known, chunk).astype(np.int32)
+            before, after = places[chunk.before], places[chunk.after]
+            keys = known.keys(before.astype(np.int64), after)
+            at, both = np.full(len(keys), -1, np.int32), np.flatnonzero(keys >= 0)
+            at[both] = known.frequent(keys[both])
+            del keys, both
             sums = np.zeros((len(chunk.sizes), 2))
             here, hit = before >= 0, at >= 0
             below, above = known.below(known.before), known.above(known.pair_counts[at[hit]], known.head[after[hit]])
             for model in (0, 1):
                 sums[:, model] += np.bincount(chunk.doc[here], below[before[here], model], len(sums))
                 sums[:, model] += np.bincount(chunk.doc[hit], above[:, model], len(sums))
-            left = ~hit & (scored | counted)[chunk.doc]
+            left = np.flatnonzero(~hit & (scored | counted)[chunk.doc])
             flags = (good & counted) * GOOD + counted * IS_COUNTED + scored * IS_SCORED
             codes = ((chunk.doc << BITS) + flags[chunk.doc] + chunk.last * LAST).astype(np.uint32)
-            x = np.where(after >= 0, _mixed(chunk.before, chunk.after), chunk.after)
-            for shard, parts, sizes in _parcels(x[left], chunk.before[left], before[left], after[left], codes[left], shards):
+            v, w = chunk.hashes[chunk.before[left]], chunk.hashes[chunk.after[left]]
+            x = np.where(after[left] >= 0, _mixed(v, w), w)
+            for shard, parts, sizes in _parcels(x, v, before[left], after[left], codes[left], shards):
                 yield _row(shard, name, None, None, parts, sizes, None, None, None)
             yield _row(name % shards, name, chunk.rows["id"].combine_chunks().filter(pa.array(scored)), chunk.sizes[scored], None, None, np.flatnonzero(scored), *sums[scored].T)
 
@@ -440,6 +462,18 @@ def _send(docs: DataFrame, counts: Counts, shards: int) -> DataFrame:
     return docs.mapInArrow(run, f"shard long, chunk long, ids array<{kind}>, tokens array<long>, {PACKED}, {ANSWER}")
 
 
+def _alike(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number of each row's run of equal rows, and how many runs there are. Equal rows have equal keys; should others share one, all columns are sorted."""
+    order = np.argsort(key, kind="stable")
+    starts = _starts(*(c[order] for c in columns))
+    if len(starts) != len(_starts(key[order])):
+        order = np.lexsort(columns)
+        starts = _starts(*(c[order] for c in columns))
+    number = np.empty(len(key), np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(key)))
+    return number, len(starts)
+
+
 def _answers(counts: Counts, parcels: list[_Parcel]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per parcel the documents that occur in it and are scored, and what they get of it under each model."""
     x, places, rest, heads = (np.concatenate([getattr(p, c) for p in parcels]) for c in ("x", "places", "rest", "heads"))
@@ -450,16 +484,13 @@ def _answers(counts: Counts, parcels: list[_Parcel]) -> list[tuple[np.ndarray, n
         counted, good, going_on = p.codes & IS_COUNTED > 0, p.codes & GOOD > 0, p.codes & LAST == 0
         for column, flag in enumerate((good, counted, good & going_on, counted & going_on)):
             n[own, column] = np.bincount(p.pair[flag], minlength=len(p.x))
-    order = np.lexsort((rest, places, heads, x))
-    ordered = tuple(c[order] for c in (x, heads, places, rest))
-    starts, groups = _starts(*ordered), _starts(*ordered[:2])
-    pair_of, group_of = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
-    pair_of[order] = np.cumsum(np.bincount(starts, minlength=len(x))) - 1
-    group_of[order] = np.cumsum(np.bincount(groups, minlength=len(x))) - 1
-    bigrams, words = np.add.reduceat(n[order], starts), np.add.reduceat(n[order], groups)
+    pair_of, pairs = _alike(_mixed(x, rest ^ (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (heads.astype(np.uint64) << np.uint64(40))), x, heads, places, rest)
+    group_of, groups = _alike(x ^ (heads.astype(np.uint64) << np.uint64(40)), x, heads)
+    bigrams = np.stack([np.bincount(pair_of, n[:, k], pairs) for k in (0, 1)], axis=1)
+    words = np.stack([np.bincount(group_of, n[:, k], groups) for k in range(4)], axis=1)
     in_head = heads >= 0
     word_counts = np.where(in_head[:, None], counts.head[heads], words[group_of][:, :2])
-    above = counts.above(bigrams[pair_of][:, :2], word_counts)
+    above = counts.above(bigrams[pair_of], word_counts)
     # What a word adds as the first of a bigram is known here as well, unless it is in the head: then the sender knew it.
     below = np.where(in_head[:, None], 0.0, counts.below(words[group_of][:, 2:]))
     out = []
