@@ -8,7 +8,7 @@ text remains. A document that has less than ``MIN_LEFT`` of its text left (of th
 Base rules need no other document: fewer than ``MIN_WORDS`` words, or more than half of the words in three-word windows that
 occur twice or more in the text.
 
-All of it is DataFrame code. For the report only hashes are shuffled, never text: once per (line, document), once per line, and for the lines above the limit once
+All of it is DataFrame code. For the report only hashes are shuffled, never text: once per (line, document), which is then a written table, once per line, and for the lines above the limit once
 more per document. ``without_frequent_lines`` gives the texts without them: the hashes that a document loses are joined to it by its id. Counts are combined before each shuffle, so a line or a host that a third of all documents share is spread.
 
 Defined cases: a NULL or empty text has no words and no lines, and fails the base rules. A NULL source is the host with the
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..names import unused
+from ..staging import stage
 from .common import BLANKS, id_key, table
 
 MAX_DOCUMENTS = 10
@@ -63,9 +65,12 @@ def base_counts(rows: DataFrame, text: str) -> DataFrame:
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
-    window = lambda i: F.struct(F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
+    window = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)])
     starts = F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW)
-    windows = first.select(*kept, *counts, F.when(F.col("n_words") >= WINDOW, F.sort_array(F.transform(starts, window))).alias("s"))
+    hashed = first.select(*kept, *counts, F.when(F.col("n_words") >= WINDOW, F.transform(starts, window)).alias("h"))
+    # Most texts repeat no window, which the number of different ones tells; only the others are sorted.
+    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    windows = hashed.select(*kept, *counts, F.when(F.size(F.array_distinct("h")) < F.size("h"), placed).alias("s"))
     same = lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"])
     repeated = windows.select(*kept, *counts, F.sort_array(F.transform(F.filter("s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])).alias("p"))
     # A window covers its words up to the next repeated window's first one.
@@ -97,11 +102,13 @@ def removed_chars(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataF
 
 def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The documents, all rows and columns, without the lines that ``quality`` counts as removed; lines of blanks only stay."""
-    lost = lost_lines(line_table(docs, id_col, text_col, host_col), max_documents).groupBy("doc").agg(F.collect_set("line").alias("__lost"))
+    own, gone = (unused(n, docs.columns) for n in ("_doc", "_lost"))
+    lines = stage(line_table(docs, id_col, text_col, host_col), "lines")
+    lost = lost_lines(lines, max_documents).groupBy(F.col("doc").alias(own)).agg(F.collect_set("line").alias(gone))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    left = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line: ~F.array_contains("__lost", F.xxhash64(host, normal_form(line))))
-    text = F.when(F.col("__lost").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(left, "\n"))
-    joined = docs.join(lost.withColumnRenamed("doc", "__doc"), id_key(id_col) == F.col("__doc"), "left")
+    left = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line: ~F.array_contains(gone, F.xxhash64(host, normal_form(line))))
+    text = F.when(F.col(gone).isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(lost, id_key(id_col) == F.col(own), "left")
     return joined.withColumn(text_col, text).select(docs.columns)
 
 
@@ -112,7 +119,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     different = F.array_distinct(F.transform(lines_with_words(F.col("text")), normal_form))
     own = F.aggregate(F.transform(different, word_chars), F.lit(0).cast("long"), lambda acc, x: acc + x)
     counts = base_counts(rows.withColumn("own_chars", own), "text")
-    removed = removed_chars(line_table(docs, id_col, text_col, host_col))
+    removed = removed_chars(stage(line_table(docs, id_col, text_col, host_col), "lines"))
     judged = counts.join(removed, "doc", "left").withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
