@@ -83,6 +83,46 @@ def test_bounds_lose_nothing(spark, documents):
     assert got == expected and got
 
 
+def test_licences_of_long_parts_agree_with_the_sql(spark):
+    """A notice that fills a text over and over, and a line of many words, on both sides."""
+    import duckdb
+    import pandas as pd
+
+    notice = licences.TEMPLATES["MIT"]
+    rows = [(1, f"{notice} " * 100), (2, f"{notice}\n" * 100), (3, " ".join(f"w{i}" for i in range(900)) + "\n" + licences.TEMPLATES["ISC"]), (4, None), (5, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = {(r.doc_id, r.licence, round(r.dice, 9), r.n_found) for r in licences.findings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(d, name, round(dice, 9), n) for d, name, dice, n in con.execute(licences.OP6_SQL).fetchall()}
+    assert {d for d, *_ in got} == {1, 2, 3}
+
+
+def test_notices_within_longer_texts(spark):
+    """Wrapped above code, inside a longer line, edited a little, the whole licence text with other text around; on both sides."""
+    import textwrap
+
+    import duckdb
+    import pandas as pd
+
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(40))
+    wrapped = {n: "\n".join(f"# {x}" for x in textwrap.wrap(licences.TEMPLATES[n], 60)) for n in ("MIT-grant", "GPL-3.0-header", "Apache-2.0-header", "BSD-3-Clause-text", "MIT-text", "ISC-text")}
+    rows = [(i, f"Copyright 2020 Someone\n{notice}\n{code}") for i, notice in enumerate(wrapped.values())]
+    inside = "Some words before this. " + licences.TEMPLATES["CC-BY-4.0"] + " And then many more words that go on and on for quite a while in the same line."
+    edited = licences.TEMPLATES["MIT-text"].replace("without limitation", "with no limitation").replace("furnished", "given")
+    rows += [(10, inside), (11, f"{code}\n{edited}\n{code}"), (12, code), (13, "the software is provided to the software of the software " * 30), (None, inside)]
+    got = {(r.doc_id, r.licence, round(r.dice, 9), r.n_found) for r in licences.findings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+    assert got == {(d, name, round(dice, 9), n) for d, name, dice, n in con.execute(licences.OP6_SQL).fetchall()}
+    names = {}
+    for doc, name, dice, _ in got:
+        names.setdefault(doc, set()).add(name)
+    for i, name in enumerate(wrapped):
+        assert name in names[i], name
+    assert names[10] == names[None] == {"CC-BY-4.0"} and names[11] == {"MIT-text"} and not {12, 13} & names.keys()
+    assert names[4] == {"MIT-text"}
+
+
 def test_no_python_in_the_plans(documents):
     assert no_python(line_quality.quality(documents)) and no_python(licences.findings(documents))
 
