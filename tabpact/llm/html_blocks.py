@@ -3,6 +3,7 @@
 A block is the text between two tags that part blocks, with the tags (and their class and id words) around it. Markup, comments,
 scripts, styles and other elements whose content is no text of the page are left out. Malformed pages give blocks as well: an
 element that is not closed ends with the one around it, a paragraph ends where the next block begins, and a tag cut off at the page's end is no text.
+An element within ``DEEPEST`` others is none of the path; its text belongs to the innermost of those.
 A head ends with its first text or element of the body. Of the elements left out only those in ``RAW`` reach to the page's end if they are not closed; of others the tag alone goes.
 """
 
@@ -21,6 +22,8 @@ INLINE = set(
     "math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose merror mmultiscripts mprescripts "
     "mtable mtr mtd".split()
 )
+#: As with browsers, the depth of a page has a limit; without one, a page of open elements would cost the square of its length.
+DEEPEST = 256
 CLOSES_SAME = set("li dt dd tr td th p option".split())
 
 _TOKEN = re.compile(
@@ -51,7 +54,8 @@ def _ends(page: str, tag: str) -> dict[int, int]:
     """Where each closed element of a kind ends, by where it begins."""
     ends: dict[int, int] = {}
     begun: list[int] = []
-    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)>", page, re.I):
+    # Behind the last ">" no tag ends, so no search runs on to the page's end in vain.
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)>", re.I).finditer(page, 0, page.rfind(">") + 1):
         if not m[1]:
             if not m[2].endswith("/"):
                 begun.append(m.start())
@@ -65,25 +69,30 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     found: list[Block] = []
     stack: list[tuple[str, ...]] = []
+    path: tuple[tuple[str, ...], ...] | None = ()
+    deeper = 0
     text: list[str] = []
     ends: dict[str, dict[int, int]] = {}
     linked = in_links = 0
     at = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(tuple(stack), joined, linked))
+                if path is None:
+                    path = tuple(stack)
+                found.append(Block(path, joined, linked))
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, path
         plain = html.unescape(raw) if "&" in raw else raw
         if stack and stack[-1][0] == "head" and plain.strip():
             stack.pop()
+            path = None
         text.append(plain)
         if in_links:
             linked += len(plain.strip())
@@ -98,9 +107,13 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[1] or m[4]:  # an end
             if tag not in INLINE:
                 flush()
+            if deeper:
+                deeper -= 1
+                continue
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     del stack[depth:]
+                    path = None
                     break
         elif tag in HIDDEN:
             if tag not in ("button", "noscript"):
@@ -121,16 +134,22 @@ def blocks_of(page: str | None) -> list[Block]:
         else:
             if stack and stack[-1][0] == "head":
                 stack.pop()
+                path = None
             if tag not in INLINE:
                 flush()
                 same = tag if tag in CLOSES_SAME else "p"
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == same:
                         del stack[depth:]
+                        path = None
                         break
                     if stack[depth][0] not in INLINE:
                         break
-            stack.append(_element(tag, m[3] or m[6] or ""))
+            if len(stack) >= DEEPEST:
+                deeper += 1
+            else:
+                stack.append(_element(tag, m[3] or m[6] or ""))
+                path = None
         in_links = sum(e[0] == "a" for e in stack[-8:])
     add(page[at:])
     flush()

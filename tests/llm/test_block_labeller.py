@@ -118,3 +118,22 @@ def test_formulas_and_captions_are_text():
     found = blocks_of("<article><p>As <math><msup><mi>x</mi><mn>2</mn></msup></math> is.</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article>")
     assert [b.text for b in found] == ["As x2 is.", "A caption."]
     assert B.labels_of(found).all()
+
+
+def test_malformed_pages_take_time_in_proportion():
+    """Open elements without end, tags without end: a page of 1 MB is read in seconds, and its paths stay short."""
+    import time
+
+    from tabpact.llm import block_labeller
+    from tabpact.llm.html_blocks import DEEPEST, blocks_of
+
+    for part, count in (("<div>x", 170_000), ("<svg ", 0), ("<svg x", 0), ("<button>x", 1), ("<p>a <b>x", None)):
+        page = part * (1_020_000 // len(part))
+        begun = time.time()
+        blocks = blocks_of(page)
+        block_labeller.features(blocks)
+        assert time.time() - begun < 20
+        assert count is None or len(blocks) == count
+        assert all(len(b.path) <= DEEPEST for b in blocks)
+    inner = "<div>" * 300 + "<p>deep</p>" + "</div>" * 300 + "<p>after</p>"
+    assert [(b.text, len(b.path)) for b in blocks_of(inner)] == [("deep", DEEPEST), ("after", 1)]
