@@ -52,7 +52,8 @@ def test_stages(spark, sf, documents):
     assert gone and len(gone) < 0.05 * single.count()
 
     last = functions["sentencepiece"](spark, clean, sf)
-    assert last.columns == ["doc_id", "n_pieces", "ids"] and last.count() == len(kept)
+    assert last.columns == ["doc_id", "n_pieces", "ids", "round_trip"] and last.count() == len(kept)
+    assert last.where("NOT round_trip").count() == 0
     assert last.where("n_pieces <> size(ids)").count() == 0
 
 
