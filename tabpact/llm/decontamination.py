@@ -34,6 +34,7 @@ give no matches. Other columns are not read.
 from __future__ import annotations
 
 import random
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import table
@@ -264,6 +266,25 @@ def prepare(rows: list[tuple[int | None, bytes]], max_edits: float = MAX_EDITS)
     return Items([i for i, _ in texts], [np.searchsorted(alphabet, p) for p in points], alphabet, tables, _pieces(cut, max_edits))
 
 
+_PREPARED: dict[tuple[str, float], Items] = {}
+
+
+def _prepared(sent: tuple[str, list[tuple[int | None, bytes]]], max_edits: float) -> Items:
+    """The tables of the items of a broadcast, made once in a worker; the last ones made are kept."""
+    key = (sent[0], max_edits)
+    if key not in _PREPARED:
+        while len(_PREPARED) > 1:
+            del _PREPARED[next(iter(_PREPARED))]
+        _PREPARED[key] = prepare(sent[1], max_edits)
+    return _PREPARED[key]
+
+
+def _sent(part: DataFrame) -> Broadcast[tuple[str, list[tuple[int | None, bytes]]]]:
+    """The items of a pass, under a name that is theirs alone."""
+    rows = [(r["item"], bytes(r["text"])) for r in part.where("text IS NOT NULL").collect()]
+    return part.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
 def _entries(keys: np.ndarray, known: np.ndarray, table_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each key that a table has, and its entry there, for all pairs of both."""
     at = np.flatnonzero(known[(keys >> BITMAP).astype(np.int64)])
@@ -394,14 +415,13 @@ MATCH = "doc_id long, item_id long, distance int, end long"
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
     """``doc_id``, ``item_id``, edit ``distance`` and ``end`` (in the text's normal form) of the best place per row and item."""
-    spark = docs.sparkSession
     frame = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def one_pass(part: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in part.where("text IS NOT NULL").collect()])
+        sent = _sent(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = prepare(sent.value, max_edits)
+            known = _prepared(sent.value, max_edits)
             for rows in batches:
                 ids = rows["doc"].to_pylist()
                 found = list(matches_in([normalised(t) for t in rows["text"].to_pylist()], known, max_edits))
@@ -422,12 +442,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
     """The documents, all columns, without the contaminated ones."""
-    spark = docs.sparkSession
     for part in item_passes(items):
-        sent = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in part.where("text IS NOT NULL").collect()])
+        sent = _sent(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = prepare(sent.value, max_edits)
+            known = _prepared(sent.value, max_edits)
             for rows in batches:
                 keep = np.ones(rows.num_rows, bool)
                 texts = [normalised(t.encode("utf-8", "replace")) if t is not None else b"" for t in rows[text_col].to_pylist()]

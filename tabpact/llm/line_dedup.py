@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..names import unused
 from ..staging import new_folder, stage, stage_at
 from .common import batch, id_key, map_batches, shuffle_partitions, table, texts
 
@@ -206,15 +207,16 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, all columns, with the repeated lines gone from the text. A NULL text stays NULL."""
     drops = lines_to_drop(docs, id_col, text_col, min_chars)
-    own = drops.select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines"))
-    joined = docs.withColumn("__doc", id_key(id_col)).join(own, "__doc", "left").drop("__doc")
+    key, gone = (unused(n, docs.columns) for n in ("_doc", "_lines"))
+    own = drops.select(F.col("doc").alias(key), F.col("lines").alias(gone))
+    joined = docs.withColumn(key, id_key(id_col)).join(own, key, "left").drop(key)
 
     columns = list(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
-            for text, drop in zip(rows[text_col].to_pylist(), rows["__lines"].to_pylist(), strict=True):
+            for text, drop in zip(rows[text_col].to_pylist(), rows[gone].to_pylist(), strict=True):
                 if text is not None and drop is not None:
                     text = b"\n".join(_kept(text.encode(), drop, min_chars)[1]).decode("utf-8", "replace")
                 out.append(text)

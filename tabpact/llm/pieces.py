@@ -39,6 +39,10 @@ from ..staging import stage
 from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Pairs of pieces that a worker remembers.
+HELD_PAIRS = 1_000_000
+#: Rows that are decoded in one go.
+AT_ONCE = 256
 CHUNK = 32_768
 BLOCK = 256
 BLANK = "▁"
@@ -107,6 +111,8 @@ class Pieces:
         if a < 0 or b < 0:
             return True
         key = (a, b)
+        if len(self._stable) > HELD_PAIRS:
+            self._stable.clear()
         if key not in self._stable:
             self._stable[key] = self.library.encode(self.texts[a] + self.texts[b]) == [a, b]
         return self._stable[key]
@@ -373,7 +379,7 @@ def decode(ids: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model.value)
-        for rows in batches:
+        for rows in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             texts = [None if x is None else pieces.decode(x) for x in rows[ids_col].to_pylist()]
             yield pa.RecordBatch.from_arrays([rows[c] for c in columns] + [pa.array(texts, pa.string())], names=[*columns, out_col])
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..names import unused
 from ..staging import stage
 from .common import batch, map_batches, table
 from .components import components
@@ -140,8 +141,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents but for those whose component has a smaller id; rows without an id stay."""
-    dropped = groups(docs, id_col, text_col).where("component < doc").select(F.col("doc").alias("__doc")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__doc"), "left_anti")
+    key = unused("_doc", docs.columns)
+    dropped = groups(docs, id_col, text_col).where("component < doc").select(F.col("doc").alias(key)).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(ODD, SCHEMA)
-    return docs.withColumns({c: F.lit("clash") for c in ("doc", "id", "line", "lines", "words", "n", "w", "score", "ids", "row", "print", "fold")})
+    return docs.withColumns({c: F.lit("clash") for c in ("doc", "id", "line", "lines", "words", "n", "w", "score", "ids", "row", "print", "fold", "_doc", "__doc", "_lines", "__lines", "_lost", "__lost")})
 
 
 @pytest.fixture(scope="session")
