@@ -1,7 +1,7 @@
 """Column functions."""
 
 from .formats import date_formatter, fmt_date, fmt_none, python_formatter, quote_cell, strftime_pattern
-from .maps import json_get, json_map, map_get
+from .maps import any_get, any_kind, any_map, any_of, json_get, json_map, map_get
 from .money import (
     MONEY_TYPE,
     cents_of_double,

@@ -48,7 +48,7 @@ class BoundCheck:
 
 
 def _text(spec: ColumnSpec) -> Column:
-    nested = isinstance(spec.data_type, (T.MapType, T.ArrayType, T.StructType))
+    nested = isinstance(spec.data_type, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
     return F.to_json(F.col(spec.name)) if nested else F.col(spec.name).cast("string")
 
 

@@ -19,9 +19,9 @@ from ..sinks.base import AdaptedSink, Sink
 from ..sinks.publish import Pending, PendingFolder, publish_all
 from ..sources.custom import CustomSource, split_tagged
 from ..sources.reader import conform, load, select_columns
-from ..sources.rejects import read_with_rejects
+from ..sources.rejects import read_with_rejects, split_records
 from ..staging import stage, temporary_folders
-from ..streaming.scan import stream_with_rejects
+from ..streaming.scan import stream_source, stream_unsplit
 
 
 @dataclass(frozen=True)
@@ -44,26 +44,35 @@ class SourceBinding:
         """Filtered rows with the declared columns, not yet checked."""
         return self.read(spark)[0]
 
-    def _custom(self, spark: SparkSession, stream: bool = False, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
-        """Rows, and with a ``rejects_path`` rejects, which one reading gives both of: it is written first if ``staged``."""
+    def _filtered(self, rows: DataFrame) -> DataFrame:
+        """The rows of a custom source that the filters let through, under the contract."""
         resolved = self.contract.bind_filters(self.values)
-        if self.rejects_path is None:
-            rows, rejects = (self.custom.load_stream if stream else self.custom.load)(spark, **resolved), None
-        else:
-            tagged = self.custom.load_tagged(spark, stream, **resolved)
-            rows, rejects = split_tagged(stage(tagged, "tagged") if staged else tagged)
         for param in self.contract.filters:
             condition = param.condition(resolved[param.name])
             rows = rows if condition is None else rows.where(condition)
-        return conform(rows, self.contract), rejects
+        return conform(rows, self.contract)
+
+    def _split_custom(self, tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows, rejects = split_tagged(tagged)
+        return self._filtered(rows), rejects
 
-    def stream(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
-        """As ``read``, of streams."""
+    def stream_parts(self, spark: SparkSession) -> tuple[DataFrame, Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]]:
+        """The source as one stream, and what parts a batch of it into rows and, with a ``rejects_path``, rejects."""
+        whole = lambda rows: (rows, None)
         if self.custom is not None:
-            return self._custom(spark, stream=True)
-        return stream_with_rejects(
-            spark, self.contract, self.path, self.fmt, self.values, self.options, split=self.rejects_path is not None
-        )
+            resolved = self.contract.bind_filters(self.values)
+            if self.rejects_path is not None:
+                return self.custom.load_tagged(spark, True, **resolved), self._split_custom
+            return self._filtered(self.custom.load_stream(spark, **resolved)), whole
+        if self.rejects_path is None:
+            return stream_source(spark, self.contract, self.path, self.fmt, self.values, self.options), whole
+        table, tolerant = stream_unsplit(spark, self.contract, self.path, self.fmt, self.options)
+
+        def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+            good, rejects = split_records(batch, self.contract, tolerant)
+            return select_columns(apply_filters(good, self.contract, self.values), self.contract), rejects
+
+        return table, split
 
     def read(self, spark: SparkSession, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """The rows, and with a ``rejects_path`` the records that do not parse.
@@ -72,7 +81,11 @@ class SourceBinding:
         gives rejects, ``staged`` has it read once for both.
         """
         if self.custom is not None:
-            return self._custom(spark, staged=staged)
+            resolved = self.contract.bind_filters(self.values)
+            if self.rejects_path is None:
+                return self._filtered(self.custom.load(spark, **resolved)), None
+            tagged = self.custom.load_tagged(spark, **resolved)
+            return self._split_custom(stage(tagged, "tagged") if staged else tagged)
         if self.rejects_path is not None:
             return read_with_rejects(spark, self.contract, self.path, self.fmt, self.options, self.values)
         table = load(spark, self.contract, self.path, self.fmt, self.options)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..contracts import Check, ColumnSpec, FilterParam, SourceContract
 from ..errors import RefusedError
 from ..functions import (
+    any_get,
+    any_of,
     date_range,
     fmt_date,
     fmt_none,
@@ -149,11 +151,11 @@ STATEMENTS = SourceContract(
 ENTRIES_PER_OPENING = 4_000
 
 
-def _statement_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+def _statement_files(spark: SparkSession, sf_dir: str, broken: bool = False, by_range: bool = False) -> str:
     """Accounts as a format of their own: a line `*customer` opens an account, the lines after it are its entries.
 
     An account is opened as many times as the table has parts of ``ENTRIES_PER_OPENING`` orders, each time with the orders that a hash deals to it, so that
-    the orders of one customer are written, and read, by many tasks. With ``broken`` every 97th order has no amount.
+    the orders of one customer are written, and read, by many tasks. With ``broken`` every 97th order has no amount; with ``by_range`` a file holds neighbouring accounts.
     """
     openings = table(spark, sf_dir, "orders").count() // ENTRIES_PER_OPENING + 1
     amount = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
@@ -169,7 +171,8 @@ def _statement_files(spark: SparkSession, sf_dir: str, broken: bool = False) ->
     first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.lit(0).cast("bigint").alias("part"), F.lit(0).alias("at"), start.alias("line"))
     again = entries.where("part > 0").select("cust", "part", F.lit(0).alias("at"), F.concat(F.lit("*"), F.col("cust").cast("string")).alias("line")).distinct()
     path = new_folder(spark, "statements")
-    lines = first.unionByName(again).unionByName(entries).repartition("cust", "part").sortWithinPartitions("cust", "part", "at")
+    every = first.unionByName(again).unionByName(entries)
+    lines = (every.repartitionByRange("cust", "part") if by_range else every.repartition("cust", "part")).sortWithinPartitions("cust", "part", "at")
     lines.select(F.col("line").alias("value")).write.text(path)
     return path
 
@@ -179,11 +182,12 @@ SLICE = 256 * 1024
 MAX_SLICES = 50_000
 
 
-def statement_source(spark: SparkSession, path: str):
+def statement_source(spark: SparkSession, path: str, bounded: bool = False, keep=None, name: str = "tabpact_statements", **how):
     """The entries of statement files, read by user code in slices of a file.
 
     An account belongs to the slice in which its first line begins; a slice goes on beyond its end until the next
-    account. Accounts below the filter are skipped while reading. An entry whose amount is no number is a reject.
+    account. Accounts below the filter are skipped while reading. ``bounded`` has the accounts of each file looked up, which bound its slices; ``keep`` chooses
+    among the slices. An entry whose amount is no number is a reject.
     """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
@@ -191,7 +195,13 @@ def statement_source(spark: SparkSession, path: str):
     size_of = max(SLICE, sum(size for _, size in files) // MAX_SLICES)
     slices = [(uri, start, min(size, start + size_of)) for uri, size in files for start in range(0, size, size_of)]
 
-    def read(part: tuple[str, int, int], min_cust: int | None) -> Iterator:
+    slices = slices if keep is None else [s for i, s in enumerate(slices) if keep(i)]
+    if bounded:
+        opened = spark.read.text(path).where(F.col("value").startswith("*")).select(F.col("_metadata.file_path").alias("file"), F.substring("value", 2, 20).cast("bigint").alias("cust"))
+        accounts = {r["file"].removeprefix("file://"): (r["lo"], r["hi"]) for r in opened.groupBy("file").agg(F.min("cust").alias("lo"), F.max("cust").alias("hi")).collect()}
+        how["bounds"] = lambda part: {"cust_id": accounts[part[0].removeprefix("file://").removeprefix("file:")]} if part[0].removeprefix("file://").removeprefix("file:") in accounts else {}
+
+    def read(part: tuple[str, int, int], min_cust: int | None = None, **filters) -> Iterator:
         import io
 
         from pyarrow import fs
@@ -212,7 +222,7 @@ def statement_source(spark: SparkSession, path: str):
                     yield (account, entry, kind, int(cents)) if cents.isdigit() else Reject(f"{account};{entry};{kind};{cents}", "the amount is no number")
                 at += len(line)
 
-    return record_source("tabpact_statements", "cust_id bigint, entry string, kind string, cents bigint", slices, read)
+    return record_source(name, "cust_id bigint, entry string, kind string, cents bigint", slices, read, **how)
 
 
 def _statement_plan(spark: SparkSession, sf_dir: str, name: str, **filters) -> DataFrame:
@@ -234,6 +244,21 @@ def record_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statement_plan(spark, sf_dir, "statement-rows", min_cust=700)
 
 
+SOME_STATEMENTS = SourceContract(
+    "SomeStatements", columns=STATEMENTS.columns, filters=[FilterParam("from_cust", "bigint", predicate=lambda v: F.col("cust_id") >= v)]
+)
+
+
+@query(_STATEMENTS.format(where=">= 1200"))
+def record_source_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on the rows of user code: it reaches the reader, and slices with smaller accounts are never opened."""
+    folder = new_folder(spark, "statements-pruned")
+    source = statement_source(spark, _statement_files(spark, sf_dir, by_range=True), bounded=True, name="tabpact_bounded_statements")
+    plan = Pipeline("Statements").source("entries", SOME_STATEMENTS, custom=source, from_cust=1200)
+    plan.sink("out", DelimitedSink(folder)).pipe("entries -> out").run(spark)
+    return spark.read.schema(STATEMENTS.schema()).csv(folder)
+
+
 _BROKEN = "SELECT cust_id, entry, kind, cents FROM (" + _STATEMENTS.format(where=">= 700") + ") WHERE NOT (entry LIKE 'order %' AND coalesce(TRY_CAST(substr(entry, 7) AS BIGINT) % 97, 1) = 0)"
 _BROKEN_REJECTS = """SELECT o_custkey || ';order ' || o_orderkey || ';D;n/a' AS record, 'the amount is no number' AS reason
                      FROM orders WHERE o_orderkey % 97 = 0 AND o_custkey >= 700"""
@@ -268,7 +293,7 @@ def record_source_rejects_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BROKEN_REJECTS)
 def stream_record_source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of a stream of slices."""
-    return spark.read.parquet(f"{_broken_statements(spark, sf_dir, stream=True)}/rejects")
+    return spark.read.parquet(f"{_broken_statements(spark, sf_dir, stream=True)}/rejects").select("record", "reason")
 
 
 def _priced_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -692,6 +717,51 @@ def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIXED = SourceContract(
+    "Mixed",
+    columns=[
+        ColumnSpec("event_id", "bigint"),
+        ColumnSpec("props", "variant", nullable=True, source="try_parse_json(props)", checks=Check(lambda c: any_get(c, "k", "bigint") < 95, when_present=True, name="k_cap")),
+        ColumnSpec(
+            "meta",
+            "variant",
+            source=lambda: any_of(
+                F.struct(
+                    F.col("event_type").alias("kind"),
+                    F.when(F.col("value") >= 10, F.col("value")).alias("value"),
+                    (F.col("user_id") % 2 == 0).alias("even"),
+                    F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("it's"),
+                )
+            ),
+        ),
+    ],
+)
+
+
+@query(
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind, CASE WHEN value >= 10 THEN value END AS value,
+              user_id % 2 = 0 AS even, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS quoted,
+              CAST(NULL AS BIGINT) AS absent, CAST(NULL AS BIGINT) AS kind_as_number
+       FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 95 OR json_extract(props, '$.k') IS NULL"""
+)
+def map_of_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups in maps whose values have types of their own: typed values, absent keys, a value of another type, a check on one of them."""
+    checked, _ = enforce(read_source(spark, MIXED, f"{sf_dir}/events.parquet"), MIXED, "drop")
+    return map_record(
+        checked,
+        [
+            ("event_id", "event_id"),
+            ("k", lambda: any_get("props", "k", "bigint")),
+            ("kind", lambda: any_get("meta", "kind", "string")),
+            ("value", lambda: any_get("meta", "value", "double")),
+            ("even", lambda: any_get("meta", "even", "boolean")),
+            ("quoted", lambda: any_get("meta", "it's", "string")),
+            ("absent", lambda: any_get("props", "absent", "bigint")),
+            ("kind_as_number", lambda: any_get("meta", "kind", "bigint")),
+        ],
+    )
+
+
 @query(
     """WITH c AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
        SELECT o_orderkey, cents // 100 AS dollar, cents % 100 AS cent, cents, cents AS rebuilt,
@@ -836,6 +906,29 @@ def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, escape='"')
 
 
+@query(
+    EMP.rstrip()
+    + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY hire_date, employee_id) AS n FROM cells)
+          SELECT {_HEADER_SQL}, p.partitions, (SELECT sum(length(concat_ws(',', n, employee_id, hire, coalesce(term, ''), salary, department, coalesce(job_title, ''))) + 1)
+                 + {len(','.join(HEADER)) + 3} FROM numbered) AS bytes
+          FROM numbered, (VALUES (1), (8), (64)) AS p(partitions)"""
+)
+def delimited_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All employment records in one file, written by many tasks, for inputs of 1, 8 and 64 partitions; with the size of the file."""
+    folder, schema = new_folder(spark, "single"), T.StructType([T.StructField(name, T.StringType()) for name in HEADER])
+    read = []
+    for partitions in (1, 8, 64):
+        path = f"{folder}/{partitions}.csv"
+        sequence = RowSequence(("Hire Date", "Employee ID"), rows_per_range=ROWS_PER_RANGE)
+        plan = Pipeline("Single").source("er", EMPLOYMENT, custom=custom_source("repartitioned", lambda spark, **_: employees(spark, sf_dir).repartition(partitions)), policy="report", bad_path=f"{folder}/bad{partitions}")
+        plan.sink("csv", DelimitedSink(path, header=HEADER, row_sequence=sequence, single_file=True)).adapter("feed", onto="csv", mapping=FIELDS).pipe("er -> feed").run(spark)
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+        rows = spark.read.schema(schema).csv(path, header=True, escape='"')
+        read.append(rows.withColumns({"partitions": F.lit(partitions), "bytes": F.lit(size).cast("bigint")}))
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
 def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, line ends and quotes included, through a delimited file and back."""
@@ -1366,6 +1459,43 @@ def stream_record_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(STATEMENTS.schema()).csv(f"{folder}/out/batch_id=*")
 
 
+@query(
+    """SELECT 'a' AS sink, event_id, value FROM events WHERE event_type <> 'error' AND value < 200
+       UNION ALL SELECT 'b', event_id, value FROM events WHERE event_type <> 'error' AND value < 200
+       UNION ALL SELECT 'bad', event_id, value FROM events WHERE NOT (event_type <> 'error' AND value < 200)
+       UNION ALL SELECT 'batches', 6, NULL"""
+)
+def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream into two sinks, bad rows aside, from one reading: all outputs have the same batches."""
+    folder = new_folder(spark, "stream-fan-out")
+    plan = Pipeline("FanOut").source(
+        "events", EVENTS, _event_files(spark, sf_dir), options={"maxFilesPerTrigger": "1"}, policy="quarantine", bad_path=f"{folder}/bad"
+    )
+    for name in ("a", "b"):
+        plan.sink(name, DelimitedSink(f"{folder}/{name}")).pipe("events", name)
+    (started,) = plan.run_stream(spark, f"{folder}/checkpoint")
+    started.awaitTermination()
+    rows = [spark.read.schema(EVENTS.schema()).csv(f"{folder}/{n}/batch_id=*").select(F.lit(n).alias("sink"), "event_id", "value") for n in ("a", "b")]
+    bad = spark.read.parquet(f"{folder}/bad")
+    counted = check_counts(spark, f"{folder}/checkpoint", "events").select("batch_id").distinct()
+    both = counted.join(bad.select(F.col("batch_id").cast("bigint").alias("batch_id")).distinct(), "batch_id")
+    batches = both.agg(F.lit("batches").alias("sink"), F.count(F.lit(1)).alias("event_id"), F.lit(None).cast("double").alias("value"))
+    return rows[0].unionByName(rows[1]).unionByName(bad.select(F.lit("bad").alias("sink"), "event_id", "value")).unionByName(batches)
+
+
+@query(_STATEMENTS.format(where="IS NOT NULL"))
+def stream_record_source_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of slices that is stopped and started again, when new slices stand among the old ones: each is read once."""
+    folder, path = new_folder(spark, "stream-log"), _statement_files(spark, sf_dir)
+    for keep in (lambda i: i % 2 == 1, None):
+        source = statement_source(spark, path, keep=keep, name="tabpact_logged_statements", log=f"{folder}/log")
+        plan = Pipeline("Statements").source("entries", STATEMENTS, custom=source)
+        plan.sink("out", DelimitedSink(f"{folder}/out")).pipe("entries -> out")
+        for q in plan.run_stream(spark, f"{folder}/checkpoint"):
+            q.awaitTermination()
+    return spark.read.schema(STATEMENTS.schema()).csv(f"{folder}/out/batch_id=*")
+
+
 @query("SELECT event_id AS id, event_type AS kind, value FROM events WHERE value >= 10")
 def stream_custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream through an adapter into a user-defined sink; read back by its manifests, one per batch."""

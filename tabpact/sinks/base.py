@@ -17,9 +17,9 @@ class Sink:
     def write(self, df: DataFrame) -> Any:
         raise NotImplementedError
 
-    def prepare(self, df: DataFrame) -> Pending:
+    def prepare(self, df: DataFrame, **how: Any) -> Pending:
         """Write all rows, but show nothing yet. A sink that does not know the two apart writes when it is published."""
-        return Pending(lambda: self.write(df))
+        return Pending(lambda: self.write(df, **how))
 
     def check(self, df: DataFrame) -> None:
         """Raise a definition error if the rows do not fit; no job is run."""
@@ -54,8 +54,8 @@ class AdaptedSink(Sink):
     def write(self, df: DataFrame, **how: Any) -> Any:
         return self.inner.write(self.transform(df), **how)
 
-    def prepare(self, df: DataFrame) -> Pending:
-        return self.inner.prepare(self.transform(df))
+    def prepare(self, df: DataFrame, **how: Any) -> Pending:
+        return self.inner.prepare(self.transform(df), **how)
 
     def batch_writer(self, batch_id: int) -> AdaptedSink:
         return AdaptedSink(self.inner.batch_writer(batch_id), self.mapping)

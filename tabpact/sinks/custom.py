@@ -150,8 +150,8 @@ class CustomSink(Sink):
 
         return Source
 
-    def _save(self, df: DataFrame, kept_at: str | None = None) -> None:
-        if self._writes and self.mode != "append":
+    def _save(self, df: DataFrame, kept_at: str | None = None, batch: bool = False) -> None:
+        if self._writes and not batch and self.mode != "append":
             raise SealedError(f"sink {self.name!r} is done; with mode 'append' it would take more")
         df.sparkSession.dataSource.register(self.data_source(df.sparkSession, kept_at))
         df.write.format(self.name).mode("append").save()
@@ -161,21 +161,23 @@ class CustomSink(Sink):
         self._save(df)
         self._writes.append(None)
 
-    def prepare(self, df: DataFrame) -> Pending:
-        """All records are put; ``on_commit`` is called on publishing, ``on_abort`` on cancelling."""
+    def prepare(self, df: DataFrame, batch_id: int | None = None) -> Pending:
+        """All records are put; ``on_commit`` is called on publishing, ``on_abort`` on cancelling. Both get the number of a micro-batch, which does not seal the sink."""
         spark = df.sparkSession
         folder = qualified(spark, new_folder(spark, "commit"))
-        self._save(df, folder)
+        batch = () if batch_id is None else (batch_id,)
+        self._save(df, folder, bool(batch))
 
         def publish() -> None:
             rejects = None if self.rejects_path is None else qualified(spark, self.rejects_path)
-            self._publish(rejects, _kept(folder))
-            self._writes.append(None)
+            self._publish(rejects, _kept(folder), *batch)
+            if not batch:
+                self._writes.append(None)
             remove(spark, folder)
 
         def cancel() -> None:
             if self.on_abort is not None:
-                self.on_abort([m.value for m in _kept(folder)])
+                self.on_abort([m.value for m in _kept(folder)], *batch)
             remove(spark, folder)
 
         return Pending(publish, cancel)

@@ -14,7 +14,7 @@ from ..operators.rendering import QUOTING, format_cells, render_line
 from ..operators.sequence import number_rows
 from ..staging import temporary_folders
 from .base import Sink
-from .publish import Pending, PendingFolder
+from .publish import Pending, PendingFolder, join_files
 
 #: monotonically_increasing_id keeps the row position within the partition in its low 33 bits.
 _POSITION_BITS = (1 << 33) - 1
@@ -66,6 +66,7 @@ DELIMITED = SinkContract(
             default="errorifexists",
             checks=Check(lambda m: m in ("errorifexists", "overwrite", "append"), "an existing write mode"),
         ),
+        Param("single_file", "boolean", default=False, explain="one file instead of a folder"),
     ],
     explain="delimited text files, one line per record",
 )
@@ -79,6 +80,9 @@ class DelimitedSink(Sink):
     writes cells as they are. NULL is written as ``none_fmt``; with the default empty text it cannot
     be told from an empty text afterwards. The header, if any, starts every part file. ``mode`` is
     ``errorifexists`` by default: a finished output is sealed and writing to it again is an error.
+
+    ``single_file`` makes ``path`` one file with one header, its rows in number order. It is still written by all tasks: as parts, which the
+    file system joins, or which tasks copy side by side to the places that the sizes before them give.
     """
 
     path: str
@@ -90,6 +94,7 @@ class DelimitedSink(Sink):
     eol: str = "\n"
     quoting: str = "rfc4180"
     mode: str = "errorifexists"
+    single_file: bool = False
 
     def __post_init__(self):
         DELIMITED.bind(**{p.name: getattr(self, p.name) for p in DELIMITED.params})
@@ -97,6 +102,7 @@ class DelimitedSink(Sink):
             date_formatter(self.date_fmt)
         except ValueError as exc:
             raise_if("sink 'Delimited'", [f"'date_fmt': {exc}"])
+        raise_if("sink 'Delimited'", ["a single file cannot be appended to"] if self.single_file and self.mode == "append" else [])
 
     def batch_writer(self, batch_id: int) -> DelimitedSink:
         return replace(self, path=f"{self.path}/batch_id={batch_id}", mode="overwrite")
@@ -121,6 +127,8 @@ class DelimitedSink(Sink):
     def write(self, df: DataFrame, start: int | None = None) -> int | None:
         """Write all rows in one job. Returns their number if rows are numbered."""
         self.check(df)
+        if self.single_file:
+            return self._write_single(df, start)
         with temporary_folders(df.sparkSession):
             rows, total = self.numbered(df, start)
             seen = Observation()
@@ -133,10 +141,27 @@ class DelimitedSink(Sink):
             raise RuntimeError(f"{total} rows were counted, but {seen.get['rows']} were there to be written; stage the input")
         return total
 
-    def prepare(self, df: DataFrame) -> Pending:
+    def _write_single(self, df: DataFrame, start: int | None) -> int | None:
+        spark = df.sparkSession
+        folder = PendingFolder(spark, self.path, self.mode)
+        parts = replace(self, path=f"{folder.path}/rows", header=None, mode="errorifexists", single_file=False)
+        try:
+            # The header was checked for the row number as well, so the parts need none.
+            total = parts.write(df, start)
+            if self.header:
+                names = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(self.header))])
+                top = replace(parts, path=f"{folder.path}/header", row_sequence=None)
+                top.write(spark.createDataFrame([tuple(self.header)], names).coalesce(1))
+            join_files(spark, [f"{folder.path}/header", f"{folder.path}/rows"] if self.header else [f"{folder.path}/rows"], f"{folder.path}/joined")
+            PendingFolder(spark, self.path, self.mode).publish_file(f"{folder.path}/joined")
+        finally:
+            folder.cancel()
+        return total
+
+    def prepare(self, df: DataFrame, start: int | None = None) -> Pending:
         folder = PendingFolder(df.sparkSession, self.path, self.mode)
         try:
-            total = replace(self, path=folder.path, mode="errorifexists").write(df)
+            total = replace(self, path=folder.path, mode="errorifexists").write(df, start)
         except BaseException:
             folder.cancel()
             raise

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from ..errors import raise_if
+from ..staging import qualified
 
 #: Rejects that a slice holds until its first row shows whether it yields tuples or batches.
 HELD_REJECTS = 1_000
+#: Stands for a slice where none is left; a source has one partition at least.
+_NOTHING = "tabpact: no slice"
 
 
 #: The column in which a source says why a record is no row: NULL for a row, else the record and the reason.
@@ -129,11 +145,64 @@ def _as_tuples(found: Iterator[Any], of_reject: Callable[[Reject], tuple]) -> It
             yield (*item, None)
 
 
+#: What a filter on one column says of a slice with values between two bounds.
+_MAY_HOLD: dict[type[Filter], Callable[[Any, Any, Any], bool]] = {
+    EqualTo: lambda lo, hi, v: lo <= v <= hi,
+    GreaterThan: lambda lo, hi, v: hi > v,
+    GreaterThanOrEqual: lambda lo, hi, v: hi >= v,
+    LessThan: lambda lo, hi, v: lo < v,
+    LessThanOrEqual: lambda lo, hi, v: lo <= v,
+    In: lambda lo, hi, vs: any(v is not None and lo <= v <= hi for v in vs),
+}
+
+
+def may_hold(bounds: Mapping[str, tuple[Any, Any]], filters: Iterable[Filter]) -> bool:
+    """Whether a slice within ``bounds`` (least and greatest value by column) can have a row that all filters let through."""
+    for one in filters:
+        test, column = _MAY_HOLD.get(type(one)), getattr(one, "attribute", ())
+        if test is None or len(column) != 1 or column[0] not in bounds:
+            continue
+        if not test(*bounds[column[0]], one.value):
+            return False
+    return True
+
+
+class _Log:
+    """Which slices each batch of a stream has taken, as files in the shared folder; a slice is known by its text."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.files, self.root = fs.FileSystem.from_uri(uri)
+        self.files.create_dir(self.root)
+        found = self.files.get_file_info(fs.FileSelector(self.root))
+        self.last = max((int(f.base_name) for f in found if f.base_name.isdigit()), default=0)
+        self.known = {repr(s) for n in range(1, self.last + 1) for s in self.read(n)}
+
+    def read(self, number: int) -> list[Any]:
+        with self.files.open_input_file(f"{self.root}/{number}") as raw:
+            return cloudpickle.loads(raw.read())
+
+    def take(self, slices: Sequence[Any]) -> None:
+        """Log those of the slices that are new, as the next batch."""
+        new = list({repr(s): s for s in slices if repr(s) not in self.known}.values())
+        if not new:
+            return
+        # First beside its place: a batch is there whole or not at all.
+        with self.files.open_output_stream(f"{self.root}/_{self.last + 1}") as out:
+            out.write(cloudpickle.dumps(new))
+        self.files.move(f"{self.root}/_{self.last + 1}", f"{self.root}/{self.last + 1}")
+        self.last += 1
+        self.known |= {repr(s) for s in new}
+
+
 def record_source(
     name: str,
     schema: str | T.StructType,
     slices: Sequence[Any] | Callable[[], Sequence[Any]],
     read: Callable[..., Iterator[Any]],
+    bounds: Callable[[Any], Mapping[str, tuple[Any, Any]]] | None = None,
+    log: str | None = None,
 ) -> CustomSource:
     """A source of records that user code yields slice by slice, one Spark partition per slice.
 
@@ -143,7 +212,11 @@ def record_source(
     one that is not set. A slice is read again if its task is retried.
 
     ``slices`` may be a function that lists them. On a stream it is asked for each micro-batch, which takes the slices that
-    have come since the last one; new slices must come after those listed before.
+    have come since the last one; new slices must come after those listed before. With a ``log``, a folder for one query alone,
+    the slices taken are kept there instead, so that they may be listed in any order.
+
+    ``bounds`` gives the least and the greatest value of some columns in a slice. Slices that the filters on the rows rule out are then not opened;
+    what they would reject is not seen either.
     """
     listed = slices if callable(slices) else lambda: slices
     fields = (T.DataType.fromDDL(schema) if isinstance(schema, str) else schema).fields
@@ -161,6 +234,43 @@ def record_source(
         def read(self, partition):
             yield from _tagged(read(partition.value, **self.filters), width)
 
+    class PruningReader(Reader):
+        def __init__(self, filters):
+            super().__init__(filters)
+            self.pushed = []
+
+        def pushFilters(self, filters):
+            self.pushed = [f for f in filters if type(f) in _MAY_HOLD]
+            # A slice has other rows as well, so Spark looks at each row again.
+            yield from filters
+
+        def partitions(self):
+            kept = [s for s in listed() if may_hold(bounds(s), self.pushed)]
+            return [_Slice(s) for s in kept] or [_Slice(_NOTHING)]
+
+        def read(self, partition):
+            return iter(()) if partition.value == _NOTHING else super().read(partition)
+
+    class LoggedReader(DataSourceStreamReader):
+        def __init__(self, filters, uri):
+            self.filters, self.log = filters, _Log(uri)
+
+        def initialOffset(self):
+            return {"batch": 0}
+
+        def latestOffset(self):
+            self.log.take(listed())
+            return {"batch": self.log.last}
+
+        def partitions(self, start, end):
+            return [_Slice(s) for n in range(start["batch"] + 1, end["batch"] + 1) for s in self.log.read(n)]
+
+        def read(self, partition):
+            yield from _tagged(read(partition.value, **self.filters), width)
+
+        def commit(self, end):
+            pass
+
     class StreamReader(DataSourceStreamReader):
         def __init__(self, filters):
             self.filters = filters
@@ -181,6 +291,11 @@ def record_source(
             pass
 
     def register(spark: SparkSession, filters: dict[str, Any]) -> None:
+        uri = None if log is None else qualified(spark, log)
+        if bounds is not None:
+            # Without it Spark refuses a reader that looks at filters.
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
         class Source(DataSource):
             @classmethod
             def name(cls):
@@ -190,10 +305,10 @@ def record_source(
                 return tagged
 
             def reader(self, schema):
-                return Reader(filters)
+                return Reader(filters) if bounds is None else PruningReader(filters)
 
             def streamReader(self, schema):
-                return StreamReader(filters)
+                return StreamReader(filters) if uri is None else LoggedReader(filters, uri)
 
         spark.dataSource.register(Source)
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..contracts import SourceContract
 from ..errors import raise_if
 from ..operators.checks import check_summary, enforce
-from .sinks import stream_sink
+from ..sinks.publish import Pending, PendingFolder, publish_all
+from ..staging import stage, temporary_folders
+from .sinks import prepare_batch
 
 if TYPE_CHECKING:
     from ..plans.pipeline import Pipeline
 
+#: From the rows of a batch as read to rows and rejects.
+Split = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
 COUNTS = "batch_id bigint, scope string, column string, check_id string, explain string, tested bigint, failed bigint, skipped bigint"
 
 
@@ -24,11 +28,12 @@ def counts_path(checkpoint: str, source: str) -> str:
 
 
 def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **trigger: Any) -> list[StreamingQuery]:
-    """Start one query per sink binding, and per source one that counts and one for each kind of rows kept aside.
+    """Start one query for all sources and sinks that pipes connect, so that every source is read once.
 
-    Filters, checks, policies and mappings are those of the batch run. Each query reads its sources by
-    itself, so a source with several sinks is read several times; the counting query reads only the columns that
-    checks need. See :func:`check_counts`.
+    Filters, checks, policies and mappings are those of the batch run. The rows of a micro-batch are written to the shared folder once; the sinks, the counts of
+    the checks, rejects and bad rows are all made of them, under the same batch id. Outputs are shown when all of a batch are written, one after
+    another, and each leaves a mark under the checkpoint: a batch that is repeated because the run was stopped in between makes only those that are missing.
+    Rejects and bad rows are folders ``batch_id=<n>``. See :func:`check_counts`.
     """
     pipeline.validate()
     unstreamable = [
@@ -36,37 +41,101 @@ def run_pipeline(pipeline: Pipeline, spark: SparkSession, checkpoint: str, **tri
     ]
     raise_if(f"pipeline {pipeline.name!r}", [f"source {n!r} cannot be read as a stream" for n in unstreamable])
     queries: list[StreamingQuery] = []
-    good: dict[str, DataFrame] = {}
-
-    def start(rows: DataFrame, name: str, path: str | None = None, **to: Any) -> None:
-        writer = rows.writeStream.option("checkpointLocation", f"{checkpoint}/{name}").queryName(f"{pipeline.name}_{name}")
-        writer = writer.trigger(**(trigger or {"availableNow": True}))
-        queries.append(writer.format("parquet").start(path) if path else writer.foreachBatch(to["each"]).start())
-
-    for name in dict.fromkeys(a for a, _ in pipeline.pipes):
-        binding = pipeline.sources[name]
-        rows, rejects = binding.stream(spark)
-        good[name], bad = enforce(rows, binding.contract, binding.policy, binding.key)
-        if rejects is not None:
-            start(rejects, f"rejects_{name}", binding.rejects_path)
-        if bad is not None and binding.bad_path is not None:
-            start(bad, f"bad_{name}", binding.bad_path)
-        start(rows, f"count_{name}", each=_counter(binding.contract, counts_path(checkpoint, name)))
-    for sink_name, names in pipeline._targets().items():
-        rows = reduce(DataFrame.unionByName, [good[a] for a in names])
-        queries.append(
-            stream_sink(rows, pipeline.sinks[sink_name], f"{checkpoint}/{sink_name}", f"{pipeline.name}_{sink_name}", **trigger)
-        )
+    for sources, sinks in _connected(pipeline):
+        parts = {name: pipeline.sources[name].stream_parts(spark) for name in sources}
+        for sink_name in sinks:
+            rows = [split(_empty(spark, stream.schema))[0] for stream, split in (parts[a] for a in pipeline._targets()[sink_name])]
+            pipeline.sinks[sink_name].check(reduce(DataFrame.unionByName, rows))
+        name = next(iter(sinks))
+        writer = _packed({a: stream for a, (stream, _) in parts.items()}).writeStream.option("checkpointLocation", f"{checkpoint}/{name}/query")
+        writer = writer.queryName(f"{pipeline.name}_{name}").trigger(**(trigger or {"availableNow": True}))
+        each = _batch_writer(pipeline, {a: (stream.schema, split) for a, (stream, split) in parts.items()}, sinks, checkpoint)
+        queries.append(writer.foreachBatch(each).start())
     return queries
 
 
-def _counter(contract: SourceContract, path: str) -> Any:
-    def count(batch: DataFrame, batch_id: int) -> None:
-        """One aggregate per batch, evaluated once; a repeated batch replaces its counts."""
-        counts = check_summary(batch, contract, with_rows=True)
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return count
+def _connected(pipeline: Pipeline) -> list[tuple[list[str], list[str]]]:
+    """Sources and sinks that pipes join, directly or through others."""
+    groups: list[tuple[dict[str, None], dict[str, None]]] = []
+    for a, b in pipeline.pipes:
+        met = [g for g in groups if a in g[0] or b in g[1]]
+        sources, sinks = {a: None}, {b: None}
+        for g in reversed(met):
+            sources, sinks = g[0] | sources, g[1] | sinks
+            groups.remove(g)
+        groups.append((sources, sinks))
+    return [(list(sources), list(sinks)) for sources, sinks in groups]
+
+
+def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def _packed(streams: dict[str, DataFrame]) -> DataFrame:
+    """One stream of several sources: a row is a struct in the column of its source."""
+    rows = [stream.select(F.lit(name).alias("source"), F.struct(*stream.columns).alias(f"rows_{name}")) for name, stream in streams.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+
+
+def _batch_writer(pipeline: Pipeline, parts: dict[str, tuple[T.StructType, Split]], sinks: list[str], checkpoint: str) -> Any:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = _Marks(spark, f"{checkpoint}/{sinks[0]}/done", batch_id)
+        pending: dict[str, Pending] = {}
+        with temporary_folders(spark):
+            staged = stage(batch, "batch")
+            try:
+                good: dict[str, DataFrame] = {}
+                for name, (_, split) in parts.items():
+                    binding = pipeline.sources[name]
+                    rows, rejects = split(staged.where(F.col("source") == name).select(f"rows_{name}.*"))
+                    good[name], bad = enforce(rows, binding.contract, binding.policy, binding.key)
+                    counts = check_summary(rows, binding.contract, with_rows=True).coalesce(1)
+                    for label, path, table in (
+                        (f"rejects of {name}", binding.rejects_path, rejects),
+                        (f"bad of {name}", binding.bad_path, bad),
+                        (f"counts of {name}", counts_path(checkpoint, name), counts),
+                    ):
+                        if table is not None and path is not None and not log.has(label):
+                            pending[label] = _pending_table(table, f"{path}/batch_id={batch_id}")
+                for sink_name in sinks:
+                    if not log.has(sink_name):
+                        rows = reduce(DataFrame.unionByName, [good[a] for a in pipeline._targets()[sink_name]])
+                        pending[sink_name] = prepare_batch(rows, pipeline.sinks[sink_name], f"{checkpoint}/{sink_name}", batch_id)
+            except BaseException:
+                for output in pending.values():
+                    output.cancel()
+                raise
+            publish_all({label: Pending(log.after(label, output.publish), output.cancel) for label, output in pending.items()})
+
+    return write
+
+
+class _Marks:
+    """Which outputs of a batch are there, as empty files under the checkpoint; those of the batch before the last are removed."""
+
+    def __init__(self, spark: SparkSession, folder: str, batch_id: int):
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = lambda label: path(f"{folder}/{batch_id}", label.replace(" ", "-"))
+        self.files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.delete(path(f"{folder}/{batch_id - 2}"), True)
+
+    def has(self, label: str) -> bool:
+        return self.files.exists(self.path(label))
+
+    def after(self, label: str, publish: Callable[[], Any]) -> Callable[[], Any]:
+        def published() -> Any:
+            outcome = publish()
+            self.files.create(self.path(label), True).close()
+            return outcome
+
+        return published
+
+
+def _pending_table(df: DataFrame, path: str) -> Pending:
+    folder = PendingFolder(df.sparkSession, path, "overwrite")
+    df.write.parquet(folder.path)
+    return Pending(folder.publish, folder.cancel)
 
 
 def check_counts(spark: SparkSession, checkpoint: str, source: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from ..contracts import SourceContract
 from ..operators.filters import apply_filters
 from ..sources.reader import checked_records, load, reader_options, select_columns
-from ..sources.rejects import split_records, tolerant_reader
+from ..sources.rejects import tolerant_reader
 
 
 def stream_source(
@@ -25,31 +25,20 @@ def stream_source(
     """New files under ``path`` as a stream of the declared columns.
 
     The schema of the stored table is read once from the files that are there, unless it is given.
-    Pass ``maxFilesPerTrigger`` in ``options`` to bound a micro-batch.
-    """
-    return stream_with_rejects(spark, contract, path, fmt, filters, options, schema, split=False)[0]
-
-
-def stream_with_rejects(
-    spark: SparkSession,
-    contract: SourceContract,
-    path: str,
-    fmt: str = "parquet",
-    filters: Mapping[str, Any] | None = None,
-    options: Mapping[str, str] | None = None,
-    schema: T.StructType | None = None,
-    split: bool = True,
-) -> tuple[DataFrame, DataFrame | None]:
-    """The stream of the declared columns, and that of the records which do not parse.
-
-    Without ``split`` there is no second stream, and such a record fails the query.
+    A record that does not parse fails the query. Pass ``maxFilesPerTrigger`` in ``options`` to bound a micro-batch.
     """
     contract.bind_filters(filters)
-    reader = tolerant_reader(spark.readStream, contract, fmt, options) if split else None
-    if reader is None:
-        stored = schema or load(spark, contract, path, fmt, options).schema
-        table = checked_records(spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path), fmt, options)
-    else:
-        table = reader.load(path)
-    good, rejects = split_records(table, contract, reader is not None) if split else (table, None)
-    return select_columns(apply_filters(good, contract, filters), contract), rejects
+    stored = schema or load(spark, contract, path, fmt, options).schema
+    table = spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path)
+    return select_columns(apply_filters(checked_records(table, fmt, options), contract, filters), contract)
+
+
+def stream_unsplit(
+    spark: SparkSession, contract: SourceContract, path: str, fmt: str = "parquet", options: Mapping[str, str] | None = None
+) -> tuple[DataFrame, bool]:
+    """The stored table as a stream that no record stops, and whether records that do not parse carry their raw text."""
+    reader = tolerant_reader(spark.readStream, contract, fmt, options)
+    if reader is not None:
+        return reader.load(path), True
+    stored = load(spark, contract, path, fmt, options).schema
+    return spark.readStream.format(fmt).schema(stored).options(**reader_options(fmt, options)).load(path), False

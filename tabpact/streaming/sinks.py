@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks.base import AdaptedSink, Sink
 from ..sinks.custom import CustomSink
+from ..sinks.publish import Pending
 from ..staging import stage, temporary_folders
 
 
@@ -33,6 +34,28 @@ def _last_number(spark: SparkSession, table: str, batch_id: int) -> int | None:
         raise RuntimeError(f"the last number of batch {batch_id - 1} is not in {table}; numbers cannot go on") from exc
 
 
+def prepare_batch(batch: DataFrame, sink: Sink, checkpoint: str, batch_id: int) -> Pending:
+    """A micro-batch, written but not shown; numbers go on from those of the batch before."""
+    sink, batch = unwrapped(sink, batch)
+    if isinstance(sink, CustomSink):
+        return sink.prepare(batch, batch_id)
+    target, sequence = sink.batch_writer(batch_id), getattr(sink, "row_sequence", None)
+    if sequence is None:
+        return target.prepare(batch)
+    spark, table = batch.sparkSession, f"{checkpoint}/last_number"
+    last = _last_number(spark, table, batch_id)
+    start = sequence.start if last is None else last + 1
+    pending = target.prepare(batch, start=start)
+
+    def publish() -> int:
+        total = pending.publish()
+        counted = spark.createDataFrame([(start + total - 1,)], "last_number bigint")
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        return total
+
+    return Pending(publish, pending.cancel)
+
+
 def stream_sink(sdf: DataFrame, sink: Sink, checkpoint: str, name: str | None = None, **trigger: Any) -> StreamingQuery:
     """Write a stream to a sink and return the started query.
 

@@ -153,3 +153,23 @@ def test_python_formatter_keeps_values_exact(spark):
     df = spark.createDataFrame(rows, "n bigint, a array<int>, d double")
     n, a, d = (python_formatter(str)(F.col(c)) for c in "nad")
     assert [tuple(r) for r in df.select(n, a, d).collect()] == [("9007199254740993", "[1, 2]", "nan"), (None, None, None), ("7", "[]", "1.5")]
+
+
+def test_maps_with_values_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    from tabpact.functions import any_get, any_kind, any_map, any_of
+
+    rows = [('{"a": 1, "b": "x", "c": 2.5, "d": [1], "it\'s": true, "n": null}',), ("no json",), (None,), ("{}",)]
+    maps = spark.createDataFrame(rows, "t string").select(any_map("t").alias("v"))
+    asked = [("a", "bigint"), ("a", "string"), ("b", "string"), ("b", "int"), ("c", "decimal(3,1)"), ("d", "array<int>"), ("it's", "boolean"), ("n", "string"), ("z", "string")]
+    got = maps.select(*[any_get("v", k, t).alias(f"{k}{i}") for i, (k, t) in enumerate(asked)]).collect()
+    import decimal
+
+    assert list(got[0]) == [1, "1", "x", None, decimal.Decimal("2.5"), [1], True, None, None]
+    assert all(set(r) == {None} for r in got[1:] if r is not got[0] and not any(isinstance(x, list) for x in r))
+    assert [r[0] for r in maps.select(any_kind("v", "b")).collect()] == ["STRING", None, None, None]
+    made = spark.range(1).select(any_of(F.struct(F.lit(1).alias("a"), F.lit("x").alias("b"))).alias("v"))
+    assert tuple(made.select(any_get("v", "a", "int"), any_get("v", "b", "string")).first()) == (1, "x")
+    with pytest.raises(ValueError, match="quotes"):
+        any_get("v", "a'\"", "int")

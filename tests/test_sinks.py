@@ -227,3 +227,29 @@ def test_publish_modes(spark, folder):
         two.publish()
     two.cancel()
     assert sorted(os.listdir(folder)) == ["o", "same"]
+
+
+@pytest.mark.parametrize("header", [None, ("#", "id", "the, text")])
+def test_one_file_for_any_partitioning(spark, folder, header):
+    """The same bytes, parts without rows included; nothing else is left beside the file."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select("id", F.concat(F.lit("a, \""), F.col("id").cast("string")).alias("t"))
+    written = set()
+    for partitions in (1, 8, 64):
+        path = f"{folder}/{partitions}.csv"
+        DelimitedSink(path, header=header, row_sequence=RowSequence(["id"], name="#", rows_per_range=40), single_file=True).write(rows.repartition(partitions))
+        written.add(open(path, "rb").read())
+    expected = ("" if header is None else '"#",id,"the, text"\n') + "".join(f'{i + 1},{i},"a, ""{i}"\n' for i in range(500))
+    assert written == {expected.encode()}
+    assert sorted(os.listdir(folder)) == ["1.csv", "64.csv", "8.csv"]
+    assert spark.read.text(f"{folder}/8.csv").count() == 500 + bool(header)
+    with pytest.raises(SealedError, match="exists"):
+        DelimitedSink(f"{folder}/8.csv", single_file=True).write(rows)
+    empty = DelimitedSink(f"{folder}/none.csv", header=header and header[1:], single_file=True)
+    empty.prepare(rows.where("id < 0")).publish()
+    assert open(f"{folder}/none.csv").read() == ("" if header is None else 'id,"the, text"\n')
+    with pytest.raises(DefinitionError, match="appended"):
+        DelimitedSink(f"{folder}/x.csv", single_file=True, mode="append")

@@ -217,3 +217,36 @@ def test_a_bad_value_in_a_column_that_nobody_asks_for(spark, folder, fmt, stream
     for asked in (source.select("id").collect, source.count, lambda: plan.run(spark)):
         with pytest.raises(Exception, match="MALFORMED|malformed"):
             asked()
+
+
+@pytest.mark.parametrize(("condition", "opened"), [("i >= 25", {20, 30}), ("i < 10", {0}), ("i = 12", {10}), ("i IN (5, 39)", {0, 30}), ("i > 100", set()), ("i >= 5 AND s = 'v7'", {0, 10, 20, 30})])
+def test_slices_outside_a_filter_are_not_opened(spark, folder, condition, opened):
+    import os
+
+    def read(part):
+        open(f"{folder}/{part}", "w").close()
+        yield from ((i, f"v{i}") for i in range(part, part + 10))
+
+    source = record_source("tabpact_bounded", "i int, s string", [0, 10, 20, 30], read, bounds=lambda part: {"i": (part, part + 9)})
+    rows = source.load(spark).where(condition)
+    every = spark.range(40).selectExpr("CAST(id AS int) AS i", "concat('v', id) AS s").where(condition)
+    assert sorted(rows.collect()) == sorted(every.collect())
+    assert {int(n) for n in os.listdir(folder)} == opened
+
+
+def test_slices_of_a_stream_by_identity(spark, folder):
+    """Listed in any order, each slice is read once, over restarts."""
+    from tabpact import DelimitedSink, Pipeline
+
+    contract = SourceContract("R", [ColumnSpec("i", "int")])
+
+    def run(*slices):
+        source = record_source("tabpact_logged", "i int", slices, lambda part: iter([(part,)]), log=f"{folder}/log")
+        plan = Pipeline("P").source("a", contract, custom=source).sink("o", DelimitedSink(f"{folder}/o")).pipe("a -> o")
+        for q in plan.run_stream(spark, f"{folder}/cp"):
+            q.awaitTermination()
+        return sorted(int(r.value) for r in spark.read.text(f"{folder}/o/batch_id=*").collect())
+
+    assert run(3, 9) == [3, 9]
+    assert run(9, 1, 3, 5) == [1, 3, 5, 9]
+    assert run(5) == [1, 3, 5, 9]

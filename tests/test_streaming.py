@@ -207,3 +207,70 @@ def test_a_record_source_as_a_stream(spark, folder):
     assert run(20) == list(range(3, 30))
     counts = check_counts(spark, f"{folder}/cp", "a").where("scope = 'rows'").collect()
     assert sum(c.tested for c in counts) == 27
+
+
+def test_a_run_stopped_between_two_sinks(spark, events, folder):
+    """The batch is repeated: the output that was there is not made again, the missing one is; counts and bad rows are there once."""
+    from tabpact import custom_sink
+
+    committed = {"first": [], "second": []}
+    broken = [True]
+
+    class Writer:
+        def __init__(self):
+            self.ids = []
+
+        def put(self, row):
+            self.ids.append(row.event_id)
+
+        def done(self):
+            return self.ids
+
+    def sink(name):
+        def commit(results, batch_id):
+            if name == "second" and batch_id == 1 and broken:
+                broken.pop()
+                raise RuntimeError("stopped in between")
+            committed[name].append((batch_id, sorted(i for ids in results for i in ids)))
+
+        return custom_sink(f"tabpact_between_{name}", lambda part, attempt: Writer(), commit)
+
+    plan = Pipeline("Between").source("ev", EVENTS, events, options={"maxFilesPerTrigger": "1"}, policy="quarantine", bad_path=f"{folder}/bad")
+    for name in committed:
+        plan.sink(name, sink(name)).pipe(f"ev -> {name}")
+    plan.sink("lines", DelimitedSink(f"{folder}/lines", row_sequence=RowSequence(["event_id"], name="n"))).pipe("ev -> lines")
+
+    def run():
+        queries = plan.run_stream(spark, f"{folder}/cp")
+        assert len(queries) == 1
+        queries[0].awaitTermination()
+
+    with pytest.raises(Exception, match="stopped in between"):
+        run()
+    assert [b for b, _ in committed["first"]] == [0, 1] and [b for b, _ in committed["second"]] == [0]
+    run()
+    assert committed["first"] == committed["second"] and [b for b, _ in committed["first"]] == list(range(len(committed["first"])))
+    good, bad = enforce(plan.sources["ev"].rows(spark), EVENTS, "quarantine")
+    assert sorted(i for _, ids in committed["first"] for i in ids) == sorted(r.event_id for r in good.collect())
+    lines = spark.read.schema("n bigint, event_id bigint").csv(f"{folder}/lines/batch_id=*").collect()
+    assert sorted(r.n for r in lines) == list(range(1, good.count() + 1))
+    assert spark.read.parquet(f"{folder}/bad").count() == bad.count()
+    counts = check_counts(spark, f"{folder}/cp", "ev").where("scope = 'rows'").collect()
+    assert sum(c.tested for c in counts) == good.count() + bad.count()
+
+
+def test_sources_that_meet_in_a_sink_are_one_query(spark, events, folder):
+    """What pipes connect is one query; what they do not is another."""
+    from tabpact import ColumnSpec, SourceContract
+
+    ids = SourceContract("Ids", [ColumnSpec("event_id", "bigint")])
+    plan = Pipeline("Meet").source("a", ids, events).source("b", ids, events).source("apart", EVENTS, events, policy="drop")
+    for name in ("both", "own", "alone"):
+        plan.sink(name, DelimitedSink(f"{folder}/{name}"))
+    plan.pipe("a -> both").pipe("apart -> alone").pipe("b -> own").pipe("b -> both")
+    queries = plan.run_stream(spark, f"{folder}/cp")
+    for q in queries:
+        q.awaitTermination()
+    total = spark.read.parquet(events).count()
+    count = lambda name: spark.read.text(f"{folder}/{name}/batch_id=*").count()
+    assert len(queries) == 2 and count("own") == total and count("both") == 2 * total and 0 < count("alone") < total
