@@ -114,7 +114,7 @@ def number_rows(
         ranges = max(1, min(MAX_RANGES, -(-total // min(rows_per_range, MAX_ROWS_PER_RANGE))))
         bounds = _pick_bounds(slim, total, ranges, keys, directions) if ranges > 1 else []
         crowded = len(bounds) < ranges - 1
-        counts = [] if crowded else _range_counts(slim, bounds, keys, directions)
+        counts = [] if crowded else _range_counts(slim, bounds, keys, directions) if bounds else [total]
     if crowded:
         # Equal keys crowd a range. Their place in a written table tells such rows apart, identical
         # copies included, and splits them over several ranges.
