@@ -38,9 +38,8 @@ def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the token ids of the text, their number, and whether they decode to the text (a NULL text has none)."""
-    decoded = pieces.decode(pieces.encode(docs))
-    same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    encoded = pieces.encode(docs, checked=True)
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [

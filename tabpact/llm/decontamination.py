@@ -270,11 +270,10 @@ _PREPARED: dict[tuple[str, float], Items] = {}
 
 
 def _prepared(sent: tuple[str, list[tuple[int | None, bytes]]], max_edits: float) -> Items:
-    """The tables of the items of a broadcast, made once in a worker; the last ones made are kept."""
+    """The tables of the items of a broadcast, made once in a worker, which keeps the last ones only."""
     key = (sent[0], max_edits)
     if key not in _PREPARED:
-        while len(_PREPARED) > 1:
-            del _PREPARED[next(iter(_PREPARED))]
+        _PREPARED.clear()
         _PREPARED[key] = prepare(sent[1], max_edits)
     return _PREPARED[key]
 

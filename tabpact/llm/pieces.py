@@ -347,8 +347,13 @@ def _giants(docs: DataFrame, model, longest: int, chunk: int) -> DataFrame:
     return whole.select("row", F.flatten("parts.ids").alias("ids"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``id_col``, the text and its ``ids``, one row per row."""
+def _comes_back(pieces: Pieces, texts: Sequence[str | None], ids: Sequence[np.ndarray | None]) -> pa.Array:
+    """Whether ids decode to their text; a missing text has none."""
+    return pa.array([i is None or pieces.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)], pa.bool_())
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, chunk: int = CHUNK, checked: bool = False) -> DataFrame:
+    """``id_col``, the text and its ``ids``, one row per row; if ``checked`` also ``round_trip``, whether they decode to the text, by the task that encodes."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     longest = _loaded(model.value).longest
     if chunk < 2 * longest:
@@ -361,14 +366,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             texts = got["text"].to_pylist()
             found = iter(pieces.plain([" " + t for t in texts if t]))
             ids = [None if t is None else np.array(next(found) if t else [], np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays([got["id"], got["text"], pa.array(ids, pa.list_(pa.int32()))], names=["id", "text", "ids"])
+            columns = [got["id"], got["text"], pa.array(ids, pa.list_(pa.int32())), *([_comes_back(pieces, texts, ids)] if checked else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _loaded(model.value)
+        for got in _parts(batches):
+            ids = [x.values.to_numpy() if x.is_valid else None for x in got["ids"]]
+            yield pa.RecordBatch.from_arrays([got["id"], got["text"], got["ids"], _comes_back(pieces, got["text"].to_pylist(), ids)], names=names)
 
+    names = ["id", "text", "ids", *(["round_trip"] if checked else [])]
     kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, text string, ids array<int>" + (", round_trip boolean" if checked else "")
     long = F.length("text") > chunk
-    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, f"id {kind}, text string, ids array<int>")
+    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, schema)
     giants = stage(rows.where(long).withColumn("row", F.monotonically_increasing_id()), "giant-texts")
     of_giants = _giants(giants.select("row", "text"), model, longest, chunk)
     joined = giants.join(of_giants, "row").select("id", "text", "ids")
+    joined = joined.mapInArrow(check, schema) if checked else joined
     return short.union(joined).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
