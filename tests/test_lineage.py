@@ -173,3 +173,18 @@ def test_a_chain_of_components_takes_few_passes(spark, monkeypatch):
     pairs = [e for i in range(0, 20, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))]
     assert {tuple(r) for r in cycles(edges_of(spark, pairs)).collect()} == cyclic(set(pairs))
     assert len(passes) <= 6
+
+
+def test_a_trace_writes_a_row_for_a_thousand_starts(spark):
+    from tabpact.operators import lineage
+    from tabpact.staging import new_folder
+
+    starts = [f"s{i}" for i in range(1, 1_001)]
+    pairs = [(s, f"c{i % 7}") for i, s in enumerate(starts)] + [(f"c{i}", "s5") for i in range(7)]
+    links = edges_of(spark, pairs, "string").toDF("node", "next")
+    folder = new_folder(spark, "reach")
+    got = lineage._reach_sets(links, lineage._node_frame(links.toDF("src", "dst"), starts, "start"), 3, folder)
+    expected = {(s, n, k) for s in starts for n, k in depths(pairs, s).items() if k <= 3}
+    assert {tuple(r) for r in got.collect()} == expected
+    # Seven nodes in one step, one in two, one in three: a row each, not one per 64 starts.
+    assert spark.read.parquet(f"{folder}/reach").count() == 9
