@@ -23,6 +23,9 @@ from ..sources.rejects import read_with_rejects, split_records
 from ..staging import stage, temporary_folders
 from ..streaming.scan import stream_source, stream_unsplit
 
+#: Rows in a file of a source that is written for several uses.
+ROWS_PER_FILE = 50_000
+
 
 @dataclass(frozen=True)
 class SourceBinding:
@@ -267,7 +270,7 @@ class Pipeline:
                     if rejects is not None:
                         pending[f"rejects of {name}"] = _pending_table(rejects, binding.rejects_path)
                     if uses[name] + (binding.bad_path is not None) > 1:
-                        rows = stage(rows, "source")
+                        rows = stage(rows, "source", ROWS_PER_FILE)
                     good[name], bad = self._enforced(name, rows)
                     if bad is not None and binding.bad_path is not None:
                         pending[f"bad of {name}"] = _pending_table(bad, binding.bad_path)

@@ -310,3 +310,18 @@ def test_lineage_of_a_frame(spark):
     assert opaque.columns["p"] == {("x", "a"), ("x", "b")}
     text = column_lineage(spark.sql("WITH z AS (SELECT a, sum(b) AS c FROM lineage_x WHERE l IS NOT NULL GROUP BY a) SELECT c + 1 AS d FROM z WHERE a IN (SELECT b FROM lineage_x)"))
     assert text.columns == {"d": {("x", "b")}} and text.rows == {("x", c) for c in "abl"}  # the view is of an aliased frame
+
+
+def test_a_source_in_one_partition_is_shared_in_many_files(spark, numbers, folder, monkeypatch):
+    from tabpact.plans import pipeline
+
+    monkeypatch.setattr(pipeline, "ROWS_PER_FILE", 10)
+    files, staged = [], pipeline.stage
+    monkeypatch.setattr(pipeline, "stage", lambda *a: files.append(staged(*a)) or files[-1])
+    counted, prepare = [], DelimitedSink.prepare
+    monkeypatch.setattr(DelimitedSink, "prepare", lambda self, df, *a: counted.append(len(df.inputFiles())) or prepare(self, df, *a))
+    contract = SourceContract("Rows", columns=[ColumnSpec("id", "bigint")])
+    plan = Pipeline("Shared").source("s", contract, custom=custom_source("one", lambda spark, **_: spark.range(95).coalesce(1)))
+    plan.sink("a", DelimitedSink(f"{folder}/a")).sink("b", DelimitedSink(f"{folder}/b")).pipe("s -> a").pipe("s -> b").run(spark)
+    assert counted == [10, 10]
+    assert sorted(int(r[0]) for r in spark.read.csv(f"{folder}/a").collect()) == list(range(95))
