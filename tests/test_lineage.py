@@ -188,3 +188,21 @@ def test_a_trace_writes_a_row_for_a_thousand_starts(spark):
     assert {tuple(r) for r in got.collect()} == expected
     # Seven nodes in one step, one in two, one in three: a row each, not one per 64 starts.
     assert spark.read.parquet(f"{folder}/reach").count() == 9
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_a_dense_graph_is_joined_by_samples(spark, monkeypatch, kind):
+    from tabpact.operators import components, lineage
+
+    monkeypatch.setattr(components, "BLOCK_EDGES", 300)
+    sizes, found = [], lineage._found
+    monkeypatch.setattr(lineage, "_found", lambda rest, size: sizes.append(size) or found(rest, size))
+    rng = random.Random(5)
+    # Two dense components, edges from one to the other, and nodes before, between and behind them.
+    pairs = {(g + rng.randrange(40), g + rng.randrange(40)) for g in (0, 100) for _ in range(1_500)}
+    pairs |= {(3, 103), (7, 120), (200, 5), (9, 201), (201, 110), (104, 202), (202, 203), (203, 202)}
+    name = (lambda x: f"n{x}") if kind == "string" else (lambda x: x)
+    edges = edges_of(spark, [(name(a), name(b)) for a, b in pairs], kind)
+    got = [tuple(r) for r in cycles(edges).collect()]
+    assert set(got) == {(name(a), name(b)) for a, b in cyclic(pairs)} and len(got) == len(set(got))
+    assert sizes and max(sizes) < len(pairs) / 2, sizes
