@@ -190,6 +190,26 @@ def test_a_trace_writes_a_row_for_a_thousand_starts(spark):
     assert spark.read.parquet(f"{folder}/reach").count() == 9
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_a_trace_is_unfolded_without_an_exchange(spark, monkeypatch, few):
+    from tabpact.operators import lineage
+
+    monkeypatch.setattr(lineage, "DRIVER_STARTS", 10_000 if few else 10)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(220)]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = trace(edges_of(spark, pairs), spark.range(150), max_depth=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = [(r.start, r.node, r.depth) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(rows) == sorted((s, n, k) for s in range(150) for n, k in depths(pairs, s).items() if k <= 4)
+    # From the top: what is unfolded is neither sent nor joined any more.
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")], plan
+
+
 @pytest.mark.parametrize("kind", ["int", "string"])
 def test_a_dense_graph_is_joined_by_samples(spark, monkeypatch, kind):
     from tabpact.operators import components, lineage
