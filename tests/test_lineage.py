@@ -210,6 +210,39 @@ def test_a_trace_is_unfolded_without_an_exchange(spark, monkeypatch, few):
     assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")], plan
 
 
+def test_a_trace_leaves_no_shuffle_files(spark):
+    import time
+
+    from tabpact.staging import FREE_SHUFFLES
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in every.split("\n") if "/shuffle_" in f}
+
+    edges, before = edges_of(spark, [(i, i * 7 % 50) for i in range(50)]), files()
+    got = trace(edges, spark.range(50), "both")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get(FREE_SHUFFLES, "false") == "false"
+    # Only what the rounds wrote is gone.
+    assert got.count() == got.distinct().count() == 2 * sum(len(depths({(i, i * 7 % 50) for i in range(50)}, i)) for i in range(50))
+
+
+def test_freed_shuffles_may_be_nested(spark):
+    from tabpact.staging import FREE_SHUFFLES, freed_shuffles
+
+    spark.conf.set(FREE_SHUFFLES, "false")
+    with freed_shuffles(spark):
+        with freed_shuffles(spark):
+            pass
+        assert spark.conf.get(FREE_SHUFFLES) == "true"
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+    spark.conf.unset(FREE_SHUFFLES)
+
+
 @pytest.mark.parametrize("kind", ["int", "string"])
 def test_a_dense_graph_is_joined_by_samples(spark, monkeypatch, kind):
     from tabpact.operators import components, lineage
